@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from geopanel.llm import lm_score
+from geopanel.llm.ann import nearest
+from geopanel.llm.html_extract import extract
 from geopanel.llm.line_dedup import MIN_SITES, MIN_WORDS, drop_common_lines
 from geopanel.llm.minhash import near_duplicates
 from geopanel.llm.mixing import mix
+from geopanel.llm.outliers import flag
 from geopanel.llm.packing import pack
 from geopanel.llm.quality import fit, score
+from geopanel.llm.sharding import shard
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
@@ -21,6 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    vocab, net = lm_score.train(docs)
+    return lm_score.score(docs, vocab, net).withColumnRenamed("id", "doc_id")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), digest=True).withColumnRenamed("id", "doc_id")
 
@@ -32,6 +43,22 @@ def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op4_rendezvous_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"))
+    out = shard(rows, ["doc_id"], [1.0] * 16)
+    return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+def op5_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flag(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op6_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op7_pattern_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pack(docs, public_tokenizers.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
@@ -46,12 +73,21 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=2).withColumnRenamed("id", "doc_id")
 
 
+def op10_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_source_mix": op2_source_mix,
     "op3_quality_fm": op3_quality_fm,
+    "op4_rendezvous_shards": op4_rendezvous_shards,
+    "op5_robust_outliers": op5_robust_outliers,
+    "op6_page_text": op6_page_text,
     "op7_pattern_pack": op7_pattern_pack,
     "op8_line_spread": op8_line_spread,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_posting_search": op10_posting_search,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
