@@ -20,15 +20,17 @@ from geopanel.llm.common import cut, group_key, words
 
 #: The share of a group that the estimate is made of.
 INLIERS = 0.75
-STEPS = 4
+STEPS = 3
 BINS = 400
 #: Groups with fewer documents use the estimate of all documents.
 LEAST = 100
 #: Squared distance beyond which a document is rejected; see README for its choice.
-CUT = 60.0
+CUT = 42.0
 #: Least standard deviation of each coordinate: below it a group is uniform, and further deviation is measured in it.
 FLOOR = {"size": 0.5, "word": 0.12, "symbol": 0.5, "line": 0.5, "repeat": 0.7, "shout": 0.4, "distinct": 0.25}
 DIMS = list(FLOOR)
+#: The group of all documents; keys of others begin with s or n.
+_ALL = "all"
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -100,15 +102,11 @@ def vector() -> dict[str, Column]:
     }
 
 
-def _distance(mean: list[Column], low: dict[tuple[int, int], Column], x: list[Column]) -> Column:
-    """Squared Mahalanobis distance by forward substitution with the Cholesky factor."""
-    y: list[Column] = []
-    for i in range(len(x)):
-        v = x[i] - mean[i]
-        for j in range(i):
-            v = v - low[i, j] * y[j]
-        y.append(v / low[i, i])
-    return reduce(lambda a, b: a + b, [v * v for v in y])
+def _distance(mean: list[Column], inv: dict[tuple[int, int], Column], x: list[Column]) -> Column:
+    """Squared Mahalanobis distance: the squared length of (x - mean) under the inverse Cholesky factor."""
+    z = [a - b for a, b in zip(x, mean, strict=True)]
+    rows = [reduce(lambda a, b: a + b, [inv[i, j] * z[j] for j in range(i + 1)]) for i in range(len(x))]
+    return reduce(lambda a, b: a + b, [F.pow(v, F.lit(2.0)) for v in rows])
 
 
 def _estimate(m: DataFrame, group: str) -> DataFrame:
@@ -125,13 +123,16 @@ def _estimate(m: DataFrame, group: str) -> DataFrame:
     for i in range(d):
         for j in range(i):
             m = m.withColumn(f"c{i}{j}", 1.6 * F.col(f"c{i}{j}"))
-    for i in range(d):
-        for j in range(i + 1):
-            v = F.col(f"c{i}{j}")
-            for k in range(j):
-                v = v - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            m = m.withColumn(f"l{i}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))) if i == j else v / F.col(f"l{j}{j}"))
-    return m.select(group, "size_n", *mean, *[f"l{i}{j}" for i in range(d) for j in range(i + 1)])
+    # Each step is a projection of its own over the group table, so that expressions stay small.
+    for j in range(d):
+        v = reduce(lambda a, b: a - b, [F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{j}{j}"))
+        m = m.withColumn(f"l{j}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))))
+        below = {f"l{i}{j}": reduce(lambda a, b: a - b, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{i}{j}")) / F.col(f"l{j}{j}") for i in range(j + 1, d)}
+        m = m.withColumns(below) if below else m
+    m = m.withColumns({f"w{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(d)})
+    for gap in range(1, d):
+        m = m.withColumns({f"w{i}{i - gap}": -reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"w{k}{i - gap}") for k in range(i - gap, i)]) / F.col(f"l{i}{i}") for i in range(gap, d)})
+    return m.select(group, "size_n", *mean, *[f"w{i}{j}" for i in range(d) for j in range(i + 1)])
 
 
 def _moments() -> list[Column]:
@@ -147,19 +148,19 @@ def _first(vectors: DataFrame, group: str) -> DataFrame:
     cols = [F.get(F.col(n), F.lit(1)).alias(f"m{i}") for i, n in enumerate(DIMS)]
     for i, n in enumerate(DIMS):
         spread = (F.get(F.col(n), F.lit(2)) - F.get(F.col(n), F.lit(0))) / 1.349
-        cols += [F.greatest(spread, F.lit(FLOOR[n])).alias(f"l{i}{j}") if i == j else F.lit(0.0).alias(f"l{i}{j}") for j in range(i + 1)]
+        cols += [(1 / F.greatest(spread, F.lit(FLOOR[n]))).alias(f"w{i}{j}") if i == j else F.lit(0.0).alias(f"w{i}{j}") for j in range(i + 1)]
     return p.select(group, "size_n", *cols)
 
 
 def _with_distance(vectors: DataFrame, est: DataFrame, group: str) -> DataFrame:
     d = len(DIMS)
-    low = {(i, j): F.col(f"l{i}{j}") for i in range(d) for j in range(i + 1)}
+    inv = {(i, j): F.col(f"w{i}{j}") for i in range(d) for j in range(i + 1)}
     both = vectors.join(est, group)
-    return both.withColumn("distance", _distance([F.col(f"m{i}") for i in range(d)], low, [F.col(n) for n in DIMS]))
+    return both.withColumn("distance", _distance([F.col(f"m{i}") for i in range(d)], inv, [F.col(n) for n in DIMS]))
 
 
 def mcd(vectors: DataFrame, group: str, steps: int = STEPS) -> DataFrame:
-    """Per group: size_n, mean and Cholesky factor of the minimum-covariance-determinant estimate."""
+    """Per group: size_n, mean and inverse Cholesky factor of the minimum-covariance-determinant estimate."""
     est = cut(_first(vectors, group))
     for _ in range(steps):
         # 1/20 of a factor of e a bin; distances under e^-10 share the first bin.
@@ -186,16 +187,17 @@ def flag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     group = F.concat_ws("\x00", *[group_key(F.col(f"g{k}")) for k in range(len(group_cols))])
     stats = cut(stats.select("id", group.alias("grp"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_shouts", "n_distinct", "n_repeat_words", failed.alias("base_failed")))
-    good = stats.where(~F.col("base_failed")).select("grp", *[c.alias(n) for n, c in vector().items()])
-    own = mcd(good, "grp").where(F.col("size_n") >= LEAST)
-    every = mcd(good.withColumn("grp", F.lit("all")), "grp").drop("grp", "size_n")
+    good = stats.where(~F.col("base_failed")).select(F.explode(F.array("grp", F.lit(_ALL))).alias("grp"), *[c.alias(n) for n, c in vector().items()])
+    est = mcd(good, "grp")
+    own = est.where((F.col("size_n") >= LEAST) & (F.col("grp") != _ALL))
+    every = est.where(F.col("grp") == _ALL).drop("grp", "size_n")
     d = len(DIMS)
-    names = [f"m{i}" for i in range(d)] + [f"l{i}{j}" for i in range(d) for j in range(i + 1)]
+    names = [f"m{i}" for i in range(d)] + [f"w{i}{j}" for i in range(d) for j in range(i + 1)]
     every = every.select(*[F.col(c).alias("e" + c) for c in names])
     x = list(vector().values())
     out = stats.join(own.drop("size_n"), "grp", "left").join(F.broadcast(every), how="left")  # one row
     at = {c: F.coalesce(F.col(c), F.col("e" + c)) for c in names}
-    dist = _distance([at[f"m{i}"] for i in range(d)], {(i, j): at[f"l{i}{j}"] for i in range(d) for j in range(i + 1)}, x)
+    dist = _distance([at[f"m{i}"] for i in range(d)], {(i, j): at[f"w{i}{j}"] for i in range(d) for j in range(i + 1)}, x)
     out = out.withColumn("distance", F.when(~F.col("base_failed"), dist))
     kept = F.coalesce(~F.col("base_failed") & (F.col("distance") <= cut_at), F.lit(False))
     return out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance", kept.alias("kept"))
