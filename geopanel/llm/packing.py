@@ -8,6 +8,7 @@ at a time. The plan is a table (length, rank range) -> (sequence, offset) by whi
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -18,41 +19,104 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import cut
+from geopanel.llm.common import blocks, cut, hash_words, text_bytes
 
-#: Words whose ids a worker remembers; the memory is emptied when full.
-MEMO = 300_000
+#: Words, and parts of words, whose ids a worker remembers; a memory is emptied when full.
+MEMO, PARTS = 2_000_000, 400_000
+#: Bytes of text whose words are encoded together.
+TOGETHER = 6 << 20
 #: Pieces of one length that are ranked together.
 RANKED = 100_000
-_cache: dict[str, dict[str, bytes]] = {}
+_shared: dict[str, Encoder] = {}
+#: Latin letters, which normalisation only lower-cases, and ASCII signs after them.
+_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]*)")
 
 
-class _Ids(dict):
-    """Little-endian ids of a word, encoded on first use."""
+class Encoder:
+    """Ids of whole texts by way of their words.
+
+    The tokenizer drops white space and its pre-tokens never span any, so a text's ids are its words' ids in a row; and a
+    run of letters and a run of signs after it are pre-tokens of their own. Words are found and hashed by array passes
+    over the bytes; sorted arrays map a known word's 64-bit hash to its ids. The unknown letter runs of many texts are
+    encoded in one call, in which the ids that end a word tell them apart.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-
-    def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = ids
-        return ids
-
-
-def _spaces_only_ascii(text: str) -> list[str]:
-    """Pieces between ASCII white space: splitting there never changes the ids of a tokenizer that drops white space."""
-    return text.translate(_TO_SPACE).split(" ")
-
-
-_TO_SPACE = {c: " " for c in range(9, 14)}
-
-
-def encode(text: str, memo: _Ids) -> bytes:
-    return b"".join(map(memo.__getitem__, _spaces_only_ascii(text)))
+        vocab = self.tok.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self._forget()
+        self.parts: dict[str, bytes] = {}
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.width = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 4096):
+            some = parts[i : i + 4096]
+            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
+            if len(ends) != len(some):  # not a tokenizer that marks word ends
+                self.parts.update((p, self._ids(p)) for p in some)
+                continue
+            raw, at = ids.tobytes(), 0
+            for p, e in zip(some, ends.tolist(), strict=True):
+                self.parts[p] = raw[at : 4 * e]
+                at = 4 * e
+
+    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+        """Remember the ids of new words, given with their sorted hashes."""
+        if len(self.parts) > PARTS:
+            self.parts = {}
+        match = [_PLAIN.fullmatch(w) for w in words]
+        plain = [(m[1].lower(), m[2]) if m else None for m in match]
+        self.parts.setdefault("", b"")
+        self._learn_parts(list({p[0] for p in plain if p and p[0] not in self.parts}))
+        for sign in {p[1] for p in plain if p and p[1] not in self.parts}:
+            self.parts[sign] = self._ids(sign)
+        raw = [self.parts[p[0]] + self.parts[p[1]] if p else self._ids(w) for p, w in zip(plain, words, strict=True)]
+        width = np.array([len(r) // 4 for r in raw], np.int32)
+        new = np.frombuffer(b"".join(raw), "<u4")
+        if self.used + len(new) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(new)), np.uint32)])
+        self.ids[self.used : self.used + len(new)] = new
+        at = self.used + np.concatenate([[0], np.cumsum(width[:-1])]).astype(np.int64)
+        self.used += len(new)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.width = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.width, place, width)
+
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of a block of texts, each with a closing id 0."""
+        h, start, end, first = hash_words(data, off, lower=False)
+        keys, index, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.keys) > MEMO:
+            self._forget()
+        place = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        fresh[inside] = self.keys[place[inside]] != keys[inside]
+        if fresh.any():
+            raw = data.tobytes()
+            at = index[fresh]
+            self._learn(keys[fresh], [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
+            place = np.searchsorted(self.keys, keys)
+        width = self.width[place][back].astype(np.int64)
+        doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
+        ends = np.cumsum(width)
+        into = ends - width + doc  # one closing id before each later text
+        out = np.zeros(int(ends[-1] if len(ends) else 0) + len(off) - 1, "<u4")
+        steps = np.arange(int(width.sum())) - np.repeat(ends - width, width)
+        out[np.repeat(into, width) + steps] = self.ids[np.repeat(self.at[place][back], width) + steps]
+        total = np.concatenate([[0], ends])[first]
+        return out, total + np.arange(len(off))
 
 
 def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_len: int, with_ids: bool) -> DataFrame:
@@ -60,19 +124,21 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_len:
     schema = "id long, piece int, start long, length long, ids_crc32 long" + (", ids array<int>" if with_ids else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _cache.get(tokenizer)
-        if memo is None:
-            memo = _cache[tokenizer] = _Ids(tokenizer)
+        encoder = _shared.get(tokenizer)
+        if encoder is None:
+            encoder = _shared[tokenizer] = Encoder(tokenizer)
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raw = encode(text.as_py() or "", memo) + b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(raw), 4 * max_len)):
-                    part = raw[at : at + 4 * max_len]
-                    for c, v in zip(cols, (doc, k, at // 4, len(part) // 4, zlib.crc32(part), np.frombuffer(part, "<i4") if with_ids else None), strict=True):
-                        c.append(v)
-                if len(memo) > MEMO:
-                    memo.clear()
+            ids = batch.column(0).to_pylist()
+            data, off = text_bytes(batch.column(1))
+            for i, j in blocks(off, TOGETHER):
+                flat, bounds = encoder.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
+                raw = memoryview(flat.tobytes())
+                for doc, lo, hi in zip(ids[i:j], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for k, at in enumerate(range(lo, hi, max_len)):
+                        to = min(at + max_len, hi)
+                        for c, v in zip(cols, (doc, k, at - lo, to - at, zlib.crc32(raw[4 * at : 4 * to]), flat[at:to].view(np.int32) if with_ids else None), strict=True):
+                            c.append(v)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
             names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
             n = 6 if with_ids else 5
