@@ -60,4 +60,4 @@ def shard(docs: DataFrame, key_cols: list[str], weights: list[float], grown_weig
     key = [F.col(f"`{c}`") for c in key_cols]
     grown = rendezvous(key, [*weights, grown_weight]) if grown_weight is not None else F.lit(None).cast("int")
     placed = docs.select(*[F.col(f"`{c}`") for c in keep], rendezvous(key, weights).alias("shard"), grown.alias("grown_shard"))
-    return numbered(placed, "shard", "slot")
+    return numbered(placed, "shard", "slot").select(*[F.col(f"`{c}`") for c in keep], "shard", "grown_shard", "slot")
