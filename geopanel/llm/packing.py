@@ -42,10 +42,12 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        self.plain = Tokenizer.from_file(path)  # for text that is normal already
+        self.plain.normalizer = normalizers.Sequence([])
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -62,7 +64,7 @@ class Encoder:
     def _learn_parts(self, parts: list[str]) -> None:
         for i in range(0, len(parts), 4096):
             some = parts[i : i + 4096]
-            ids = np.array(self.tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
             if len(ends) != len(some):  # not a tokenizer that marks word ends
                 self.parts.update((p, self._ids(p)) for p in some)
