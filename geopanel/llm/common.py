@@ -22,12 +22,13 @@ def words(text: Column) -> Column:
 
 def n_words(text: Column) -> Column:
     """Number of words as long; 0 for null text."""
-    t = F.coalesce(text, F.lit(""))
-    parts = F.size(F.split(t, SPACE))
-    # A leading or trailing separator adds one empty part each.
-    edge = F.when(t.rlike(r"^[\x20\x09-\x0D]"), 1).otherwise(0) + F.when(t.rlike(r"[\x20\x09-\x0D]\z"), 1).otherwise(0)
-    blank = ~t.rlike(r"[^\x20\x09-\x0D]")
-    return F.when(blank, F.lit(0)).otherwise(parts - edge).cast("long")
+    t = trimmed(text)
+    return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, SPACE))).cast("long")
+
+
+def trimmed(text: Column) -> Column:
+    """The text without ASCII white space at its ends; '' for null."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def group_key(c: Column) -> Column:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import cut, group_key, n_words
+from geopanel.llm.common import SPACE, cut, group_key, n_words, trimmed
 
 MIN_SITES = 10
 MIN_WORDS = 4
 #: Documents of which boilerplate would take over 3/4 of the words are copies rather than framed pages.
 MAX_SHARE = (3, 4)
-_TRIM = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+\z"
 
 
 def _lines(text):
@@ -45,9 +44,10 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     names = docs.columns
     key = F.xxhash64(F.col(id_col), F.col(text_col))
     base = docs.select(key.alias("k"), group_key(F.col(site_col)).alias("site"), F.posexplode(_lines(F.col(text_col))).alias("i", "line"))
-    trimmed = F.regexp_replace("line", _TRIM, "")
-    base = base.withColumn("w", n_words(F.col("line"))).where(F.col("w") >= min_words)
-    base = base.select("k", "site", "i", "w", F.xxhash64(trimmed).alias("h1"), F.xxhash64(F.lit(7), trimmed).alias("h2"))
+    base = base.select("k", "site", "i", trimmed(F.col("line")).alias("line"))
+    base = base.withColumn("w", F.size(F.split("line", SPACE))).where((F.col("w") >= min_words) & (F.col("line") != ""))
+    # The lines' hashes are written once, a small part of the text, and read by the sketches, the counts and the removal.
+    base = cut(base.select("k", "site", "i", "w", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(7), F.col("line")).alias("h2")))
     common = cut(common_lines(base.select("h1", "h2", "site"), min_sites))
     gone = base.select("k", "i", "w", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     gone = gone.select("k", "i", "w").distinct().groupBy("k").agg(F.collect_list("i").alias("at"), F.sum("w").alias("words"))
