@@ -1,6 +1,6 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree over permuted blocks.
 
-A source's documents are dealt by a seeded 64-bit hash into 2^b equal hash ranges, its blocks, of about eight documents.
+A source's documents are dealt by a seeded 64-bit hash into 2^b equal hash ranges, its blocks, of about a hundred documents.
 Its target says how many blocks the mix draws: whole passes over the source take all blocks, the last, partial pass takes
 blocks in a random permutation up to the target. Only the block in which the target falls is opened, by further hash bits
 until it holds few documents, of which a greedy subset fills the rest. The drawn block counts of all sources are the
@@ -65,7 +65,7 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 
 def _bits(docs: int) -> int:
-    return max(0, int(docs // 8).bit_length() - 1)
+    return max(0, int(docs // 64).bit_length() - 1)
 
 
 def plan(sized: DataFrame, weights, total_share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, dict, dict]:
