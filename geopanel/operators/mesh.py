@@ -296,7 +296,7 @@ def gradient_limit(h: np.ndarray, dx: float, dy: float, slope: float) -> np.ndar
             src = h[max(0, -i) : h.shape[0] - max(0, i), max(0, -j) : h.shape[1] - max(0, j)]
             dst = h[max(0, i) : h.shape[0] - max(0, -i), max(0, j) : h.shape[1] - max(0, -j)]
             np.minimum(dst, src + d, out=dst)
-        if np.array_equal(old, h):
+        if np.array_equal(old, h, equal_nan=True):
             return h
 
 
@@ -306,6 +306,8 @@ def adaptive_mesh(points: np.ndarray, domain=None, n_inner: int = 100, eps: floa
     The size field is (rho)^(-1/2) with rho = (1 - eps) intensity + eps / area, limited in slope; vertices are a greedy
     Poisson-disk sample of the field (densest first), and the field is rescaled until the count fits.
     """
+    if not 0 < eps <= 1 or gradation <= 0 or n_inner < 3:
+        raise ValueError("eps is in (0, 1], gradation positive, n_inner 3 or more")
     points = np.asarray(points, float)
     domain = domain if domain is not None else [geo.hull(map(tuple, points))]
     ring = geo.domain_hull(domain)
@@ -346,8 +348,24 @@ def adaptive_mesh(points: np.ndarray, domain=None, n_inner: int = 100, eps: floa
     if abs(count - n_inner) > tol * n_inner:
         warnings.warn(f"the mesh has {count} inner vertices, {n_inner} were asked for", stacklevel=2)
     frame = np.array([lo, (hi[0], lo[1]), hi, (lo[0], hi[1])])
-    xy = np.concatenate([xy, frame])
-    return _renumber(xy, delaunay(xy), domain)
+    return _renumber(*_smooth(np.concatenate([xy, frame])), domain)
+
+
+def _smooth(xy: np.ndarray, rounds: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Move inner points towards the mean of their neighbours and triangulate again: slivers go."""
+    tri = delaunay(xy)
+    for _ in range(rounds):
+        e = np.sort(np.concatenate([tri[:, [0, 1]], tri[:, [1, 2]], tri[:, [2, 0]]]), axis=1)
+        e, n = np.unique(e, axis=0, return_counts=True)
+        rim = np.zeros(len(xy), bool)
+        rim[e[n == 1].ravel()] = True
+        total, degree = np.zeros_like(xy), np.zeros(len(xy))
+        for a, b in ((0, 1), (1, 0)):
+            np.add.at(total, e[:, a], xy[e[:, b]])
+            np.add.at(degree, e[:, a], 1)
+        xy = np.where(rim[:, None], xy, xy + 0.6 * (total / np.maximum(degree, 1)[:, None] - xy))
+        tri = delaunay(xy)
+    return xy, tri
 
 
 def _disk_sample(xy: np.ndarray, size: np.ndarray) -> np.ndarray:
