@@ -181,7 +181,9 @@ class Results:
         for j, c in enumerate(self.model.covs):
             at = np.flatnonzero(fac == j)
             inner = np.flatnonzero(c.mesh.inner)
-            adj = (np.abs(c.g) > 0) | np.eye(len(c.g), dtype=bool)
+            adj = np.eye(len(c.g), dtype=bool)
+            for a, b in ((0, 1), (1, 2), (2, 0)):
+                adj[c.mesh.tri[:, a], c.mesh.tri[:, b]] = adj[c.mesh.tri[:, b], c.mesh.tri[:, a]] = True
             near[np.ix_(at, at)] = adj[np.ix_(inner, inner)]
         near |= fac[:, None] != fac[None, :]
         a, b = np.nonzero(near)
