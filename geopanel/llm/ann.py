@@ -25,11 +25,12 @@ SAMPLE = 20_000
 LIST = 300
 MAX_LISTS = 2048
 #: A vector is also posted to centroids within this ratio of its nearest distance.
-REPLICATE = 1.05
+REPLICATE = 1.01
 #: Queries visit lists within this ratio of the nearest centroid's distance.
-PRUNE = 1.3
+PRUNE = 1.13
 DEGREE = 24
-BEAM = 96
+#: Centroids that a search keeps: for posting a vector, and for the lists of a query.
+POST_BEAM, QUERY_BEAM = 16, 256
 BLOCK = 8192
 SALT = 256
 
@@ -116,7 +117,7 @@ class Graph:
             done[live, width : width + w] = np.isinf(dist)
 
 
-def _lists(graph: Graph, ratio: float, id_cols: list[str]):
+def _lists(graph: Graph, ratio: float, beam: int, id_cols: list[str]):
     """mapInPandas function: (id columns, v, list) for every list of a vector within the ratio."""
 
     def run(frames):
@@ -124,7 +125,7 @@ def _lists(graph: Graph, ratio: float, id_cols: list[str]):
             for i in range(0, len(f), 512):
                 part = f.iloc[i : i + 512]
                 x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                node, d = graph.search(x, BEAM)
+                node, d = graph.search(x, beam)
                 ok = (node >= 0) & (d <= ratio * d[:, :1] + 1e-12)
                 row, col = np.nonzero(ok)
                 out = part[id_cols].iloc[row].reset_index(drop=True)
@@ -184,10 +185,10 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     want = min(MAX_LISTS, max(1, total // LIST), max(1, len(x) // 8))
     graph = Graph(balanced_centroids(x, int(np.log2(want))))
 
-    posts = cut(entries.mapInPandas(_lists(graph, REPLICATE, ["c", "ids"]), "c long, ids array<long>, v array<double>, list int"))
+    posts = cut(entries.mapInPandas(_lists(graph, REPLICATE, POST_BEAM, ["c", "ids"]), "c long, ids array<long>, v array<double>, list int"))
     asked = rows.where(F.expr(query.format(id="id")))
     asks = asked.groupBy("c").agg(F.first("v").alias("v")).select(F.col("c").alias("q"), "v")
-    asks = cut(asks.mapInPandas(_lists(graph, PRUNE, ["q"]), "q long, v array<double>, list int"))
+    asks = cut(asks.mapInPandas(_lists(graph, PRUNE, QUERY_BEAM, ["q"]), "q long, v array<double>, list int"))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
