@@ -32,7 +32,7 @@ def query(sql: str | None = None):
 
 
 def r6(c, name: str):
-    return F.round(c, 6).alias(name)
+    return (F.round(c, 6) + F.lit(0.0)).alias(name)  # adding zero makes negative zero positive
 
 
 # --- the flagship: a filtered level a series ---------------------------------------------------------------------------
@@ -360,10 +360,10 @@ def euclid_distance(spark: SparkSession, d: str) -> DataFrame:
     return spde.distances(s, s.where("id % 50 = 0")).select("a", "b", r6(F.col("d"), "d"))
 
 
-@query(f"WITH {T.SITES_SQL} SELECT site, round(radians(x) * 6378137.0, 3) AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(y) / 2)), 3) AS my FROM sites")
+@query(f"WITH {T.SITES_SQL} SELECT site, round(radians(x) * 6378137.0, 3) + 0.0 AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(y) / 2)), 3) + 0.0 AS my FROM sites")
 def web_mercator(spark: SparkSession, d: str) -> DataFrame:
     mx, my = geo.web_mercator(F.col("x"), F.col("y"))
-    return T.sites_events(spark, d).select("site", F.round(mx, 3).alias("mx"), F.round(my, 3).alias("my"))
+    return T.sites_events(spark, d).select("site", (F.round(mx, 3) + F.lit(0.0)).alias("mx"), (F.round(my, 3) + F.lit(0.0)).alias("my"))
 
 
 # --- meshes and finite elements ------------------------------------------------------------------------------------------
@@ -414,7 +414,7 @@ def fem_mass(spark: SparkSession, d: str) -> DataFrame:
     return fem.mass(*_lattice(spark)).select("v", r6(F.col("c"), "c"))
 
 
-@query(f"WITH {_LATTICE_SQL} SELECT i::INT AS i, j::INT AS j, round(g, 6)::DOUBLE AS g FROM stiff")
+@query(f"WITH {_LATTICE_SQL} SELECT i::INT AS i, j::INT AS j, (round(g, 6) + 0.0)::DOUBLE AS g FROM stiff")
 def fem_stiffness(spark: SparkSession, d: str) -> DataFrame:
     return fem.stiffness(*_lattice(spark)).select("i", "j", r6(F.col("g"), "g"))
 
@@ -446,7 +446,7 @@ _KAPPA = 0.8
 
 
 @query(
-    f"WITH {_LATTICE_SQL}, q AS (SELECT v AS i, v AS j, {_KAPPA**4!r} * c AS q FROM mass UNION ALL SELECT i, j, {2 * _KAPPA**2!r} * g FROM stiff UNION ALL SELECT a.i, b.j, a.g * b.g / c FROM stiff a JOIN mass ON mass.v = a.j JOIN stiff b ON b.i = a.j) SELECT i::INT AS i, j::INT AS j, round({1 / (4 * math.pi * _KAPPA**2)!r} * sum(q), 6)::DOUBLE AS q FROM q GROUP BY 1, 2"
+    f"WITH {_LATTICE_SQL}, q AS (SELECT v AS i, v AS j, {_KAPPA**4!r} * c AS q FROM mass UNION ALL SELECT i, j, {2 * _KAPPA**2!r} * g FROM stiff UNION ALL SELECT a.i, b.j, a.g * b.g / c FROM stiff a JOIN mass ON mass.v = a.j JOIN stiff b ON b.i = a.j) SELECT i::INT AS i, j::INT AS j, round({1 / (4 * math.pi * _KAPPA**2)!r} * sum(q), 6) + 0.0::DOUBLE AS q FROM q GROUP BY 1, 2"
 )
 def spde_precision(spark: SparkSession, d: str) -> DataFrame:
     v, t = _lattice(spark)

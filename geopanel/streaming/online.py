@@ -19,7 +19,8 @@ def stream_panel(events: DataFrame, site: str, ts: str, value: str, step: str =
 def stream_filter(panel: DataFrame, f: float, q: float, r: float, x0: float, p0: float, step_seconds: int = 86_400) -> DataFrame:
     """(site, start, x, p, loglik) for every closed step of a stream (site, start, y).
 
-    The state of a site is four numbers. Steps that a site skips are predicted through; steps that arrive after a later
+    panel is a stream of closed steps, such as a table that stream_panel writes: the stateful operator does not follow
+    another aggregation in one query. The state of a site is four numbers. Steps that a site skips are predicted through; steps that arrive after a later
     one of the site was filtered are ignored.
     """
 

@@ -62,9 +62,13 @@ def test_streamed_filter_equals_the_batch_one(spark, tmp_path):
         spark.createDataFrame(part, "user long, ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
     spark.createDataFrame([(9, dt.datetime(2024, 3, 1), 0.0)], "user long, ts timestamp, v double").coalesce(1).write.parquet(str(tmp_path / "in/9"))
     src = spark.readStream.schema("user long, ts timestamp, v double").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    out = stream_filter(stream_panel(src, "user", "ts", "v", late="0 seconds"), 0.8, 1.0, 2.0, 0.0, 4.0)
-    q = out.writeStream.format("memory").queryName("flt").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).outputMode("append").start()
-    q.awaitTermination(180)
+    panel = stream_panel(src, "user", "ts", "v", late="0 seconds")
+    q = panel.writeStream.format("parquet").option("path", str(tmp_path / "panel")).option("checkpointLocation", str(tmp_path / "c0")).trigger(availableNow=True).outputMode("append").start()
+    assert q.awaitTermination(120)
+    closed = spark.readStream.schema("site long, start timestamp, y double, n long").parquet(str(tmp_path / "panel"))
+    out = stream_filter(closed, 0.8, 1.0, 2.0, 0.0, 4.0)
+    q = out.writeStream.format("memory").queryName("flt").option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).outputMode("append").start()
+    assert q.awaitTermination(120)
     got = {(r.site, r.start.day): r.x for r in spark.table("flt").collect()}
     for s in (1, 2):
         y = np.array([[np.mean([v for a, t, v in rows if a == s and t.day == d + 1]) if any(a == s and t.day == d + 1 for a, t, _ in rows) else np.nan for d in range(12)]])
