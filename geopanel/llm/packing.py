@@ -9,6 +9,7 @@ at a time. The plan is a table (length, rank range) -> (sequence, offset) by whi
 from __future__ import annotations
 
 import re
+import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -24,14 +25,24 @@ from geopanel.llm.common import blocks, cut, hash_words, text_bytes
 #: Words, and parts of words, whose ids a worker remembers; a memory is emptied when full.
 MEMO, PARTS = 2_000_000, 400_000
 #: Bytes of text whose words are encoded together.
-TOGETHER = 6 << 20
+TOGETHER = 2 << 20
 #: Pieces of one length that are ranked together.
 RANKED = 100_000
 _shared: dict[str, Encoder] = {}
 #: Latin letters, which normalisation only lower-cases, and ASCII signs after them.
+_SIGNS = string.punctuation
 _PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]*)")
 
 
+def _plain(word: str) -> tuple[str, str] | None:
+    """(letters in lower case, signs) of a plain word."""
+    core = word.rstrip(_SIGNS)
+    if core.isascii() and core.isalpha():
+        return core.lower(), word[len(core) :]
+    m = _PLAIN.fullmatch(word)
+    return (m[1].lower(), m[2]) if m else None
+
+
 class Encoder:
     """Ids of whole texts by way of their words.
 
@@ -78,8 +89,7 @@ class Encoder:
         """Remember the ids of new words, given with their sorted hashes."""
         if len(self.parts) > PARTS:
             self.parts = {}
-        match = [_PLAIN.fullmatch(w) for w in words]
-        plain = [(m[1].lower(), m[2]) if m else None for m in match]
+        plain = [_plain(w) for w in words]
         self.parts.setdefault("", b"")
         self._learn_parts(list({p[0] for p in plain if p and p[0] not in self.parts}))
         for sign in {p[1] for p in plain if p and p[1] not in self.parts}:
