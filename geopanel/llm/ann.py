@@ -5,6 +5,9 @@ balanced. They are searched by a neighbour graph in memory. Every vector is post
 and boundary vectors also to those hardly farther away; a query visits the lists whose centroid is within a ratio of the
 nearest one. Lists are dealt to blocks of bounded size and a block compares its queries with its vectors exactly.
 
+Both ratios are measured on the table at hand: PROBES of its queries are held against all vectors, and the pair of ratios
+that gives RECALL of their true neighbours at the least number of comparisons is taken.
+
 Equal vectors are one entry of the index that keeps the least k + 1 of their ids: a result has k rows at most and ties go
 to smaller ids, so the others can never be in it.
 """
@@ -24,12 +27,12 @@ SAMPLE = 20_000
 #: Vectors a list is to have while that gives at most MAX_LISTS lists.
 LIST = 300
 MAX_LISTS = 2048
-#: A vector is also posted to centroids within this ratio of its nearest distance.
-REPLICATE = 1.01
-#: Queries visit lists within this ratio of the nearest centroid's distance.
-PRUNE = 1.13
+#: A vector is also posted to centroids within a ratio of its nearest distance: one of these.
+REPLICATES = (1.0, 1.01, 1.03, 1.06)
+#: Share of the true neighbours that the ratio of the queries' lists is to find, and the queries it is measured on.
+RECALL, PROBES = 0.99, 256
 DEGREE = 24
-#: Centroids that a search keeps: for posting a vector, and for the lists of a query.
+#: Centroids that a search in the graph keeps. Where the ratio may admit more, all centroids are compared.
 POST_BEAM, QUERY_BEAM = 16, 256
 BLOCK = 8192
 SALT = 256
@@ -117,44 +120,147 @@ class Graph:
             done[live, width : width + w] = np.isinf(dist)
 
 
-def _lists(graph: Graph, ratio: float, beam: int, id_cols: list[str]):
-    """mapInPandas function: (id columns, v, list) for every list of a vector within the ratio."""
+def ranked(graph: Graph, x: np.ndarray, ratio: float, beam: int, sizes: np.ndarray | None = None, least: int = 0):
+    """Yields (row, node, distance) of the centroids within the ratio of each vector's nearest one, nearest first, and of
+    further ones until the lists so far, of the given sizes, hold `least` vectors.
+
+    The graph finds them as long as its beam reaches beyond the ratio; all centroids are compared for the other vectors.
+    """
+    for i in range(0, len(x), 512):
+        part = x[i : i + 512]
+        node, d = graph.search(part, beam)
+        full = np.arange(len(part)) if beam >= len(graph.c) else np.flatnonzero(d[:, -1] <= ratio * d[:, 0] + 1e-12)
+        if sizes is not None:
+            held = np.where(node >= 0, sizes[node], 0).sum(1)
+            full = np.union1d(full, np.flatnonzero(held < least))
+        close = np.setdiff1d(np.arange(len(part)), full)
+        for rows, n, e in ((close, node[close], d[close]), (full, None, None)):
+            if not len(rows):
+                continue
+            if n is None:
+                e = np.sqrt(_square(part[rows], graph.c))
+                n = np.argsort(e, axis=1, kind="stable")
+                e = np.take_along_axis(e, n, 1)
+            ok = (n >= 0) & (e <= ratio * e[:, :1] + 1e-12)
+            if sizes is not None:
+                w = np.where(n >= 0, sizes[n], 0)
+                ok |= (n >= 0) & (np.cumsum(w, axis=1) - w < least)
+            row, col = np.nonzero(ok)
+            yield i + rows[row], n[row, col], e[row, col]
+
+
+def _lists(graph: Graph, ratio: float, beam: int, id_cols: list[str], sizes: np.ndarray | None = None, least: int = 0):
+    """mapInPandas function: (id columns, v, list, first) for every list of a vector; first marks its nearest list."""
 
     def run(frames):
         for f in frames:
-            for i in range(0, len(f), 512):
-                part = f.iloc[i : i + 512]
-                x = np.stack(part["v"].to_numpy()).astype(np.float64)
-                node, d = graph.search(x, beam)
-                ok = (node >= 0) & (d <= ratio * d[:, :1] + 1e-12)
-                row, col = np.nonzero(ok)
-                out = part[id_cols].iloc[row].reset_index(drop=True)
-                out["v"] = [part["v"].iloc[r] for r in row]
-                out["list"] = node[row, col].astype(np.int32)
+            if not len(f):
+                continue
+            x = np.stack(f["v"].to_numpy()).astype(np.float64)
+            for row, node, _ in ranked(graph, x, ratio, beam, sizes, least):
+                out = f[id_cols].iloc[row].reset_index(drop=True)
+                out["v"] = [f["v"].iloc[r] for r in row]
+                out["list"] = node.astype(np.int32)
+                out["first"] = np.diff(row, prepend=-1) != 0
                 yield out
 
     return run
 
 
+def _least(x: np.ndarray, y: np.ndarray, k: int):
+    """(positions in y, distances) of all y that can be among the k nearest of each x, ties with the last included."""
+    for i in range(0, len(x), 256):
+        rough = _square(x[i : i + 256], y)
+        scale = 1e-9 * (1 + (x[i : i + 256] ** 2).sum(1) + (y * y).sum(1).max())
+        edge = np.partition(rough, k - 1, axis=1)[:, k - 1] + scale if len(y) > k else np.full(len(rough), np.inf)
+        for r in range(len(rough)):
+            at = np.flatnonzero(rough[r] <= edge[r])
+            diff = y[at] - x[i + r]
+            yield at, np.sqrt((diff * diff).sum(1))
+
+
+def _truth(probes: np.ndarray, keys: np.ndarray, k: int):
+    """mapInPandas function: (q, c, v, d) of the k nearest vectors of each probe in a partition, its own one aside."""
+
+    def run(frames):
+        best = [pd.DataFrame({"c": [], "d": [], "v": []})] * len(probes)
+        for f in frames:
+            if not len(f):
+                continue
+            c = f["c"].to_numpy()
+            for q, (at, d) in enumerate(_least(probes, np.stack(f["v"].to_numpy()).astype(np.float64), k + 1)):
+                at, d = at[c[at] != keys[q]], d[c[at] != keys[q]]
+                new = pd.DataFrame({"c": c[at], "d": d, "v": f["v"].iloc[at].to_numpy()})
+                best[q] = (pd.concat([best[q], new]) if len(best[q]) else new).nsmallest(k, "d")
+        for q, b in enumerate(best):
+            if len(b):
+                yield pd.DataFrame({"q": np.int32(q), "c": b["c"].astype(np.int64), "v": b["v"], "d": b["d"]})
+
+    return run
+
+
+def calibrate(entries: DataFrame, asks: DataFrame, graph: Graph, sample: np.ndarray, k: int) -> tuple[float, float, float]:
+    """(replication ratio, pruning ratio, recall): the ratios of least work whose lists hold RECALL of the true k nearest
+    of PROBES queries, found by comparing those with all entries. Of bounded size on the driver."""
+    got = asks.select("q", "v").orderBy(F.xxhash64(F.lit(5), "q"), "q").limit(PROBES).toPandas()
+    probes, keys = np.stack(got["v"].to_numpy()).astype(np.float64), got["q"].to_numpy()
+    near = entries.select("c", "v").mapInPandas(_truth(probes, keys, k), "q int, c long, v array<double>, d double")
+    w = Window.partitionBy("q").orderBy("d", "c")
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k).select("q", "v").toPandas()
+    if not len(near):
+        return 1.0, 1.0, 1.0
+    q, x = near["q"].to_numpy(), np.stack(near["v"].to_numpy()).astype(np.float64)
+    away = np.sqrt(_square(probes, graph.c))
+    away /= np.maximum(away.min(1, keepdims=True), 1e-12)
+    some = sample[:: max(1, len(sample) // 2000)]
+    best = None
+    for rep in REPLICATES:
+        need = np.full(len(x), np.inf)
+        for row, node, _ in ranked(graph, x, rep, POST_BEAM):
+            np.minimum.at(need, row, away[q[row], node])
+        prune = float(np.sort(need)[min(len(need), int(np.ceil(RECALL * len(need)))) - 1])
+        posts = np.zeros(len(graph.c))
+        for _, node, _ in ranked(graph, some, rep, POST_BEAM):
+            posts += np.bincount(node, minlength=len(posts))
+        work = float(((away <= prune + 1e-9) * posts).sum())
+        if best is None or work < best[0]:
+            best = work, rep, prune + 1e-9, float((need <= prune + 1e-9).mean())
+    return best[1:]
+
+
 def _compare(k: int):
     def run(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         cols = {"q": [], "c": [], "score": [], "ids": []}
         if len(q) and len(p):
             a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(p["v"].to_numpy()).astype(np.float64)
             key, least, ids = p["c"].to_numpy(), np.array([v[0] for v in p["ids"]]), p["ids"].to_numpy()
-            for i in range(len(a)):
-                diff = b - a[i]
-                d = np.sqrt((diff * diff).sum(1))
-                best = np.lexsort((least, d))[: k + 1] if len(d) <= 4 * k else None
-                if best is None:
-                    edge = np.partition(d, k)[k]
-                    near = np.flatnonzero(d <= edge)
-                    best = near[np.lexsort((least[near], d[near]))[: k + 1]]
+            bound = q["bound"].to_numpy()
+            for i, (at, d) in enumerate(_least(a, b, k + 1)):
+                best = np.lexsort((least[at], d))[: k + 1]
+                best = best[d[best] <= bound[i]]
                 cols["q"] += [q["q"].iloc[i]] * len(best)
-                cols["c"] += key[best].tolist()
+                cols["c"] += key[at[best]].tolist()
                 cols["score"] += d[best].tolist()
-                cols["ids"] += [ids[j] for j in best]
-        return pd.DataFrame(cols)
+                cols["ids"] += [ids[j] for j in at[best]]
+        return pd.DataFrame(cols | {"ids": pd.Series(cols["ids"], dtype=object)})
+
+    return run
+
+
+def _seeds(sample: np.ndarray, keys: np.ndarray, ids: list, k: int):
+    """mapInPandas function: adds the k + 1 nearest of the sample, which top up short results, and the distance of the
+    last one, which no result can exceed."""
+
+    def run(frames):
+        for f in frames:
+            if not len(f):
+                continue
+            out = {"sc": [], "sd": [], "si": []}
+            for at, d in _least(np.stack(f["v"].to_numpy()).astype(np.float64), sample, k + 1):
+                best = np.argsort(d, kind="stable")[: k + 1]
+                out["sc"].append(keys[at[best]]), out["sd"].append(d[best]), out["si"].append([ids[j] for j in at[best]])
+            bound = [v[-1] * (1 + 1e-9) if len(v) > k else np.inf for v in out["sd"]]
+            yield f.assign(bound=bound, **{n: pd.Series(v, index=f.index, dtype=object) for n, v in out.items()})
 
     return run
 
@@ -180,15 +286,24 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     few = rows.groupBy("c", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt")).agg(F.first("v").alias("v"), F.slice(F.sort_array(F.collect_set("id")), 1, k + 1).alias("ids"))
     entries = cut(few.groupBy("c").agg(F.first("v").alias("v"), F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids")))
     total = entries.count()
-    sample = entries.select("c", "v").orderBy(F.xxhash64(F.lit(3), "c"), "c").limit(SAMPLE).select("v").toArrow().column(0)
-    x = np.array(sample.combine_chunks().flatten()).reshape(-1, width.n)
+    sample = entries.orderBy(F.xxhash64(F.lit(3), "c"), "c").limit(SAMPLE).select("c", "ids", "v").toArrow()
+    x = np.array(sample.column("v").combine_chunks().flatten()).reshape(-1, width.n)
     want = min(MAX_LISTS, max(1, total // LIST), max(1, len(x) // 8))
     graph = Graph(balanced_centroids(x, int(np.log2(want))))
 
-    posts = cut(entries.mapInPandas(_lists(graph, REPLICATE, POST_BEAM, ["c", "ids"]), "c long, ids array<long>, v array<double>, list int"))
     asked = rows.where(F.expr(query.format(id="id")))
     asks = asked.groupBy("c").agg(F.first("v").alias("v")).select(F.col("c").alias("q"), "v")
-    asks = cut(asks.mapInPandas(_lists(graph, PRUNE, QUERY_BEAM, ["q"]), "q long, v array<double>, list int"))
+    asks = cut(asks.mapInPandas(_seeds(x, sample.column("c").to_numpy(), sample.column("ids").to_pylist(), k), "q long, v array<double>, bound double, sc array<long>, sd array<double>, si array<array<long>>"))
+    if asks.isEmpty():
+        return empty
+    seeds = asks.select("q", F.explode(F.arrays_zip("sc", "sd", "si")).alias("s")).select("q", F.col("s.sc").alias("c"), F.col("s.sd").alias("score"), F.col("s.si").alias("ids"))
+    replicate, prune, _ = calibrate(entries, asks, graph, x, k)
+    posts = cut(entries.mapInPandas(_lists(graph, replicate, POST_BEAM, ["c", "ids"]), "c long, ids array<long>, v array<double>, list int, first boolean"))
+    # Lists that hold k + 1 vectors between them are visited whatever the ratio.
+    sizes = np.zeros(len(graph.c), np.int64)
+    for r in posts.where("first").groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    asks = cut(asks.select("q", "v", "bound").mapInPandas(_lists(graph, prune, QUERY_BEAM, ["q", "bound"], sizes, k + 1), "q long, bound double, v array<double>, list int, first boolean"))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -198,8 +313,8 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     p = posts.join(split, "list").withColumn("a", F.pmod(F.xxhash64("c"), F.col("pn")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
     q = asks.join(split, "list").withColumn("b", F.pmod(F.xxhash64("q"), F.col("qn")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)))
     key = ["list", "a", "b"]
-    hits = q.select(*key, "q", "v").groupBy(*key).cogroup(p.select(*key, "c", "ids", "v").groupBy(*key)).applyInPandas(_compare(k), "q long, c long, score double, ids array<long>")
-    found = hits.dropDuplicates(["q", "c"]).select("q", "score", F.explode("ids").alias("vec_id"))
+    hits = q.select(*key, "q", "bound", "v").groupBy(*key).cogroup(p.select(*key, "c", "ids", "v").groupBy(*key)).applyInPandas(_compare(k), "q long, c long, score double, ids array<long>")
+    found = hits.unionByName(seeds).dropDuplicates(["q", "c"]).select("q", "score", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("q").orderBy("score", "vec_id")
     found = cut(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1))
     # Every query row reads its vector's list without its own id.
