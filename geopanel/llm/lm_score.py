@@ -2,7 +2,9 @@
 
 Every token is predicted from the WINDOW tokens on both its sides. A document's score is the sum of its tokens'
 conditional log-probabilities. Tokens are the SLOTS - RARE commonest words of the corpus, counted over all of it, and
-RARE hashed slots that share the other words. The network embeds the window, weighs each position, adds them up, and
+RARE hashed slots that share the other words. A word of a shared slot has its own part of the slot's probability, by the
+corpus counts of all words, so that conditionals sum to one over words. The counts are a table that grows with the corpus
+and is joined; only those of the HELD next commonest words go to the workers. The network embeds the window, weighs each position, adds them up, and
 predicts through tanh and a two-level softmax (group of the slot, slot in the group), so that the conditional
 probabilities of all slots sum to one.
 
@@ -14,14 +16,15 @@ aggregation over weight indices, so that the driver holds one model whatever the
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import blocks, hash_words, mix64, text_bytes
+from geopanel.llm.common import blocks, cut, hash_words, mix64, text_bytes
 
 SLOTS, RARE, GROUPS = 1024, 256, 32
 DIM, WINDOW, STRIDE, ROUNDS = 16, 2, 8, 2
@@ -29,6 +32,10 @@ MEMBERS = SLOTS // GROUPS
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 BATCH = 2048
 BLOCK_BYTES = 4 << 20
+#: Commonest words of shared slots whose counts the workers hold; the counts of all others are joined.
+HELD = 65_536
+#: What a word of a shared slot is counted more often than it was seen; unseen words of the slot have this count together.
+EXTRA = 0.5
 #: Distinct words a task counts before it hands on partial counts.
 PARTIAL = 400_000
 
@@ -169,11 +176,19 @@ class Trainer:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Sorted hashes of the common words, their slots, and the corpus count of every slot."""
+    """Sorted hashes of the common words, their slots, and the corpus count of every slot.
+
+    words (h, n) holds the corpus count of every word. share is the total of each shared slot after smoothing, held and
+    held_n are the sorted hashes and the counts of its commonest words. Without words a slot's probability is not parted.
+    """
 
     keys: np.ndarray
     slots: np.ndarray
     counts: np.ndarray
+    words: DataFrame | None = None
+    share: np.ndarray | None = None
+    held: np.ndarray | None = None
+    held_n: np.ndarray | None = None
 
     def slot(self, h: np.ndarray) -> np.ndarray:
         rare = (SLOTS - RARE + (h % np.uint64(RARE)).astype(np.int64)).astype(np.int32)
@@ -182,6 +197,21 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
         return np.where(self.keys[at] == h, self.slots[at], rare).astype(np.int32)
 
+    def parts(self, h: np.ndarray, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(log p(word | slot), open): 0 for words of their own slot; open words have a count of 0 here, and theirs is in
+        words if anywhere."""
+        out, left = np.zeros(len(h)), np.zeros(len(h), bool)
+        if self.share is None or not len(h):
+            return out, left
+        rare = np.flatnonzero(slot >= SLOTS - RARE)
+        w, n = h[rare], np.zeros(len(rare))
+        if len(self.held):
+            at = np.minimum(np.searchsorted(self.held, w), len(self.held) - 1)
+            n = np.where(self.held[at] == w, self.held_n[at], 0)
+        out[rare] = np.log((n + EXTRA) / self.share[slot[rare] - (SLOTS - RARE)])
+        left[rare] = n == 0
+        return out, left
+
 
 def count_words(docs: DataFrame, text_col: str) -> DataFrame:
     """(h, n): corpus count of every word hash, over all texts; partial counts are summed by the shuffle."""
@@ -211,19 +241,26 @@ def count_words(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text_col: str) -> Vocabulary:
-    counted = count_words(docs, text_col)
-    top = counted.orderBy(F.desc("n"), "h").limit(SLOTS - RARE).collect()
-    keys = np.array([r.h for r in top], np.int64).view(np.uint64)
+    counted = cut(count_words(docs, text_col))
+    top = counted.orderBy(F.desc("n"), "h").limit(SLOTS - RARE + HELD).toArrow()
+    h, n = top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    keys, held, held_n = h[: SLOTS - RARE], h[SLOTS - RARE :], n[SLOTS - RARE :]
     counts = np.zeros(SLOTS)
-    counts[: len(top)] = [r.n for r in top]
-    order = np.argsort(keys)
-    # Rare slots start from equal counts: their true ones are learned as output biases.
-    counts[SLOTS - RARE :] = max(1.0, counts.sum() / SLOTS)
-    return Vocabulary(keys[order], order.astype(np.int32), counts)
-
-
-def _tokens(col, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, padded slots, word bounds) of blocks of texts; row i's words are at first[i] + WINDOW * (2 i
+    counts[: len(keys)] = n[: SLOTS - RARE]
+    # Totals of the shared slots, h mod RARE, over all words but the common ones.
+    words, total = np.zeros(RARE), np.zeros(RARE)
+    for r in counted.groupBy(F.pmod(F.col("h").bitwiseAND(F.lit(RARE - 1)), F.lit(RARE)).cast("int").alias("s")).agg(F.count("*").alias("w"), F.sum("n").alias("n")).collect():
+        words[r.s], total[r.s] = r.w, r.n
+    own = (keys % np.uint64(RARE)).astype(np.int64)
+    words -= np.bincount(own, minlength=RARE)
+    total -= np.bincount(own, n[: SLOTS - RARE], minlength=RARE)
+    counts[SLOTS - RARE :] = total
+    order, by_hash = np.argsort(keys), np.argsort(held)
+    return Vocabulary(keys[order], order.astype(np.int32), counts, counted, total + EXTRA * (words + 1), held[by_hash], held_n[by_hash])
+
+
+def _tokens(col, vocab: Vocabulary, hashes: list | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, padded slots, word bounds), and in hashes the word hashes, of blocks of texts; row i's words are at first[i] + WINDOW * (2 i
     + 1) on, with WINDOW pads on both sides of every text."""
     data, off = text_bytes(col)
     for i, j in blocks(off, BLOCK_BYTES):
@@ -232,6 +269,8 @@ def _tokens(col, vocab: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.n
         place = np.arange(len(h)) + np.repeat(WINDOW * (2 * np.arange(len(n)) + 1), n)
         padded = np.full(len(h) + 2 * WINDOW * len(n), SLOTS, np.int32)
         padded[place] = vocab.slot(h)
+        if hashes is not None:
+            hashes[:] = [h]
         yield i, j, padded, np.stack([place, np.repeat(np.arange(len(n)), n), np.arange(len(h)) - np.repeat(first[:-1], n)]) if len(h) else np.zeros((3, 0), np.int64)
 
 
@@ -245,7 +284,7 @@ def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> tuple[V
     sc = docs.sparkSession.sparkContext
     net = Net.start(vocab.counts)
     for r in range(ROUNDS):
-        shared = sc.broadcast((vocab, net))  # one model: its size is set by SLOTS and DIM
+        shared = sc.broadcast((replace(vocab, words=None), net))  # one model: its size is set by SLOTS and DIM
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
             vocab, net = shared.value
@@ -275,21 +314,38 @@ def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> tuple[V
 def score(docs: DataFrame, vocab: Vocabulary, net: Net, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_tokens, log_prob (sum over the whole text), mean_log_prob. Null and blank texts have no tokens, log_prob 0
     and a null mean; repeated rows score alike; an empty table gives an empty result; further columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, net))
+    table = vocab.words
+    shared = docs.sparkSession.sparkContext.broadcast((replace(vocab, words=None), net))
+    names = ["key", "id", "n_tokens", "log_prob", "h"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net = shared.value
-        tables = net.tables()
+        tables, hashes = net.tables(), []
+        key = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 40
         for batch in batches:
-            for i, j, padded, (place, row, _) in _tokens(batch.column(1), vocab):
+            for i, j, padded, (place, row, _) in _tokens(batch.column(1), vocab, hashes):
                 lp = np.zeros(len(place))
                 for k in range(0, len(place), 4 * BATCH):
                     at = place[k : k + 4 * BATCH]
                     lp[k : k + 4 * BATCH] = net.log_prob(_context(padded, at), padded.take(at), tables)
                 n = np.bincount(row, minlength=j - i)[: j - i] if len(row) else np.zeros(j - i, np.int64)
                 total = np.bincount(row, lp, minlength=j - i)[: j - i] if len(row) else np.zeros(j - i)
-                mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), mean], names=["id", "n_tokens", "log_prob", "mean_log_prob"])
+                part, left = vocab.parts(hashes[0], padded[place]) if len(place) else (np.zeros(0), np.zeros(0, bool))
+                total = total + np.bincount(row, part, minlength=j - i)[: j - i] if len(row) else total
+                keys = key + np.arange(j - i)
+                key += j - i
+                # A row for each text, and one for each of its words whose count is to be joined.
+                yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(total), pa.nulls(j - i, pa.int64())], names=names)
+                at = np.flatnonzero(left)
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[row[at]]), pa.nulls(len(at), batch.column(0).type), pa.array(np.zeros(len(at), np.int64)), pa.array(np.zeros(len(at))), pa.array(hashes[0][at].view(np.int64))], names=names)
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"id {kind}, n_tokens long, log_prob double, mean_log_prob double")
+    out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"key long, id {kind}, n_tokens long, log_prob double, h long")
+    if table is not None:
+        # Rows of texts take a hash of their key to the join, which is dealt evenly and meets no count.
+        out = out.withColumn("__h", F.coalesce("h", F.xxhash64("key"))).join(table.select(F.col("h").alias("__h"), "n").hint("shuffle_hash"), "__h", "left")
+        more = F.when(F.col("h").isNotNull() & F.col("n").isNotNull(), F.log((F.col("n") + EXTRA) / EXTRA)).otherwise(0.0)
+        out = out.withColumn("log_prob", F.col("log_prob") + more)
+        out = out.groupBy("key").agg(F.first("id", ignorenulls=True).alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))
+    return out.select("id", "n_tokens", "log_prob", F.when(F.col("n_tokens") > 0, F.col("log_prob") / F.col("n_tokens")).alias("mean_log_prob"))
