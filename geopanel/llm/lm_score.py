@@ -8,8 +8,8 @@ and is joined; only those of the HELD next commonest words go to the workers. Th
 predicts through tanh and a two-level softmax (group of the slot, slot in the group), so that the conditional
 probabilities of all slots sum to one.
 
-Training goes over all documents in ROUNDS rounds: round r trains on every STRIDE-th token of every document from its own
-phase on. A partition starts from the common weights, and the partitions' weights are averaged by token counts in one
+Training goes over all documents in ROUNDS rounds: round r trains on every ROUNDS-th token of every document from its own
+phase on, so that the rounds together train on every token once. A partition starts from the common weights, and the partitions' weights are averaged by token counts in one
 aggregation over weight indices, so that the driver holds one model whatever the number of partitions.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from geopanel.llm.common import blocks, cut, hash_words, mix64, text_bytes
 
 SLOTS, RARE, GROUPS = 1024, 256, 32
-DIM, WINDOW, STRIDE, ROUNDS = 16, 2, 8, 2
+DIM, WINDOW, ROUNDS = 16, 2, 2
 MEMBERS = SLOTS // GROUPS
 OFFSETS = [*range(-WINDOW, 0), *range(1, WINDOW + 1)]
 BATCH = 2048
@@ -278,6 +278,12 @@ def _context(padded: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return [padded.take(at + o) for o in OFFSETS]
 
 
+def in_round(row: np.ndarray, nth: np.ndarray, r: int) -> np.ndarray:
+    """Whether round r trains on each token; every token is in one round. Phases follow the texts' lengths."""
+    phase = mix64(np.bincount(row).astype(np.uint64)) % np.uint64(ROUNDS)
+    return (nth + phase.astype(np.int64)[row] + r) % ROUNDS == 0
+
+
 def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> tuple[Vocabulary, Net]:
     """The corpus's vocabulary and network."""
     vocab = vocabulary(docs, text_col)
@@ -291,9 +297,7 @@ def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> tuple[V
             t = Trainer(net, rate)
             for batch in batches:
                 for _, _, padded, (place, row, nth) in _tokens(batch.column(0), vocab):
-                    length = np.bincount(row) if len(row) else np.zeros(0, np.int64)
-                    phase = (mix64(length.astype(np.uint64)) + np.uint64(r * STRIDE // ROUNDS)) % np.uint64(STRIDE)
-                    at = place[(nth + phase.astype(np.int64)[row]) % STRIDE == 0] if len(row) else place
+                    at = place[in_round(row, nth, r)]
                     for k in range(0, len(at), BATCH):
                         part = at[k : k + BATCH]
                         t.batch(_context(padded, part), padded[part])
@@ -344,7 +348,7 @@ def score(docs: DataFrame, vocab: Vocabulary, net: Net, id_col: str = "doc_id",
     out = docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, f"key long, id {kind}, n_tokens long, log_prob double, h long")
     if table is not None:
         # Rows of texts take a hash of their key to the join, which is dealt evenly and meets no count.
-        out = out.withColumn("__h", F.coalesce("h", F.xxhash64("key"))).join(table.select(F.col("h").alias("__h"), "n").hint("shuffle_hash"), "__h", "left")
+        out = out.withColumn("__h", F.coalesce("h", F.xxhash64("key"))).join(table.select(F.col("h").alias("__h"), "n").hint("merge"), "__h", "left")
         more = F.when(F.col("h").isNotNull() & F.col("n").isNotNull(), F.log((F.col("n") + EXTRA) / EXTRA)).otherwise(0.0)
         out = out.withColumn("log_prob", F.col("log_prob") + more)
         out = out.groupBy("key").agg(F.first("id", ignorenulls=True).alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum("log_prob").alias("log_prob"))

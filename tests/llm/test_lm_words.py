@@ -33,3 +33,13 @@ def test_words_of_a_shared_slot_score_by_their_counts(spark, monkeypatch):
         hs = lm_score.hash_words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=True)[0]
         want = sum(np.log((words.get(int(k.view(np.int64)), 0) + lm_score.EXTRA) / vocab.share[v - lm_score.SLOTS + lm_score.RARE]) for k, v in zip(hs, vocab.slot(hs)) if v >= lm_score.SLOTS - lm_score.RARE)
         assert abs(a - b - want) < 1e-6
+
+
+def test_every_token_is_trained_on(spark):
+    for n in (1, 2, 3):
+        df = spark.createDataFrame([(i, " ".join(["word"] * n)) for i in range(20)], "doc_id long, text string").coalesce(1)
+        vocab, net = lm_score.train(df)
+        assert not np.array_equal(net.flat(), lm_score.Net.start(vocab.counts).flat())
+    row = np.repeat(np.arange(40), np.arange(40))
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(np.arange(40)) - np.arange(40), np.arange(40))
+    assert (sum(lm_score.in_round(row, nth, r).astype(int) for r in range(lm_score.ROUNDS)) == 1).all()
