@@ -95,6 +95,18 @@ def text_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, off - off[0]
 
 
+def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each data[start:end], none of them empty."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    size = end - start
+    lead = np.cumsum(size) - size
+    pos = np.arange(int(size.sum())) - np.repeat(lead, size)
+    power = _POW if size.max() <= len(_POW) else _powers(int(size.max()))
+    h = np.add.reduceat(_BYTE[data[np.repeat(start, size) + pos]] * power[pos], lead)
+    return mix64(h ^ size.astype(np.uint64))
+
+
 def hash_words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, first): a 64-bit hash and byte bounds for each word; first[i]:first[i+1] are the words of row i.
 
@@ -117,13 +129,7 @@ def hash_words(data: np.ndarray, off: np.ndarray, lower: bool) -> tuple[np.ndarr
         return np.zeros(0, np.uint64), start, end, first
     if lower:
         data = data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
-    at = np.flatnonzero(solid)
-    size = end - start
-    lead = np.concatenate([[0], np.cumsum(size)[:-1]])
-    pos = np.arange(len(at)) - np.repeat(lead, size)
-    power = _POW if size.max() <= len(_POW) else _powers(int(size.max()))
-    h = np.add.reduceat(_BYTE[data[at]] * power[pos], lead)
-    return mix64(h ^ size.astype(np.uint64)), start, end, first
+    return hash_spans(data, start, end), start, end, first
 
 
 def blocks(off: np.ndarray, most: int):

@@ -1,14 +1,13 @@
 """Best-fit packing of token sequences by patterns fitted with non-negative least squares.
 
 Lengths are counted first; the histogram has max_len bins whatever the input, so the plan is made on the driver. Patterns
-of one to three lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
-least squares and rounded down, and the residual histogram is packed best-fit decreasing, whole groups of equal lengths
-at a time. The plan is a table (length, rank range) -> (sequence, offset) by which every piece finds its place.
+of two or three lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
+least squares and rounded, and the residual histogram is packed best-fit decreasing, whole groups of equal lengths at a
+time. The plan is a table (length, rank range) -> (sequence, offset) by which every piece finds its place.
 """
 
 from __future__ import annotations
 
-import re
 import string
 import zlib
 from collections import defaultdict
@@ -20,113 +19,177 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import blocks, cut, hash_words, text_bytes
+from geopanel.llm.common import blocks, cut, hash_spans, hash_words, text_bytes
 
 #: Words, and parts of words, whose ids a worker remembers; a memory is emptied when full.
-MEMO, PARTS = 2_000_000, 400_000
-#: Bytes of text whose words are encoded together.
-TOGETHER = 2 << 20
+MEMO, PARTS = 2_000_000, 1_000_000
+#: Bytes of text whose words are encoded together, and unknown parts of words that one call of the tokenizer takes.
+TOGETHER, CALL = 2 << 20, 4096
 #: Pieces of one length that are ranked together.
 RANKED = 100_000
 _shared: dict[str, Encoder] = {}
-#: Latin letters, which normalisation only lower-cases, and ASCII signs after them.
-_SIGNS = string.punctuation
-_PLAIN = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-/:-@\\[-`{-~]*)")
+#: Classes of bytes: ASCII letters, ASCII signs, the lead byte of Latin letters with marks and their second bytes, in
+#: which normalisation only lower-cases.
+_LETTER, _SIGN, _SECOND = (np.zeros(256, bool) for _ in range(3))
+_LETTER[np.frombuffer(string.ascii_letters.encode(), np.uint8)] = True
+_SIGN[np.frombuffer(string.punctuation.encode(), np.uint8)] = True
+_LEAD = 0xC3
+_SECOND[0x80:0xC0] = True
+_SECOND[[0x97, 0xB7]] = False  # the multiplication and division signs
+#: The tokenizer's own letters for bytes: a printable byte of Latin-1 is itself, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LETTERS = [(chr(b), chr(256 + k)) for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE) if b >= 0x80]
+
+
+class _Memory:
+    """Sorted 64-bit keys with a run of ids each, found by binary search."""
+
+    def __init__(self) -> None:
+        self.keys, self.at, self.width = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def missing(self, keys: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(self.keys, keys)
+        fresh = np.ones(len(keys), bool)
+        inside = place < len(self.keys)
+        fresh[inside] = self.keys[place[inside]] != keys[inside]
+        return fresh
+
+    def add(self, keys: np.ndarray, width: np.ndarray, ids: np.ndarray) -> None:
+        """New keys, sorted; ids has their runs one after the other."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(ids)), np.uint32)])
+        self.ids[self.used : self.used + len(ids)] = ids
+        at = self.used + np.cumsum(width) - width
+        self.used += len(ids)
+        place = np.searchsorted(self.keys, keys)
+        self.keys, self.at, self.width = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.width, place, width)
+
+    def runs(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, width) in ids of keys that are all here."""
+        place = np.searchsorted(self.keys, keys)
+        return self.at[place], self.width[place]
+
+
+def _spread(start: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, .. of width[i] each, one run after the other."""
+    return np.arange(int(width.sum())) + np.repeat(start - np.cumsum(width) + width, width)
 
 
-def _plain(word: str) -> tuple[str, str] | None:
-    """(letters in lower case, signs) of a plain word."""
-    core = word.rstrip(_SIGNS)
-    if core.isascii() and core.isalpha():
-        return core.lower(), word[len(core) :]
-    m = _PLAIN.fullmatch(word)
-    return (m[1].lower(), m[2]) if m else None
+def plain_words(flat: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, whether plain, bytes of letters) of words whose bytes flat has at lead[i]:lead[i + 1].
+
+    A plain word is a run of Latin letters, which normalisation only lower-cases, and a run of ASCII signs after it, which
+    may be empty: pre-tokens of their own.
+    """
+    first = flat == _LEAD
+    first[:-1] &= _SECOND[flat[1:]]
+    letter = _LETTER[flat] | first
+    second = np.concatenate([[False], first[:-1]])
+    letter |= second
+    after = ~letter  # a letter that follows no letter of its word
+    after[1:] = letter[1:] & ~letter[:-1]
+    after[lead[:-1]] = ~letter[lead[:-1]]
+    other = ~letter & ~_SIGN[flat]
+    plain = ~np.logical_or.reduceat(after | other, lead[:-1])
+    upper = ((flat >= 65) & (flat <= 90)) | (second & (flat <= 0x9E))
+    return flat + upper.astype(np.uint8) * np.uint8(32), plain, np.add.reduceat(letter.astype(np.int64), lead[:-1])
 
 
 class Encoder:
     """Ids of whole texts by way of their words.
 
     The tokenizer drops white space and its pre-tokens never span any, so a text's ids are its words' ids in a row; and a
-    run of letters and a run of signs after it are pre-tokens of their own. Words are found and hashed by array passes
-    over the bytes; sorted arrays map a known word's 64-bit hash to its ids. The unknown letter runs of many texts are
-    encoded in one call, in which the ids that end a word tell them apart.
+    run of letters and a run of signs after it are pre-tokens of their own. Words, and their letters and signs, are found
+    and hashed by array passes over the bytes; sorted arrays map a known one's 64-bit hash to its ids. The unknown letter
+    runs of many texts are encoded in one call, in which the ids that end a word tell them apart.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.plain = Tokenizer.from_file(path)  # for text that is normal already
+        self.plain = Tokenizer.from_file(path)  # for letter runs that are normal and in the tokenizer's letters already
         self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         vocab = self.tok.get_vocab(with_added_tokens=False)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self._forget()
-        self.parts: dict[str, bytes] = {}
-
-    def _forget(self) -> None:
-        self.keys, self.at, self.width = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _learn_parts(self, parts: list[str]) -> None:
-        for i in range(0, len(parts), 4096):
-            some = parts[i : i + 4096]
-            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+        self.words, self.parts = _Memory(), _Memory()
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _runs(self, raw: list[bytes], letters: bool) -> tuple[np.ndarray, np.ndarray]:
+        """(widths, ids) of letter or sign runs."""
+        if letters and raw:
+            text = b" ".join(raw).decode("latin-1")
+            for b, c in () if text.isascii() else _BYTE_LETTERS:
+                text = text.replace(b, c)
+            ids = np.array(self.plain.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             ends = np.flatnonzero(self.ends[np.minimum(ids, len(self.ends) - 1)]) + 1
-            if len(ends) != len(some):  # not a tokenizer that marks word ends
-                self.parts.update((p, self._ids(p)) for p in some)
-                continue
-            raw, at = ids.tobytes(), 0
-            for p, e in zip(some, ends.tolist(), strict=True):
-                self.parts[p] = raw[at : 4 * e]
-                at = 4 * e
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
+            if len(ends) == len(raw):  # a tokenizer that marks word ends
+                return np.diff(ends, prepend=0), ids
+        each = [self._ids(r.decode()) for r in raw]
+        return np.array([len(v) for v in each], np.int64), np.concatenate(each) if each else np.zeros(0, np.uint32)
+
+    def _parts(self, flat: np.ndarray, start: np.ndarray, size: np.ndarray, letters: bool) -> np.ndarray:
+        """Hashes of the runs flat[start:start + size], which are remembered from now on."""
+        keys, index, back = np.unique(hash_spans(flat, start, start + size), return_index=True, return_inverse=True)
+        fresh = self.parts.missing(keys)
+        new, at = keys[fresh], index[fresh]
+        widths, ids = [], []
+        for i in range(0, len(at), CALL):
+            a, n = start[at[i : i + CALL]], size[at[i : i + CALL]]
+            raw = flat[_spread(a, n)].tobytes()
+            bounds = np.concatenate([[0], np.cumsum(n)]).tolist()
+            w, v = self._runs([raw[x:y] for x, y in zip(bounds, bounds[1:], strict=False)], letters)
+            widths.append(w), ids.append(v)
+        if widths:
+            self.parts.add(new, np.concatenate(widths), np.concatenate(ids))
+        return keys[back]
+
+    def _learn(self, keys: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
         """Remember the ids of new words, given with their sorted hashes."""
-        if len(self.parts) > PARTS:
-            self.parts = {}
-        plain = [_plain(w) for w in words]
-        self.parts.setdefault("", b"")
-        self._learn_parts(list({p[0] for p in plain if p and p[0] not in self.parts}))
-        for sign in {p[1] for p in plain if p and p[1] not in self.parts}:
-            self.parts[sign] = self._ids(sign)
-        raw = [self.parts[p[0]] + self.parts[p[1]] if p else self._ids(w) for p, w in zip(plain, words, strict=True)]
-        width = np.array([len(r) // 4 for r in raw], np.int32)
-        new = np.frombuffer(b"".join(raw), "<u4")
-        if self.used + len(new) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(len(self.ids) // 2, len(new)), np.uint32)])
-        self.ids[self.used : self.used + len(new)] = new
-        at = self.used + np.concatenate([[0], np.cumsum(width[:-1])]).astype(np.int64)
-        self.used += len(new)
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.width = np.insert(self.keys, place, keys), np.insert(self.at, place, at), np.insert(self.width, place, width)
+        if len(self.parts.keys) > PARTS:
+            self.parts = _Memory()
+        size = end - start
+        lead = np.concatenate([[0], np.cumsum(size)])
+        flat = data[_spread(start, size)]
+        low, plain, letters = plain_words(flat, lead)
+        rest = size - letters
+        head = self._parts(low, lead[:-1][plain], letters[plain], True)
+        signed = plain & (rest > 0)
+        tail = self._parts(low, (lead[:-1] + letters)[signed], rest[signed], False)
+        raw = flat.tobytes()
+        odd = [self._ids(raw[i:j].decode()) for i, j in zip(lead[:-1][~plain].tolist(), lead[1:][~plain].tolist(), strict=True)]
+        # Every word is one or two runs of remembered ids; odd words' runs follow the memory.
+        ids = np.concatenate([self.parts.ids[: self.parts.used], *odd])
+        at, width = np.zeros((len(keys), 2), np.int64), np.zeros((len(keys), 2), np.int64)
+        at[plain, 0], width[plain, 0] = self.parts.runs(head)
+        at[signed, 1], width[signed, 1] = self.parts.runs(tail)
+        n = np.array([len(v) for v in odd], np.int64)
+        at[~plain, 0], width[~plain, 0] = self.parts.used + np.cumsum(n) - n, n
+        self.words.add(keys, width.sum(1), ids[_spread(at.ravel(), width.ravel())])
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of a block of texts, each with a closing id 0."""
         h, start, end, first = hash_words(data, off, lower=False)
         keys, index, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.keys) > MEMO:
-            self._forget()
-        place = np.searchsorted(self.keys, keys)
-        fresh = np.ones(len(keys), bool)
-        inside = place < len(self.keys)
-        fresh[inside] = self.keys[place[inside]] != keys[inside]
+        if len(self.words.keys) > MEMO:
+            self.words = _Memory()
+        fresh = self.words.missing(keys)
         if fresh.any():
-            raw = data.tobytes()
             at = index[fresh]
-            self._learn(keys[fresh], [raw[i:j].decode() for i, j in zip(start[at].tolist(), end[at].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, keys)
-        width = self.width[place][back].astype(np.int64)
+            self._learn(keys[fresh], data, start[at], end[at])
+        at, width = self.words.runs(keys)
+        at, width = at[back], width[back]
         doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
         ends = np.cumsum(width)
         into = ends - width + doc  # one closing id before each later text
         out = np.zeros(int(ends[-1] if len(ends) else 0) + len(off) - 1, "<u4")
-        steps = np.arange(int(width.sum())) - np.repeat(ends - width, width)
-        out[np.repeat(into, width) + steps] = self.ids[np.repeat(self.at[place][back], width) + steps]
+        out[_spread(into, width)] = self.words.ids[_spread(at, width)]
         total = np.concatenate([[0], ends])[first]
         return out, total + np.arange(len(off))
 
@@ -186,72 +249,96 @@ def best_fit(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
     return [g for r in sorted(groups) for g in groups[r]]
 
 
-def patterns(hist: np.ndarray, cap: int, most: int = 20_000) -> np.ndarray:
-    """Rows of up to three lengths (0: none) with a sum of exactly cap, from lengths that occur; each has the most triples
-    that keep the table under `most` rows, spread over the range."""
-    have = np.flatnonzero(hist[: cap + 1])
-    have = have[have > 0]
-    is_in = np.zeros(cap + 1, bool)
-    is_in[have] = True
-    out = [np.array([[cap, 0, 0]])] if is_in[cap] else []
-    a = have[(have <= cap // 2)]
-    a = a[is_in[cap - a] & (cap - a > 0)] if len(a) else a
-    out.append(np.stack([cap - a, a, 0 * a], 1))
-    step = max(1, int(np.sqrt(len(have) ** 2 / 2 / most)) + 1)
-    x, y = np.meshgrid(have[::step], have, indexing="ij")
-    z = cap - x - y
-    ok = (x >= y) & (z > 0) & (z <= y)
-    ok &= is_in[np.clip(z, 0, cap)]
-    tri = np.stack([x[ok], y[ok], z[ok]], 1)
-    out.append(tri[:: max(1, len(tri) // most)])
-    return np.concatenate(out) if out else np.zeros((0, 3), np.int64)
-
-
-def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Non-negative least squares of pattern counts to the histogram by accelerated projected gradient."""
+def patterns(hist: np.ndarray, cap: int) -> np.ndarray:
+    """All rows of two or three lengths (0: none), none above the one before, that occur and have a sum of exactly cap: at
+    most cap^2 / 12 of them, whatever the input."""
+    is_in = hist[: cap + 1] > 0
+    is_in[0] = True
+    out = [np.zeros((0, 3), np.int64)]
+    for a in np.flatnonzero(is_in[:cap]):
+        b = np.arange(-(-(cap - a) // 2), min(a, cap - a) + 1)
+        b = b[is_in[b] & is_in[cap - a - b]]
+        out.append(np.stack([np.full(len(b), a), b, cap - a - b], 1))
+    return np.concatenate(out)
+
+
+def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int) -> np.ndarray:
+    """Non-negative least squares of pattern counts to the histogram by accelerated projected gradient with restarts. A
+    length's error weighs by its count, so that rare lengths weigh as well."""
     if not len(pats):
         return np.zeros(0)
     n = len(hist)
-    scale = np.sqrt(np.maximum(hist, 1.0))  # so that rare lengths weigh as well
-    flat, on = pats.ravel(), (pats > 0).ravel().astype(float)
+    w = 1 / np.maximum(hist, 1.0)
+    w[0] = 0  # the place of no length
+    cols = [np.ascontiguousarray(pats[:, k]) for k in range(pats.shape[1])]
 
-    def ax(x: np.ndarray) -> np.ndarray:
-        return np.bincount(flat, np.repeat(x, 3) * on, minlength=n) / scale
+    def lengths(x: np.ndarray) -> np.ndarray:
+        return sum(np.bincount(c, x, n) for c in cols)
 
-    def at(r: np.ndarray) -> np.ndarray:
-        return ((r / scale)[flat] * on).reshape(-1, 3).sum(1)
+    def back(r: np.ndarray) -> np.ndarray:
+        return sum(r[c] for c in cols)
 
-    v = np.random.default_rng(0).random(len(pats))
-    for _ in range(20):
-        v = at(ax(v))
+    v = np.ones(len(pats))
+    for _ in range(12):
+        v = back(w * lengths(v))
         top = np.linalg.norm(v)
         v /= top
     x = y = np.zeros(len(pats))
     t = 1.0
-    b = hist / scale
     for _ in range(rounds):
-        new = np.maximum(0, y - at(ax(y) - b) / (1.05 * top))
-        u = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / u * (new - x)
-        x, t = new, u
+        new = np.maximum(0, y - back(w * (lengths(y) - hist)) / (1.05 * top))
+        if (y - new) @ (new - x) > 0:
+            y, t = new, 1.0
+        else:
+            u = (1 + np.sqrt(1 + 4 * t * t)) / 2
+            y, t = new + (t - 1) / u * (new - x), u
+        x = new
     return x
 
 
-def plan(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
-    """(pattern, repeats) that hold the histogram exactly; the better of fitted patterns with the residual packed best-fit,
-    and of best-fit alone."""
-    pats = patterns(hist, cap)
-    count = np.floor(fit_counts(hist.astype(float), pats)).astype(np.int64)
-    left, out = hist.astype(np.int64).copy(), []
-    for p, c in zip(pats.tolist(), count.tolist(), strict=True):
+def repeats(hist: np.ndarray, pats: np.ndarray, count: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+    """((pattern, repeats), the histogram they leave): the running sum of the counts is rounded, which keeps the sums of
+    neighbouring patterns, and no length is used more often than it occurs."""
+    out, left = [], hist.copy()
+    whole = np.diff(np.floor(np.cumsum(count) + 0.5), prepend=0).astype(np.int64)
+    some = np.flatnonzero(whole)
+    for p, c in zip(pats[some].tolist(), whole[some].tolist(), strict=True):
         p = tuple(v for v in p if v)
         k = min([c, *(int(left[v]) // p.count(v) for v in p)])
         if k > 0:
             out.append((p, k))
             for v in p:
                 left[v] -= k
-    fitted, plain = out + best_fit(left, cap), best_fit(hist, cap)
-    return fitted if sum(k for _, k in fitted) <= sum(k for _, k in plain) else plain
+    return out, left
+
+
+#: Patterns that a plan may have: the first fit, over all patterns, is thinned to these in proportion to its counts; and
+#: the steps of the first and the second fit.
+SUPPORT, STEPS = 16_384, (40, 100)
+#: Parts of the fitted counts that a plan may take: a residual in which all lengths are left packs better.
+PARTS_TAKEN = (0.95, 0.9, 0.8)
+
+
+def plan(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
+    """(pattern, repeats) that hold the histogram exactly: full pieces, fitted patterns, and the residual packed best-fit
+    decreasing, which is exact for whatever the fit leaves. Patterns of two and three lengths with each of the parts of
+    their counts, and patterns of two lengths alone, are tried, and the plan of the fewest sequences is returned."""
+    rest = hist.astype(np.int64).copy()
+    rest[cap] = 0
+    goal, pats = rest.astype(float), patterns(rest, cap)
+    two = pats[pats[:, 2] == 0]
+    tries = [(two, fit_counts(goal, two, STEPS[1]))]
+    total = np.cumsum(fit_counts(goal, pats, STEPS[0]))
+    if len(total) and total[-1] > 0:
+        pats = pats[np.diff(np.floor(total * (SUPPORT / total[-1]) + 0.5), prepend=0) > 0]
+        fitted = fit_counts(goal, pats, STEPS[1])
+        tries = [*((pats, part * fitted) for part in PARTS_TAKEN), *tries]
+    full: list[tuple[tuple[int, ...], int]] = [((cap,), int(hist[cap]))] if hist[cap] else []
+    plans = []
+    for p, count in tries:
+        some, left = repeats(rest, p, count)
+        plans.append(full + some + best_fit(left, cap))
+    return min(plans, key=lambda v: sum(k for _, k in v))
 
 
 def ranked(df: DataFrame, by: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geopanel.llm.mixing import mix, split_quotas, targets
-from geopanel.llm.packing import best_fit, pack, plan
+from geopanel.llm.packing import best_fit, pack, plain_words, plan
 
 DOCS = "doc_id long, text string, source string"
 
@@ -124,3 +124,31 @@ def test_packing_is_a_round_trip(spark, cap):
 def test_packing_an_empty_table(spark):
     out = pack(spark.createDataFrame([], "doc_id long, text string, length int"), public_tokenizers.path("word_bpe_49k.json"))
     assert out.count() == 0 and out.select(F.col("offset")).count() == 0
+
+
+@pytest.mark.parametrize("times", [1, 100])
+def test_fitted_patterns_place_most_pieces(times):
+    rng = np.random.default_rng(4)
+    cap, n = 2048, 12_000
+    size = np.minimum(np.exp(rng.normal(6.2, 1.1, n)).astype(int) + 1, 20_000)
+    hist = np.bincount(size % cap, minlength=cap + 1)
+    hist[0], hist[cap] = 0, (size // cap).sum()
+    hist = hist * times
+    got = plan(hist, cap)
+    least = -(-int((hist * np.arange(cap + 1)).sum()) // cap)
+    assert sum(k for _, k in got) <= 1.001 * least + 2
+    few = sum(k * len(p) for p, k in got if sum(p) == cap and len(p) <= 3)
+    assert few > 0.6 * hist.sum()
+
+
+def test_letters_and_signs_of_words():
+    words = ["Hello!!", "ÉTÉ", "a.b", "×x", "naïve", "!?", "Ÿ", "ab_", "ß,", "ÀÖØÞ", "don't", "x́"]
+    raw = [w.encode() for w in words]
+    lead = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
+    low, plain, letters = plain_words(np.frombuffer(b"".join(raw), np.uint8), lead)
+    want = [True, True, False, False, True, False, False, True, True, True, False, False]
+    assert plain.tolist() == want
+    for i, w in enumerate(words):
+        if want[i]:
+            assert low[lead[i] : lead[i + 1]].tobytes().decode() == w.lower()
+            assert raw[i][: letters[i]].decode().isalpha() and not any(c.isalpha() for c in raw[i][letters[i] :].decode())
