@@ -48,6 +48,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a table of groups that are broadcast together, at a few hundred bytes each.
+TABLE = 20_000
+
+
+def meet(rows: DataFrame, table: DataFrame, key: str, groups: int, weight: str, how: str = "inner") -> DataFrame:
+    """rows with the columns of table, which has `groups` values of key and their numbers of rows in `weight`.
+
+    Rows of large groups stay where they are: a table of up to TABLE groups is broadcast, and beyond that its groups with
+    a thousandth of all rows are, which are at most a thousand; the rows of the others meet it in a join.
+    """
+    if groups <= TABLE:
+        return rows.join(F.broadcast(table), key, how)
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = table.where(F.col(weight) * 1000 >= total)
+    mark = F.broadcast(hot.select(key, F.lit(True).alias("__hot")).distinct())
+    rows = rows.join(mark, key, "left")
+    large = rows.where("__hot").drop("__hot").join(F.broadcast(hot), key)
+    return large.unionByName(rows.where("__hot IS NULL").drop("__hot").join(table, key, how).select(large.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

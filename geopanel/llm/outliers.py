@@ -1,38 +1,66 @@
 """Robust multivariate outliers among documents: minimum covariance determinant per language and source.
 
 DataFrame functions only. Each document has a vector of transformed statistics. For every group, concentration steps
-start from the coordinate-wise median and spread: all vectors get their Mahalanobis distance under the current estimate,
-the h nearest (three quarters) give the next mean and covariance, and the determinant can only fall. The nearest h are
-found without sorting: distances fall into fixed logarithmic bins, one aggregation sums counts and moments a bin, and a
-running count over at most BINS bins says which of them make the subset. So a group of any size costs a task only its
-share of partial sums.
+start from three deterministic estimates (medians with quartile spreads, the correlation of hyperbolic tangents, and that
+of spatial signs): all vectors get their Mahalanobis distance under the current estimate, and the h nearest (three
+quarters) give the next mean and covariance. After FIRST steps each group goes on with the start of the least determinant,
+until no group's determinant falls any more. The nearest h are found without sorting: distances fall into fixed
+logarithmic bins, one aggregation sums counts and moments a bin, a running count over at most BINS bins says which of them
+make the subset, and the bin at the edge counts with the part that h needs. Vectors are never dealt by group: the table of
+estimates goes to them, or those of the largest groups where there are many.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import cut, group_key, words
+from geopanel.llm.common import cut, group_key, meet, words
 
 #: The share of a group that the estimate is made of.
 INLIERS = 0.75
-STEPS = 3
+#: Steps of all starts; further steps at most, and the fall of a log determinant that ends them.
+FIRST, STEPS, STILL = 2, 30, 1e-3
 BINS = 400
-#: Groups with fewer documents use the estimate of all documents.
+#: Groups with fewer documents, too few for a covariance of seven statistics, use the estimate of all documents.
 LEAST = 100
-#: Squared distance beyond which a document is rejected; see README for its choice.
-CUT = 42.0
-#: Least standard deviation of each coordinate: below it a group is uniform, and further deviation is measured in it.
+#: Added in square to the variance of each coordinate: within it a group is uniform, and deviation is measured in it.
 FLOOR = {"size": 0.5, "word": 0.12, "symbol": 0.5, "line": 0.5, "repeat": 0.7, "shout": 0.4, "distinct": 0.25}
 DIMS = list(FLOOR)
 #: The group of all documents; keys of others begin with s or n.
 _ALL = "all"
 
 
+def chi2_cdf(x: float, p: int) -> float:
+    """Distribution function of chi-square with p degrees of freedom, by its series."""
+    a, z = p / 2, x / 2
+    term = total = 1.0
+    k = a
+    while term > 1e-17 * total:
+        k += 1
+        term *= z / k
+        total += term
+    return total * math.exp(a * math.log(z) - z - math.lgamma(a + 1)) if z > 0 else 0.0
+
+
+def chi2_quantile(q: float, p: int) -> float:
+    lo, hi = 0.0, 400.0
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if chi2_cdf(mid, p) < q else (lo, mid)
+    return hi
+
+
+#: Of a normal sample, the inner INLIERS have a covariance that is too small by this factor.
+CONSISTENT = INLIERS / chi2_cdf(chi2_quantile(INLIERS, len(DIMS)), len(DIMS) + 2)
+#: Squared distance beyond which a document is rejected: that which one in a million normal vectors exceeds.
+CUT = chi2_quantile(1 - 1e-6, len(DIMS))
+
+
 def statistics(text: Column) -> dict[str, Column]:
     """Expressions over columns __t (text, '' for null) and __w (its words)."""
     t, w = F.col("__t"), F.col("__w")
@@ -109,21 +137,16 @@ def _distance(mean: list[Column], inv: dict[tuple[int, int], Column], x: list[Co
     return reduce(lambda a, b: a + b, [F.pow(v, F.lit(2.0)) for v in rows])
 
 
-def _estimate(m: DataFrame, group: str) -> DataFrame:
-    """Mean and Cholesky factor columns (m0.., l00, l10, ..) from summed moments n, s0.., q00, ..; every variance gets
-    at least its floor, which also keeps the factor regular."""
+def _pairs() -> list[tuple[int, int]]:
+    return [(i, j) for i in range(len(DIMS)) for j in range(i + 1)]
+
+
+def _factor(m: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, size_n, mean, inverse Cholesky factor (w00, w10, ..) and log determinant of estimates with mean columns m0..
+    and covariance columns c00, c10, ..; every variance has its floor's square added, which keeps the factor regular."""
     d = len(DIMS)
-    mean = {f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(d)}
-    m = m.withColumns(mean)
-    cov = {f"c{i}{j}": F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}") for i in range(d) for j in range(i + 1)}
-    m = m.withColumns(cov)
-    # The inner three quarters of a normal sample underestimate its spread: consistency factor for 7 dimensions.
-    for i, name in enumerate(DIMS):
-        m = m.withColumn(f"c{i}{i}", 1.6 * F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + FLOOR[name] ** 2)
-    for i in range(d):
-        for j in range(i):
-            m = m.withColumn(f"c{i}{j}", 1.6 * F.col(f"c{i}{j}"))
-    # Each step is a projection of its own over the group table, so that expressions stay small.
+    m = m.withColumns({f"c{i}{i}": F.greatest(F.col(f"c{i}{i}"), F.lit(0.0)) + FLOOR[name] ** 2 for i, name in enumerate(DIMS)})
+    # Each step is a projection of its own over the table of estimates, so that expressions stay small.
     for j in range(d):
         v = reduce(lambda a, b: a - b, [F.col(f"l{j}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.col(f"c{j}{j}"))
         m = m.withColumn(f"l{j}{j}", F.sqrt(F.greatest(v, F.lit(1e-9))))
@@ -132,47 +155,78 @@ def _estimate(m: DataFrame, group: str) -> DataFrame:
     m = m.withColumns({f"w{i}{i}": 1 / F.col(f"l{i}{i}") for i in range(d)})
     for gap in range(1, d):
         m = m.withColumns({f"w{i}{i - gap}": -reduce(lambda a, b: a + b, [F.col(f"l{i}{k}") * F.col(f"w{k}{i - gap}") for k in range(i - gap, i)]) / F.col(f"l{i}{i}") for i in range(gap, d)})
-    return m.select(group, "size_n", *mean, *[f"w{i}{j}" for i in range(d) for j in range(i + 1)])
+    det = reduce(lambda a, b: a + b, [2 * F.ln(f"l{i}{i}") for i in range(d)])
+    return m.select(*keys, "size_n", *[f"m{i}" for i in range(d)], *[f"w{i}{j}" for i, j in _pairs()], det.alias("det"))
 
 
-def _moments() -> list[Column]:
-    d = len(DIMS)
-    x = [F.col(n) for n in DIMS]
-    return [F.count("*").alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(d)], *[F.sum(x[i] * x[j]).alias(f"q{i}{j}") for i in range(d) for j in range(i + 1)]]
+def _estimate(m: DataFrame, keys: list[str]) -> DataFrame:
+    """Estimates from summed moments n, s0.., q00, .."""
+    m = m.withColumns({f"m{i}": F.col(f"s{i}") / F.col("n") for i in range(len(DIMS))})
+    return _factor(m.withColumns({f"c{i}{j}": CONSISTENT * (F.col(f"q{i}{j}") / F.col("n") - F.col(f"m{i}") * F.col(f"m{j}")) for i, j in _pairs()}), keys)
 
 
-def _first(vectors: DataFrame, group: str) -> DataFrame:
-    """Start: medians and spreads of the coordinates; a diagonal factor."""
-    mid = [F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(n) for n in DIMS]
-    p = vectors.groupBy(group).agg(F.count("*").alias("size_n"), *mid)
-    cols = [F.get(F.col(n), F.lit(1)).alias(f"m{i}") for i, n in enumerate(DIMS)]
-    for i, n in enumerate(DIMS):
-        spread = (F.get(F.col(n), F.lit(2)) - F.get(F.col(n), F.lit(0))) / 1.349
-        cols += [(1 / F.greatest(spread, F.lit(FLOOR[n]))).alias(f"w{i}{j}") if i == j else F.lit(0.0).alias(f"w{i}{j}") for j in range(i + 1)]
-    return p.select(group, "size_n", *cols)
+def _moments() -> dict[str, Column]:
+    """Sums of the coordinates and of their products, and the number of rows."""
+    x = [F.col(n) for n in DIMS]
+    return {"n": F.count("*"), **{f"s{i}": F.sum(x[i]) for i in range(len(DIMS))}, **{f"q{i}{j}": F.sum(x[i] * x[j]) for i, j in _pairs()}}
 
 
-def _with_distance(vectors: DataFrame, est: DataFrame, group: str) -> DataFrame:
+def _with_distance(vectors: DataFrame, est: DataFrame, groups: int) -> DataFrame:
     d = len(DIMS)
-    inv = {(i, j): F.col(f"w{i}{j}") for i in range(d) for j in range(i + 1)}
-    both = vectors.join(est, group)
+    inv = {(i, j): F.col(f"w{i}{j}") for i, j in _pairs()}
+    both = meet(vectors, est, "grp", groups, "size_n")
     return both.withColumn("distance", _distance([F.col(f"m{i}") for i in range(d)], inv, [F.col(n) for n in DIMS]))
 
 
-def mcd(vectors: DataFrame, group: str, steps: int = STEPS) -> DataFrame:
-    """Per group: size_n, mean and inverse Cholesky factor of the minimum-covariance-determinant estimate."""
-    est = cut(_first(vectors, group))
-    for _ in range(steps):
-        # 1/20 of a factor of e a bin; distances under e^-10 share the first bin.
-        b = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(20 * (F.ln(F.col("distance") + 1e-12) + 10)).cast("int")))
-        part = _with_distance(vectors, est, group).groupBy(group, b.alias("bin")).agg(*_moments())
-        w = Window.partitionBy(group).orderBy("bin")
-        part = part.withColumn("before", F.sum("n").over(w) - F.col("n")).withColumn("size_n", F.sum("n").over(Window.partitionBy(group)))
-        inner = part.where(F.col("before") < INLIERS * F.col("size_n"))
-        d = len(DIMS)
-        sums = [F.sum(c).alias(c) for c in ["n", *[f"s{i}" for i in range(d)], *[f"q{i}{j}" for i in range(d) for j in range(i + 1)]]]
-        est = cut(_estimate(inner.groupBy(group).agg(F.first("size_n").alias("size_n"), *sums), group))
-    return est
+def _starts(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(the three starting estimates of every grp, number of groups)."""
+    d = len(DIMS)
+    p = vectors.groupBy("grp").agg(F.count("*").alias("size_n"), *[F.percentile_approx(n, [0.25, 0.5, 0.75], 2000).alias(n) for n in DIMS])
+    mid = [F.get(F.col(n), F.lit(1)).alias(f"m{i}") for i, n in enumerate(DIMS)]
+    spread = [F.greatest((F.get(F.col(n), F.lit(2)) - F.get(F.col(n), F.lit(0))) / 1.349, F.lit(FLOOR[n])).alias(f"r{i}") for i, n in enumerate(DIMS)]
+    p = cut(p.select("grp", "size_n", *mid, *spread))
+    groups = p.count()
+    z = meet(vectors, p, "grp", groups, "size_n").select("grp", *[((F.col(n) - F.col(f"m{i}")) / F.col(f"r{i}")).alias(f"z{i}") for i, n in enumerate(DIMS)])
+    far = F.greatest(reduce(lambda a, b: a + b, [F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)]), F.lit(1e-12))
+    tanh = {f"t{i}{j}": F.avg(F.tanh(f"z{i}") * F.tanh(f"z{j}")) for i, j in _pairs()}
+    sign = {f"u{i}{j}": F.avg(d * F.col(f"z{i}") * F.col(f"z{j}") / F.col("far")) for i, j in _pairs()}
+    both = p.join(z.withColumn("far", far).groupBy("grp").agg(*[c.alias(n) for n, c in {**tanh, **sign}.items()]), "grp")
+    scale = {(i, j): F.col(f"r{i}") * F.col(f"r{j}") for i, j in _pairs()}
+    base = ["grp", "size_n", *[f"m{i}" for i in range(d)]]
+    out = [
+        both.select(*base, F.lit(k).alias("start"), *[(scale[i, j] * c(i, j)).alias(f"c{i}{j}") for i, j in _pairs()])
+        for k, c in enumerate((lambda i, j: F.lit(float(i == j)), lambda i, j: F.col(f"t{i}{j}"), lambda i, j: F.col(f"u{i}{j}")))
+    ]
+    return cut(_factor(reduce(DataFrame.unionAll, out), ["grp", "start"])), groups
+
+
+def _step(vectors: DataFrame, est: DataFrame, groups: int) -> DataFrame:
+    """The estimates from the h vectors of every group that are nearest under est."""
+    # 1/20 of a factor of e a bin; distances under e^-10 share the first bin.
+    b = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor(20 * (F.ln(F.col("distance") + 1e-12) + 10)).cast("int")))
+    part = _with_distance(vectors, est, groups).groupBy("grp", "start", b.alias("bin")).agg(*[c.alias(n) for n, c in _moments().items()])
+    w = Window.partitionBy("grp", "start")
+    part = part.withColumn("before", F.sum("n").over(w.orderBy("bin")) - F.col("n")).withColumn("size_n", F.sum("n").over(w))
+    part = part.where(F.col("before") < INLIERS * F.col("size_n"))
+    part = part.withColumn("part", F.least(F.lit(1.0), (INLIERS * F.col("size_n") - F.col("before")) / F.col("n")))
+    inner = part.groupBy("grp", "start").agg(F.first("size_n").alias("size_n"), *[F.sum(F.col("part") * F.col(n)).alias(n) for n in _moments()])
+    return cut(_estimate(inner, ["grp", "start"]))
+
+
+def mcd(vectors: DataFrame) -> tuple[DataFrame, int]:
+    """(grp, size_n, mean and inverse Cholesky factor of its minimum-covariance-determinant estimate, and their number)."""
+    est, groups = _starts(vectors)
+    for _ in range(FIRST):
+        est = _step(vectors, est, groups)
+    w = Window.partitionBy("grp").orderBy("det", "start")
+    est = cut(est.withColumn("best", F.row_number().over(w)).where("best = 1").drop("best"))
+    for _ in range(STEPS):
+        new = _step(vectors, est, groups)
+        fall = est.select("grp", F.col("det").alias("old")).join(new.select("grp", "det"), "grp").agg(F.max(F.col("old") - F.col("det"))).first()[0]
+        est = new
+        if fall is None or fall < STILL:
+            break
+    return est.drop("start", "det"), groups
 
 
 def flag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_cols: tuple[str, ...] = ("lang", "source"), cut_at: float = CUT) -> DataFrame:
@@ -188,14 +242,14 @@ def flag(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", group_
     group = F.concat_ws("\x00", *[group_key(F.col(f"g{k}")) for k in range(len(group_cols))])
     stats = cut(stats.select("id", group.alias("grp"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_shouts", "n_distinct", "n_repeat_words", failed.alias("base_failed")))
     good = stats.where(~F.col("base_failed")).select(F.explode(F.array("grp", F.lit(_ALL))).alias("grp"), *[c.alias(n) for n, c in vector().items()])
-    est = mcd(good, "grp")
+    est, groups = mcd(good)
     own = est.where((F.col("size_n") >= LEAST) & (F.col("grp") != _ALL))
     every = est.where(F.col("grp") == _ALL).drop("grp", "size_n")
     d = len(DIMS)
-    names = [f"m{i}" for i in range(d)] + [f"w{i}{j}" for i in range(d) for j in range(i + 1)]
+    names = [f"m{i}" for i in range(d)] + [f"w{i}{j}" for i, j in _pairs()]
     every = every.select(*[F.col(c).alias("e" + c) for c in names])
     x = list(vector().values())
-    out = stats.join(own.drop("size_n"), "grp", "left").join(F.broadcast(every), how="left")  # one row
+    out = meet(stats, own, "grp", groups, "size_n", "left").join(F.broadcast(every), how="left")  # one row
     at = {c: F.coalesce(F.col(c), F.col("e" + c)) for c in names}
     dist = _distance([at[f"m{i}"] for i in range(d)], {(i, j): at[f"w{i}{j}"] for i in range(d) for j in range(i + 1)}, x)
     out = out.withColumn("distance", F.when(~F.col("base_failed"), dist))
