@@ -1,25 +1,28 @@
 """Mixing of sources to target weights by a multivariate-hypergeometric splitting tree over permuted blocks.
 
-A source's documents are dealt by a seeded 64-bit hash into 2^b equal hash ranges, its blocks, of about a hundred documents.
-Its target says how many blocks the mix draws: whole passes over the source take all blocks, the last, partial pass takes
-blocks in a random permutation up to the target. Only the block in which the target falls is opened, by further hash bits
-until it holds few documents, of which a greedy subset fills the rest. The drawn block counts of all sources are the
-quotas that the tree splits: a node of k output shards gives its left half a multivariate-hypergeometric draw of the
-remaining quotas, down to single shards. Each shard takes the next run of every source's permuted blocks, so draws are
-disjoint, and orders its documents by a seeded hash.
+A source's documents are dealt by a seeded 64-bit hash into 2^b equal hash ranges, its blocks, of about a hundred documents,
+which a seeded permutation of their numbers puts in an order. Its target says how many blocks the mix draws: whole passes
+over the source take all blocks, the last, partial pass takes them in their order up to the target. Only the block in which
+the target falls is opened, by further hash bits until a part of few documents is left, of which a greedy subset fills the
+rest. The drawn block counts of all sources are the quotas that the tree splits: a node of k output shards gives its left
+half a multivariate-hypergeometric draw of the remaining quotas, down to single shards. Each shard takes the next run of
+every source's permuted blocks, so draws are disjoint, and orders its documents by a seeded hash.
+
+The driver holds a few numbers a source, for the targets and the tree. Blocks and documents stay in tables.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from geopanel.llm.common import cut, group_key, n_words
+from geopanel.llm.common import cut, group_key, meet, n_words
 
-#: Rows of (source, block) that one pass may send to the driver.
-MAX_CELLS = 1 << 17
-#: Documents of an opened block that are weighed one by one.
+#: Bits of a document's place that one search step reads, and those a place has.
+STEP, PLACE = 10, 60
+#: Documents of the last opened part that are weighed one by one.
 FEW = 2048
 
 
@@ -65,114 +68,91 @@ def split_quotas(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> n
 
 
 def _bits(docs: int) -> int:
-    return max(0, int(docs // 64).bit_length() - 1)
-
-
-def plan(sized: DataFrame, weights, total_share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame, dict, dict]:
-    """(draws, ends, bits, sizes, targets): draws has src, block, copy, shard for every drawn block, ends the opened block
-    of each source; sized has src, key, size. weights maps the ordered source keys to weights."""
+    return min(30, max(0, int(docs // 64).bit_length() - 1))
+
+
+def _rank(bits: Column, mult: Column, shift: Column, key: Column) -> Column:
+    """The place of a key's block in its source's order: an odd multiple plus a shift permutes the numbers below 2^bits."""
+    block = F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", key, F.lit(64) - bits))
+    return (mult * block + shift).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+
+
+def _placed(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """sized with its source's columns, rank, and place: the rank, then further hash bits, in PLACE bits."""
+    d = meet(sized, sources, "src", n, "docs")
+    d = d.withColumn("rank", _rank(F.col("bits"), F.col("mult"), F.col("shift"), F.col("key")))
+    rest = F.call_function("shiftrightunsigned", F.xxhash64("key"), F.col("bits") + (64 - PLACE))
+    return d.withColumn("place", F.call_function("shiftleft", F.col("rank"), F.lit(PLACE) - F.col("bits")) + rest)
+
+
+def _part(sized: DataFrame, state: DataFrame, n: int) -> DataFrame:
+    """The documents of each source's part of 2^width places from lo on."""
+    width = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("width"))
+    return _placed(sized, state, n).where((F.col("place") >= F.col("lo")) & (F.col("place") - F.col("lo") < width))
+
+
+def _edges(sized: DataFrame, sources: DataFrame, n: int) -> DataFrame:
+    """(src, lo, width, some): the partial pass of a source takes the documents with a place under lo, and those with the
+    places some, a greedy subset of the part of at most FEW documents of 2^width places from lo on. sources has the words
+    it takes, left."""
+    state = cut(sources.withColumns({"lo": F.lit(0).cast("long"), "width": F.lit(PLACE), "n": F.col("docs")}))
+    while True:
+        todo = state.where((F.col("n") > FEW) & (F.col("width") > 0))
+        if todo.isEmpty():
+            break
+        # So many bits that parts of a quarter of FEW documents are to be expected.
+        bits = F.least(F.lit(STEP), F.col("width"), F.ceil(F.log2(4 * F.col("n") / FEW)).cast("int"))
+        todo = todo.withColumn("rest", F.col("width") - bits)
+        digit = F.call_function("shiftrightunsigned", F.col("place") - F.col("lo"), F.col("rest")).alias("digit")
+        sums = _part(sized, todo, n).groupBy("src", digit).agg(F.sum("size").alias("w"), F.count("*").alias("m"))
+        w = Window.partitionBy("src").orderBy("digit")  # at most 2^STEP rows a source
+        run = sums.withColumn("upto", F.sum("w").over(w)).join(todo.select("src", "left", "rest"), "src").where("upto > left")
+        first = run.groupBy("src").agg(F.min_by(F.struct(F.call_function("shiftleft", F.col("digit"), F.col("rest")).alias("more"), (F.col("left") - F.col("upto") + F.col("w")).alias("left"), F.col("m").alias("n")), "digit").alias("f"))
+        new = todo.drop("left", "n").withColumn("width", F.col("rest")).join(first, "src").withColumns({"lo": F.col("lo") + F.col("f.more"), "left": F.col("f.left"), "n": F.col("f.n")})
+        done = state.where((F.col("n") <= FEW) | (F.col("width") <= 0))
+        state = cut(done.unionByName(new.select(done.columns)))
+    inside = _part(sized, state, n).where(F.col("size") > 0)
+    part = inside.groupBy("src", "place").agg(F.sum("size").alias("size"))
+    part = part.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("size", "place")), asc=False).alias("few"))
+    part = state.join(part, "src", "left")
+    start = F.struct(F.col("left").alias("rest"), F.array().cast("array<long>").alias("some"))
+    fill = F.aggregate("few", start, lambda a, d: F.when(d["size"] <= a["rest"], F.struct((a["rest"] - d["size"]).alias("rest"), F.concat(a["some"], F.array(d["place"])).alias("some"))).otherwise(a))
+    part = part.withColumn("fill", F.coalesce(fill, start))
+    over = F.array_min(F.filter("few", lambda d: ~F.array_contains(F.col("fill")["some"], d["place"])))
+    part = part.withColumn("over", over)
+    nearer = F.col("over").isNotNull() & (F.col("over")["size"] - F.col("fill")["rest"] < F.col("fill")["rest"])  # one document more is nearer than none
+    some = F.when(nearer, F.concat(F.col("fill")["some"], F.array(F.col("over")["place"]))).otherwise(F.col("fill")["some"])
+    return cut(part.select("src", "lo", "width", some.alias("some")))
+
+
+def plan(sized: DataFrame, weights, total_share: float, most: float, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """(one row a source, their number): src, docs, source_size, target, bits, mult and shift of its blocks, passes, lo, some
+    and upto, the numbers of its drawn blocks that each shard ends before. sized has src, key, size; weights maps the
+    ordered source keys to weights."""
     spark = sized.sparkSession
-    stat = sized.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
-    if len(stat) > MAX_CELLS:
-        raise ValueError(f"{len(stat)} sources; the plan holds one row a source and takes {MAX_CELLS} at most")
-    size = {r.src: int(r["size"]) for r in stat}
+    stat = sized.groupBy("src").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()  # a row a source
+    size, docs = {r.src: int(r["size"]) for r in stat}, {r.src: int(r.docs) for r in stat}
     # Null last, then by code point: keys are 's' + name, and 'n' for null.
     order = sorted(size, key=lambda s: (s == "n", s))
     weight = dict(zip(order, weights(order), strict=True))
     goal = targets(size, weight, total_share * sum(size.values()), most)
-    room = max(0, (MAX_CELLS // max(1, len(stat))).bit_length() - 1)
-    bits = {r.src: min(_bits(r.docs), room) for r in stat}
-    table = spark.createDataFrame([(s, bits[s]) for s in order], "src string, bits int") if order else spark.createDataFrame([], "src string, bits int")
-    cells = _cells(sized, table)
     rng = np.random.default_rng(seed)
-    rows: list[tuple] = []
-    opened: dict[str, tuple[int, int, float]] = {}
-    drawn: dict[str, list[tuple[int, int]]] = {}
+    rows = []
     for s in order:
-        have, want = cells.get(s, {}), goal[s]
-        passes = int(want // size[s]) if size[s] else 0
-        left = want - passes * size[s]
-        perm = rng.permutation(1 << bits[s])
-        drawn[s] = [(int(b), c) for c in range(passes) for b in perm]
-        for b in perm if left > 0 else ():
-            w = have.get(int(b), 0)
-            if w <= left:
-                drawn[s].append((int(b), passes))
-                left -= w
-            elif left > 0:
-                opened[s] = (int(b), passes, left)
-                break
-    quotas = np.array([len(drawn[s]) for s in order], np.int64)
-    deal = split_quotas(quotas, shards, rng) if len(order) else np.zeros((shards, 0), np.int64)
-    for i, s in enumerate(order):
-        where = np.repeat(np.arange(shards), deal[:, i])
-        rows += [(s, b, c, int(k)) for (b, c), k in zip(drawn[s], where, strict=True)]
-    part = _open(sized, {s: (bits[s], b, left) for s, (b, _, left) in opened.items()})
-    tails = [(s, opened[s][0], opened[s][1], int(rng.integers(shards)), step, upto, some) for s, (step, upto, some) in sorted(part.items())]
-    draws = spark.createDataFrame(rows, "src string, block long, copy int, shard int")
-    ends = spark.createDataFrame(tails, "src string, cut_block long, copy int, shard int, step int, upto long, some array<long>")
-    return draws, ends, table, size, goal
-
-
-def _block(key, bits):
-    """The leading bits of a key as a block number."""
-    return F.when(bits == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", key, F.lit(64) - bits))
-
-
-def _cells(sized: DataFrame, table: DataFrame) -> dict[str, dict[int, int]]:
-    """Words of every block, at most MAX_CELLS rows: sources times 2^bits."""
-    got = sized.join(F.broadcast(table), "src").groupBy("src", _block(F.col("key"), F.col("bits")).alias("block")).agg(F.sum("size").alias("size"))
-    out: dict[str, dict[int, int]] = {}
-    for r in got.toLocalIterator():
-        out.setdefault(r.src, {})[int(r.block)] = int(r["size"])
-    return out
-
-
-def _sub(key, step):
-    """A second, independent split of a block's documents into 2^step parts."""
-    return F.pmod(F.xxhash64(key), F.call_function("shiftleft", F.lit(1).cast("long"), step))
-
-
-def _open(sized: DataFrame, todo: dict[str, tuple[int, int, float]]) -> dict[str, tuple[int, int, list[int]]]:
-    """For each source's opened block (bits, block, words wanted): (step, upto, some). Of the block's 2^step parts the
-    first upto are taken whole, and of the next one the documents with the keys some, a greedy subset by size."""
-    if not todo:
-        return {}
-    spark: SparkSession = sized.sparkSession
-    table = spark.createDataFrame([(s, b, k) for s, (b, k, _) in todo.items()], "src string, bits int, block long")
-    inside = sized.join(F.broadcast(table), "src").where(_block(F.col("key"), F.col("bits")) == F.col("block"))
-    inside = cut(inside.groupBy("src", "key").agg(F.sum("size").alias("size")))
-    most = inside.groupBy("src").count().agg(F.max("count")).first()[0] or 0
-    room = max(0, (MAX_CELLS // len(todo)).bit_length() - 1)
-    step = min(max(0, int(most // FEW).bit_length()), room)
-    sub = inside.withColumn("sub", _sub(F.col("key"), F.lit(step)))
-    sums: dict[str, dict[int, int]] = {}
-    for r in sub.groupBy("src", "sub").agg(F.sum("size").alias("size")).toLocalIterator():
-        sums.setdefault(r.src, {})[int(r["sub"])] = int(r["size"])
-    edge: dict[str, int] = {}
-    left = {s: want for s, (_, _, want) in todo.items()}
-    for s, have in sums.items():
-        for k in sorted(have):
-            edge[s] = k
-            if have[k] > left[s]:
-                break
-            left[s] -= have[k]
-    at = spark.createDataFrame(list(edge.items()), "src string, sub long")
-    found: dict[str, list[tuple[int, int]]] = {}
-    for r in sub.join(F.broadcast(at), ["src", "sub"]).select("src", "key", "size").toLocalIterator():
-        found.setdefault(r.src, []).append((int(r["size"]), int(r.key)))
-    out = {}
-    for s, docs in found.items():
-        some, rest = [], left[s]
-        for w, k in sorted(docs, reverse=True):
-            if 0 < w <= rest:
-                some.append(k)
-                rest -= w
-        over = [(w, k) for w, k in docs if w and k not in set(some)]
-        if over and min(over)[0] - rest < rest:  # one document more is nearer than none
-            some.append(min(over)[1])
-        out[s] = (step, edge[s], some)
-    return out
+        passes = int(goal[s] // size[s]) if size[s] else 0
+        bits = _bits(docs[s])
+        odd, shift = (int(v) for v in rng.integers(0, 1 << bits, 2))
+        rows.append((s, docs[s], size[s], float(goal[s]), bits, odd | 1, shift, passes, goal[s] - passes * size[s]))
+    schema = "src string, docs long, source_size long, target double, bits int, mult long, shift long, passes int, left double"
+    sources = cut(spark.createDataFrame(rows, schema))
+    edges = _edges(sized, sources.where("left > 0"), len(rows))
+    end = {r.src: int(r.lo) + (1 << r.width) - 1 for r in edges.select("src", "lo", "width").collect()}
+    # A source's partial pass draws the blocks up to the end of the part that is opened.
+    quotas = np.array([r[7] * (1 << r[4]) + ((end[r[0]] >> (PLACE - r[4])) + 1 if r[0] in end else 0) for r in rows], np.int64)
+    deal = split_quotas(quotas, shards, rng) if rows else np.zeros((shards, 0), np.int64)
+    upto = np.cumsum(deal, axis=0)
+    dealt = spark.createDataFrame([(s, upto[:, i].tolist()) for i, s in enumerate(order)], "src string, upto array<long>")
+    return cut(sources.drop("left").join(dealt, "src").join(edges.drop("width"), "src", "left")), len(rows)
 
 
 def default_weights(order: list[str]) -> list[float]:
@@ -185,34 +165,34 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Sources, in code point order with null last, get weights(sources) of total_share times all words; no target
     exceeds most (a whole number) times its source. Returns docs once for every time the mix takes a row, with copy, shard and
     place (its order within the shard) added; with ordered the rows are range-partitioned and sorted by shard and place; with digest one row a document instead: id, size, source_size, target,
-    taken and source. Null texts have size 0. Ids decide a row's hash, so repeated rows are drawn together and reruns
-    agree. Documents without words are taken with their block. Empty tables give empty results.
+    taken, source, and places, the copy, shard and place of every time it is taken. Null texts have size 0. Id and text
+    decide a row's hash, so repeated rows are drawn together and reruns agree. Documents without words are taken with their block. Empty tables give empty results.
     """
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
+    key = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
     sized = docs.select(group_key(F.col(source_col)).alias("src"), key.alias("key"), F.col(id_col).alias("id"), n_words(F.col(text_col)).alias("size"))
     sized = cut(sized)
-    draws, ends, table, size, goal = plan(sized.drop("id"), weights, total_share, most, shards, seed)
-    spark = docs.sparkSession
-    per = F.broadcast(draws.groupBy("src", "block").agg(F.sort_array(F.collect_list(F.struct("copy", "shard"))).alias("at")))
-    ends = F.broadcast(ends.select("src", "cut_block", "step", "upto", "some", F.array(F.struct("copy", "shard")).alias("more")))
+    table, n = plan(sized.drop("id"), weights, total_share, most, shards, seed)
 
     def drawn(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(table), "src", "left").withColumn("block", _block(F.col("key"), F.col("bits")))
-        df = df.join(per, ["src", "block"], "left").join(ends, "src", "left")
-        sub = _sub(F.col("key"), F.col("step"))
-        tail = (F.col("block") == F.col("cut_block")) & ((sub < F.col("upto")) | ((sub == F.col("upto")) & F.array_contains("some", F.col("key"))))
-        none = F.array().cast("array<struct<copy:int,shard:int>>")
-        at = F.concat(F.coalesce("at", none), F.when(tail, F.col("more")).otherwise(none))
-        return df.withColumn("at", at).drop("block", "bits", "cut_block", "step", "upto", "some", "more")
+        df = _placed(df, table, n)
+        per = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits"))
+        tail = (F.col("place") < F.col("lo")) | F.array_contains("some", F.col("place"))
+        copies = F.col("passes") + F.when(tail, 1).otherwise(0)
+
+        def copy(c: Column) -> Column:
+            number = c * per + F.col("rank")  # of the block among those drawn from its source
+            at = F.size(F.filter("upto", lambda v: v <= number))
+            return F.struct(c.cast("int").alias("copy"), at.alias("shard"), F.xxhash64(F.lit(seed + 1), F.col("key"), c.cast("int"), at).alias("place"))
+
+        none = F.array().cast("array<struct<copy:int,shard:int,place:bigint>>")
+        return df.withColumn("at", F.when(copies > 0, F.transform(F.sequence(F.lit(0), copies - 1), copy)).otherwise(none))
 
     if digest:
-        goals = F.broadcast(spark.createDataFrame([(s, size[s], float(goal[s])) for s in size], "src string, source_size long, target double"))
-        out = drawn(sized).join(goals, "src").withColumn("copies", F.size("at"))
-        return out.select("id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), F.when(F.col("src") != "n", F.substring("src", 2, 1 << 30)).alias("source"))
+        out = drawn(sized).withColumn("source", F.when(F.col("src") != "n", F.substring("src", 2, 1 << 30)))
+        return out.select("id", "size", "source_size", "target", (F.col("size") * F.size("at")).alias("taken"), "source", F.col("at").alias("places"))
     names = docs.columns
     inner = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), group_key(F.col(source_col)).alias("src"), key.alias("key"))
-    out = drawn(inner).select("row", "key", F.explode("at").alias("d"))
-    clash = [c for c in names if c in ("copy", "shard", "place")]
-    out = out.select(F.col("row").dropFields(*clash).alias("row") if clash else F.col("row"), F.col("d.copy").alias("copy"), F.col("d.shard").alias("shard"), F.xxhash64(F.lit(seed + 1), "key", "d.copy", "d.shard").alias("place"))
-    out = out.select("row.*", "copy", "shard", "place")
+    out = drawn(inner).select("row", F.explode("at").alias("d"))
+    clash = [c for c in names if c.lower() in ("copy", "shard", "place")]
+    out = out.select(*[F.col("row").getField(c).alias(c) for c in names if c not in clash], "d.copy", "d.shard", "d.place")
     return out.repartitionByRange("shard", "place").sortWithinPartitions("shard", "place") if ordered else out

@@ -7,6 +7,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from geopanel.llm import mixing
 from geopanel.llm.mixing import mix, split_quotas, targets
 from geopanel.llm.packing import best_fit, pack, plain_words, plan
 
@@ -152,3 +153,39 @@ def test_letters_and_signs_of_words():
         if want[i]:
             assert low[lead[i] : lead[i + 1]].tobytes().decode() == w.lower()
             assert raw[i][: letters[i]].decode().isalpha() and not any(c.isalpha() for c in raw[i][letters[i] :].decode())
+
+
+def test_the_digest_follows_the_tree(spark, monkeypatch):
+    df, _ = docs(spark)
+    want = {r.id: r for r in mix(df, digest=True).collect()}
+    assert all(len(r.places) * r["size"] == r.taken and len({p.copy for p in r.places}) == len(r.places) for r in want.values())
+    shards = Counter(p.shard for r in want.values() for p in r.places)
+    assert set(shards) <= set(range(16)) and len(shards) > 3
+    monkeypatch.setattr(mixing, "split_quotas", lambda q, k, rng: np.vstack([q, np.zeros((k - 1, len(q)), np.int64)]))
+    got = {r.id: r for r in mix(df, digest=True).collect()}
+    assert {p.shard for r in got.values() for p in r.places} == {0} and got != want
+    assert all(got[i].taken == want[i].taken for i in want)
+
+
+def test_blocks_of_a_large_source_are_shared_out(spark):
+    df = spark.range(20_000).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 30 as int)) text", "if(id % 3 = 0, 'a', 'b') source")
+    out = mix(df, digest=True).collect()
+    by = {}
+    for r in out:
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+        assert r.taken <= 2 * r["size"]
+    assert all(abs(taken - goal) <= 30 for goal, taken in by.values())
+    shards = Counter(p.shard for r in out for p in r.places)
+    assert len(shards) == 16 and max(shards.values()) < 1.3 * min(shards.values())
+
+
+def test_mix_of_many_sources_and_of_lost_ids(spark):
+    many = spark.range(60_000).selectExpr("id doc_id", "repeat('w ', cast(1 + id % 9 as int)) text", "concat('s', id % 20000) source")
+    got = mix(many, digest=True).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.first("source_size").alias("n")).collect()
+    assert len(got) == 20_000 and all(r.taken <= 2 * r.n for r in got)
+    assert abs(sum(r.taken for r in got) / sum(r.target for r in got) - 1) < 0.1
+    lost = spark.range(1000).selectExpr("cast(null as long) doc_id", "concat(repeat('w ', 9), id) text", "if(id < 600, 'a', 'b') source")
+    by = {}
+    for r in mix(lost, digest=True).collect():
+        by.setdefault(r.source, [r.target, 0])[1] += r.taken
+    assert all(abs(taken - goal) <= 10 for goal, taken in by.values())
