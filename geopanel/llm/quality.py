@@ -20,7 +20,7 @@ from geopanel.llm.common import blocks, hash_words, text_bytes
 WORDS = 1 << 14
 BINS = 24
 BLOCK_BYTES = 4 << 20
-#: Labelled rows the model is fitted on, at most: those with the least hash of their id.
+#: Labelled rows the model is fitted on, at most: those with the least hash of their id and text.
 MAX_LABELLED = 8000
 #: Byte classes counted as shares of a text: symbols, capitals, digits, sentence marks, bars, white space, non-ASCII.
 _CLASSES = [b"#*$%&<>@^~=+_\\{}[]", bytes(range(65, 91)), b"0123456789", b".,;:?", b"|", bytes(range(9, 14)) + b" ", bytes(range(128, 256)), b"!", b"\n"]
@@ -136,16 +136,26 @@ def _blocks(batch: pa.RecordBatch, lead: int) -> Iterator[tuple[int, int, tuple]
         yield i, j, features(data[off[i] : off[j]], off[i : j + 1] - off[i], [m[i:j] for m in meta])
 
 
+def _unique(rows: DataFrame) -> bool:
+    """Whether no __id is there twice, which bounds the rows; a pass over ids alone."""
+    return rows.groupBy("__id").count().where("count > 1").isEmpty()
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", metadata: tuple[str, ...] = (), max_labelled: int = MAX_LABELLED) -> Machine:
-    """Train on the labelled documents with the max_labelled least hashes of their ids.
+    """Train on the max_labelled labelled rows of documents with the least hashes of their id and text.
 
-    Rows with a null id or label are left out; of repeated labels of an id the greatest counts; repeated documents weigh
-    as often as they occur.
+    Rows with a null id or label are left out; of repeated labels of an id the greatest counts. Repeated documents are one
+    row for each text, so that neither copies of a row nor of an id make more than max_labelled rows; null and empty texts
+    count. Without labels, documents or both classes the machine gives one score to all.
     """
     chosen = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).cast("double").alias("__y"))
-    chosen = chosen.orderBy(F.xxhash64(F.lit(11), "__id"), "__id").limit(max_labelled)
+    chosen = chosen.withColumn("__h", F.xxhash64(F.lit(11), "__id")).orderBy("__h", "__id").limit(max_labelled).drop("__h")
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text"), *[F.col(c).cast("double").alias(f"__m{k}") for k, c in enumerate(metadata)])
-    rows = rows.join(F.broadcast(chosen), "__id").select("__y", "__text", *[f"__m{k}" for k in range(len(metadata))])  # at most max_labelled rows
+    rows = rows.join(F.broadcast(chosen), "__id")  # at most max_labelled rows
+    if not _unique(rows):
+        # An id with several rows: equal rows are one, and the least hashes stay.
+        rows = rows.distinct().orderBy(F.xxhash64(F.lit(11), "__id", "__text"), "__id", "__text").limit(max_labelled)
+    rows = rows.select("__y", "__text", *[f"__m{k}" for k in range(len(metadata))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,9 +37,10 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    machine = fit(docs, _table(spark, sf_dir, "labels").where(~F.expr(HELD_OUT)))
-    out = score(docs, machine, keep=["doc_id"])
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    # Of the metadata, n_chars alone may be an input of a score.
+    machine = fit(docs, _table(spark, sf_dir, "labels").where(~F.expr(HELD_OUT)), metadata=("n_chars",))
+    out = score(docs, machine, keep=["doc_id"], metadata=("n_chars",))
     return out.select("doc_id", F.coalesce(F.expr(HELD_OUT), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
