@@ -63,7 +63,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_stage),
 ]
 
-#: The classifier, the hashes and the packing plan are beyond SQL; tests hold each stage against brute force.
+#: The classifier, the hashes and the packing plan are beyond SQL; tests hold each stage against the
+#: operator it calls, and the operators against brute force.
 ORACLE_SQL = None
 
 
