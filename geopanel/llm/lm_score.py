@@ -8,9 +8,12 @@ and is joined; only those of the HELD next commonest words go to the workers. Th
 predicts through tanh and a two-level softmax (group of the slot, slot in the group), so that the conditional
 probabilities of all slots sum to one.
 
-Training goes over all documents in ROUNDS rounds: round r trains on every ROUNDS-th token of every document from its own
-phase on, so that the rounds together train on every token once. A partition starts from the common weights, and the partitions' weights are averaged by token counts in one
-aggregation over weight indices, so that the driver holds one model whatever the number of partitions.
+Documents are dealt by their hash to groups of about GROUP tokens, whose number follows the corpus and not its partitions,
+and are sorted in them. Training goes over all groups in ROUNDS rounds: round r trains on every ROUNDS-th token of every
+document from its own phase on, so that the rounds together train on every token once. A group starts from the common
+weights and the common sums of squared gradients; the groups' results are averaged by token counts, first in each task, then
+in one aggregation over weight indices, so that the driver holds one model whatever the number of groups, and the same one
+however the table is partitioned, but for rounding.
 """
 
 from __future__ import annotations
@@ -38,6 +41,12 @@ HELD = 65_536
 EXTRA = 0.5
 #: Distinct words a task counts before it hands on partial counts.
 PARTIAL = 400_000
+#: Tokens that a group trains one after the other.
+GROUP = 1_000_000
+#: Copies of one row, id and text, from which on they are dealt to all groups.
+COPIES = 1000
+#: Tokens whose windows are laid out together.
+LAID_OUT = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -119,25 +128,47 @@ _ONES = np.ones(max(GROUPS, MEMBERS), np.float32)
 
 
 def _log_softmax_at(z: np.ndarray, k: np.ndarray) -> np.ndarray:
-    np.minimum(z, 80, out=z)  # float32 holds exp(88)
+    z -= z.max(1, keepdims=True)
     at = z[np.arange(len(z)), k]
     return at - np.log(np.exp(z, out=z) @ _ONES[: z.shape[1]])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    np.minimum(z, 80, out=z)
+    z -= z.max(1, keepdims=True)
     e = np.exp(z, out=z)
     e /= (e @ _ONES[: z.shape[1]])[:, None]
     return e
 
 
 class Trainer:
-    """AdaGrad on minibatches of one partition."""
+    """AdaGrad on minibatches of one group, from given sums of squared gradients on."""
 
-    def __init__(self, net: Net, rate: float):
+    def __init__(self, net: Net, rate: float, squares: Net | None = None):
         self.w = [v.copy() for v in (net.emb, net.pos, net.bias, net.top, net.low)]
-        self.g = [np.full_like(v, 1e-6) for v in self.w]
+        s = squares and (squares.emb, squares.pos, squares.bias, squares.top, squares.low)
+        self.g = [v.copy() for v in s] if s else [np.full_like(v, 1e-6) for v in self.w]
         self.rate, self.seen = rate, 0
+        self.waiting: list[np.ndarray] = []
+
+    def feed(self, padded: np.ndarray, at: np.ndarray) -> None:
+        """Train on the tokens at these places in batches of BATCH, whose bounds don't follow those of the calls."""
+        new = np.stack([padded.take(at), *_context(padded, at)])
+        self.waiting.append(new)
+        if sum(v.shape[1] for v in self.waiting) >= BATCH:
+            every = np.concatenate(self.waiting, axis=1)
+            whole = every.shape[1] // BATCH * BATCH
+            for k in range(0, whole, BATCH):
+                part = every[:, k : k + BATCH]
+                self.batch(list(part[1:]), part[0])
+            self.waiting = [every[:, whole:]]
+
+    def end(self) -> np.ndarray:
+        """Train on what waits; weights, then sums of squares, then 1, all times the tokens seen."""
+        if self.waiting and sum(v.shape[1] for v in self.waiting):
+            every = np.concatenate(self.waiting, axis=1)
+            self.batch(list(every[1:]), every[0])
+        self.waiting = []
+        return np.concatenate([self.net().flat(), Net(*self.g).flat(), [1.0]]).astype(np.float64) * self.seen
 
     def net(self) -> Net:
         return Net(*self.w)
@@ -284,33 +315,83 @@ def in_round(row: np.ndarray, nth: np.ndarray, r: int) -> np.ndarray:
     return (nth + phase.astype(np.int64)[row] + r) % ROUNDS == 0
 
 
-def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1) -> tuple[Vocabulary, Net]:
-    """The corpus's vocabulary and network."""
+def dealt(docs: DataFrame, vocab: Vocabulary, id_col: str, text_col: str) -> DataFrame:
+    """(grp, slots): the slots of every text, 16 bits each, sorted by group and row hash within partitions of whole groups."""
+    groups = max(1, -(-int(vocab.counts.sum()) // GROUP))
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    hot = rows.groupBy("key").count().where(F.col("count") > COPIES).select("key", F.lit(True).alias("hot"))
+    at = F.when(F.col("hot"), F.monotonically_increasing_id()).otherwise(F.lit(0))
+    rows = rows.join(hot, "key", "left") if not hot.isEmpty() else rows.withColumn("hot", F.lit(False))
+    rows = rows.select(F.pmod(F.xxhash64("key", at), F.lit(groups)).cast("int").alias("grp"), "key", "text")
+    plain = docs.sparkSession.sparkContext.broadcast(replace(vocab, words=None, held=None, held_n=None))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = plain.value
+        for batch in batches:
+            data, off = text_bytes(batch.column(2))
+            for i, j in blocks(off, BLOCK_BYTES):
+                h, _, _, first = hash_words(data[off[i] : off[j]], off[i : j + 1] - off[i], lower=True)
+                raw = vocab.slot(h).astype("<u2")
+                got = pa.Array.from_buffers(pa.large_binary(), j - i, [None, pa.py_buffer((2 * first).astype(np.int64)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), got.cast(pa.binary())], names=["grp", "key", "slots"])
+
+    rows = rows.mapInArrow(run, "grp int, key long, slots binary")
+    return cut(rows.repartition("grp").sortWithinPartitions("grp", "key").select("grp", "slots"))
+
+
+def _laid_out(slots: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(padded slots, place, row and number in its row of each token) of texts whose slots are at first[i]:first[i + 1]."""
+    n = np.diff(first)
+    row = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(slots)) + WINDOW * (2 * row + 1)
+    padded = np.full(len(slots) + 2 * WINDOW * len(n), SLOTS, np.int32)
+    padded[place] = slots
+    return padded, place, row, np.arange(len(slots)) - np.repeat(first[:-1], n)
+
+
+def train(docs: DataFrame, text_col: str = "text", rate: float = 0.1, id_col: str = "doc_id") -> tuple[Vocabulary, Net]:
+    """The corpus's vocabulary and network. Null and blank texts add nothing; repeated rows count each; without a word the
+    network is the start."""
     vocab = vocabulary(docs, text_col)
     sc = docs.sparkSession.sparkContext
-    net = Net.start(vocab.counts)
-    for r in range(ROUNDS):
-        shared = sc.broadcast((replace(vocab, words=None), net))  # one model: its size is set by SLOTS and DIM
+    net, squares = Net.start(vocab.counts), None
+    rows = dealt(docs, vocab, id_col, text_col) if vocab.counts.sum() else None
+    for r in range(ROUNDS if rows is not None else 0):
+        shared = sc.broadcast((net, squares))  # one model: its size is set by SLOTS and DIM
 
         def run(batches: Iterator[pa.RecordBatch], r: int = r, shared=shared) -> Iterator[pa.RecordBatch]:
-            vocab, net = shared.value
-            t = Trainer(net, rate)
+            total, t, now = None, None, -1
             for batch in batches:
-                for _, _, padded, (place, row, nth) in _tokens(batch.column(0), vocab):
-                    at = place[in_round(row, nth, r)]
-                    for k in range(0, len(at), BATCH):
-                        part = at[k : k + BATCH]
-                        t.batch(_context(padded, part), padded[part])
-            if t.seen:
-                flat = t.net().flat().astype(np.float64) * t.seen
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat) + 1, dtype=np.int32)), pa.array(np.append(flat, float(t.seen)))], names=["k", "v"])
-
-        sums = docs.select(F.col(text_col).cast("string")).mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+                grp = batch.column(0).to_numpy(zero_copy_only=False)
+                col = batch.column(1).cast(pa.large_binary())
+                if not len(col):
+                    continue
+                off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] // 2
+                slots = np.frombuffer(col.buffers()[2], "<u2") if col.buffers()[2] is not None else np.zeros(0, "<u2")
+                edge = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]])
+                for a, b in zip(edge[:-1], edge[1:], strict=True):
+                    if t is None or grp[a] != now:
+                        if t is not None:
+                            total = t.end() if total is None else total + t.end()
+                        t, now = Trainer(shared.value[0], rate, shared.value[1]), grp[a]
+                    for i, j in blocks(off[a : b + 1], LAID_OUT):
+                        i, j = a + i, a + j
+                        padded, place, row, nth = _laid_out(slots[off[i] : off[j]], off[i : j + 1] - off[i])
+                        if len(place):
+                            t.feed(padded, place[in_round(row, nth, r)])
+            if t is not None:
+                total = t.end() if total is None else total + t.end()
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], names=["k", "v"])
+
+        sums = rows.mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
         if sums.num_rows:
             k, v = sums.column("k").to_numpy(), sums.column("v").to_numpy()
             flat = np.empty(len(v))
             flat[k] = v
-            net = Net.of(flat[:-1] / flat[-1])
+            if flat[-1] > 0:
+                half = (len(flat) - 1) // 2
+                net, squares = Net.of(flat[:half] / flat[-1]), Net.of(flat[half:-1] / flat[-1])
         shared.unpersist()
     return vocab, net
 

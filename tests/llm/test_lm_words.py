@@ -43,3 +43,57 @@ def test_every_token_is_trained_on(spark):
     row = np.repeat(np.arange(40), np.arange(40))
     nth = np.arange(len(row)) - np.repeat(np.cumsum(np.arange(40)) - np.arange(40), np.arange(40))
     assert (sum(lm_score.in_round(row, nth, r).astype(int) for r in range(lm_score.ROUNDS)) == 1).all()
+
+
+def test_scores_do_not_follow_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "GROUP", 20_000)
+    monkeypatch.setattr(lm_score, "COPIES", 5)
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    same = df.limit(1).crossJoin(spark.range(40)).drop("id")
+    df = df.unionByName(same)
+    out = []
+    for n in (2, 16):
+        vocab, net = lm_score.train(df.repartition(n))
+        out.append({x.id: x.log_prob for x in lm_score.score(df, vocab, net).collect()})
+    assert set(out[0]) == set(out[1])
+    # Copies of one row, dealt to all groups, are the only ones that may change groups.
+    assert max(abs(out[0][i] - out[1][i]) / (1 + abs(out[0][i])) for i in out[0]) < 2e-2
+    plain = []
+    for n in (2, 16):
+        vocab, net = lm_score.train(df.distinct().repartition(n))
+        plain.append(net.flat())
+    assert np.allclose(plain[0], plain[1], atol=1e-6)
+
+
+def test_held_out_text_is_likelier_than_by_frequency(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    vocab, net = lm_score.train(df.where("doc_id % 5 <> 0"))
+    held = df.where("doc_id % 5 = 0")
+
+    def perplexity(n):
+        r = lm_score.score(held, vocab, n).agg({"log_prob": "sum", "n_tokens": "sum"}).first()
+        return np.exp(-r["sum(log_prob)"] / r["sum(n_tokens)"])
+
+    assert perplexity(net) < 0.9 * perplexity(lm_score.Net.start(vocab.counts))
+
+
+def test_far_logits_have_finite_logarithms():
+    z = np.array([[-150.0] + [-200.0] * 31, [200.0] + [0.0] * 31], np.float32)
+    got = lm_score._log_softmax_at(z.copy(), np.array([0, 1]))
+    assert np.isfinite(got).all() and abs(got[0]) < 1e-6 and abs(got[1] + 200) < 1e-3
+    assert np.isfinite(lm_score._softmax(z.copy())).all()
+
+
+def test_batches_do_not_follow_calls():
+    rng = np.random.default_rng(0)
+    net = lm_score.Net.start(np.ones(lm_score.SLOTS))
+    slots = rng.integers(0, 900, 9000).astype(np.uint16)
+    padded, place, row, nth = lm_score._laid_out(slots, np.arange(0, 9001, 30))
+    ends = []
+    for size in (9000, 700):
+        t = lm_score.Trainer(net, 0.1)
+        for i in range(0, len(place), size):
+            t.feed(padded, place[i : i + size])
+        ends.append(t.end())
+        assert t.seen == 9000
+    assert np.array_equal(ends[0], ends[1])
