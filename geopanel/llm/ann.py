@@ -22,11 +22,12 @@ from pyspark.sql.window import Window
 
 from geopanel.llm.common import cut
 
-#: Vectors that centroids are fitted on, at most: those with the least hashes.
-SAMPLE = 20_000
-#: Vectors a list is to have while that gives at most MAX_LISTS lists.
+#: Vectors that centroids are fitted on, at most: those with the least hashes; and those of them that top up short results.
+SAMPLE, TOP_UP = 65_536, 20_000
+#: Vectors a list is to have while that gives at most MAX_LISTS lists, an eighth of the sample. Lists of larger tables are
+#: longer; they are dealt to blocks, and nothing in them is left out.
 LIST = 300
-MAX_LISTS = 2048
+MAX_LISTS = SAMPLE // 8
 #: A vector is also posted to centroids within a ratio of its nearest distance: one of these.
 REPLICATES = (1.0, 1.01, 1.03, 1.06)
 #: Share of the true neighbours that the ratio of the queries' lists is to find, and the queries it is measured on.
@@ -293,7 +294,8 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
 
     asked = rows.where(F.expr(query.format(id="id")))
     asks = asked.groupBy("c").agg(F.first("v").alias("v")).select(F.col("c").alias("q"), "v")
-    asks = cut(asks.mapInPandas(_seeds(x, sample.column("c").to_numpy(), sample.column("ids").to_pylist(), k), "q long, v array<double>, bound double, sc array<long>, sd array<double>, si array<array<long>>"))
+    top = slice(0, TOP_UP)
+    asks = cut(asks.mapInPandas(_seeds(x[top], sample.column("c").to_numpy()[top], sample.column("ids")[top].to_pylist(), k), "q long, v array<double>, bound double, sc array<long>, sd array<double>, si array<array<long>>"))
     if asks.isEmpty():
         return empty
     seeds = asks.select("q", F.explode(F.arrays_zip("sc", "sd", "si")).alias("s")).select("q", F.col("s.sc").alias("c"), F.col("s.sd").alias("score"), F.col("s.si").alias("ids"))

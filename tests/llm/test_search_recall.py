@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 
 from geopanel.llm import ann
 
@@ -37,3 +38,16 @@ def test_no_query_is_short_of_neighbours(spark, monkeypatch):
     x = (np.repeat(rng.normal(0, 50, (80, 16)), 5, axis=0) + 0.01 * rng.normal(0, 1, (400, 16))).astype(np.float32)
     got = found(spark, x)
     assert len(got) == 4 and all(len(v) == 10 for v in got.values())
+
+
+def test_recall_on_a_large_table(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (50_000, 32)) + 1.5 * rng.normal(0, 1, (200, 32))[rng.integers(0, 200, 50_000)]
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(len(x)), "embedding": x.tolist()}), SCHEMA)
+    got = {}
+    for r in ann.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert len(got) == 500 and all(len(v) == 10 for v in got.values())
+    some = {q: got[q] for q in sorted(got)[::2]}
+    assert recall(some, x) >= 0.95
