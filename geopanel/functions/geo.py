@@ -167,3 +167,62 @@ def utm(lon: Column, lat: Column, zone: int, north: bool = True) -> tuple[Column
         east = east + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
         north_ = north_ + a * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
     return 500000 + _K0 * radius * east, (0 if north else 10000000) + _K0 * radius * north_
+
+
+def from_utm(x: Column, y: Column, zone: int, north: bool = True) -> tuple[Column, Column]:
+    """UTM metres to WGS84 degrees, the inverse of utm() by series to the third order."""
+    n = _FLAT / (2 - _FLAT)
+    radius = _A / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96, n**2 / 48 + n**3 / 15, 17 * n**3 / 480)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3, 7 * n**2 / 3 - 8 * n**3 / 5, 56 * n**3 / 15)
+    xi = (y - (0 if north else 10000000)) / (_K0 * radius)
+    eta = (x - 500000) / (_K0 * radius)
+    a, b = xi, eta
+    for j, c in enumerate(beta, 1):
+        a = a - c * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        b = b - c * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(a) / F.cosh(b))
+    lat = chi
+    for j, c in enumerate(delta, 1):
+        lat = lat + c * F.sin(2 * j * chi)
+    return F.degrees(F.atan2(F.sinh(b), F.cos(a))) + (zone * 6 - 183), F.degrees(lat)
+
+
+def _epsg(crs: str) -> int:
+    code = str(crs).upper().removeprefix("EPSG:")
+    known = code.isdigit() and (int(code) in (4326, 3857) or int(code) // 100 in (326, 327) and 1 <= int(code) % 100 <= 60)
+    if not known:
+        raise ValueError(f"cannot reproject {crs!r}; known are EPSG:4326, EPSG:3857 and the UTM zones EPSG:326zz and EPSG:327zz")
+    return int(code)
+
+
+def reproject(x: Column, y: Column, source: str, target: str) -> tuple[Column, Column]:
+    """Coordinates of one system as those of another, by way of degrees."""
+    a, b = _epsg(source), _epsg(target)
+    if a == b:
+        return x, y
+    lon, lat = (x, y) if a == 4326 else from_web_mercator(x, y) if a == 3857 else from_utm(x, y, a % 100, a // 100 == 326)
+    return (lon, lat) if b == 4326 else web_mercator(lon, lat) if b == 3857 else utm(lon, lat, b % 100, b // 100 == 326)
+
+
+def centroid(rings: Column) -> tuple[Column, Column]:
+    """Planar centroid of a column of polygons, array<array<struct<x, y>>>: the outer ring, then holes, which subtract."""
+
+    def sums(ring: Column) -> Column:
+        """(area, x moment, y moment) of one ring, with the sign of its orientation."""
+        pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, 1 << 30), F.slice(ring, 1, 1)), lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")))
+        zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+        def add(s: Column, e: Column) -> Column:
+            w = e["x1"] * e["y2"] - e["x2"] * e["y1"]
+            return F.struct((s["a"] + w / 2).alias("a"), (s["x"] + (e["x1"] + e["x2"]) * w / 6).alias("x"), (s["y"] + (e["y1"] + e["y2"]) * w / 6).alias("y"))
+
+        return F.aggregate(pairs, zero, add)
+
+    signed = F.transform(rings, lambda r, k: F.struct(sums(r).alias("s"), F.when(k == 0, 1.0).otherwise(-1.0).alias("k")))
+    each = F.transform(signed, lambda v: F.struct((F.signum(v["s"]["a"]) * v["k"] * v["s"]["a"]).alias("a"), (F.signum(v["s"]["a"]) * v["k"] * v["s"]["x"]).alias("x"), (F.signum(v["s"]["a"]) * v["k"] * v["s"]["y"]).alias("y")))
+
+    def total(part: str) -> Column:
+        return F.aggregate(each, F.lit(0.0), lambda t, v: t + v[part])
+
+    return F.try_divide(total("x"), total("a")), F.try_divide(total("y"), total("a"))

@@ -25,12 +25,27 @@ def scalar_series(df: DataFrame, by: list[str], t: str, y: str) -> DataFrame:
     return s.select(*by, F.transform("s", lambda v: v["y"]).alias("ys"))
 
 
+#: Steps that a scan of an array takes before it appends them to its result.
+CHUNK = 64
+
+
+def scan(xs: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The states after each element of xs from the state start on. Appending copies an array, so that steps are
+    gathered in chunks first, which divides the copying by CHUNK."""
+    chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(xs) / CHUNK).cast("int") - 1)), lambda k: F.slice(xs, k * CHUNK + 1, F.lit(CHUNK)))
+
+    def some(acc: Column, chunk: Column) -> Column:
+        new = F.aggregate(chunk, F.slice(acc, -1, 1), lambda a, x: F.concat(a, F.array(step(F.element_at(a, -1), x))))
+        return F.concat(acc, F.slice(new, 2, CHUNK))
+
+    return F.slice(F.aggregate(chunks, F.array(start), some), 2, 1 << 30)
+
+
 def filter_scalar(ys: Column, f: float, q: float, r: float, x0: float, p0: float) -> Column:
     """Array of (xp, pp, x, p, ll) a step for x_t = f x + N(0, q), y = x + N(0, r); NULL observations only predict."""
-    start = F.array(F.struct(F.lit(x0).alias("xp"), F.lit(p0).alias("pp"), F.lit(x0).alias("x"), F.lit(p0).alias("p"), F.lit(0.0).alias("ll")))
+    start = F.struct(F.lit(x0).alias("xp"), F.lit(p0).alias("pp"), F.lit(x0).alias("x"), F.lit(p0).alias("p"), F.lit(0.0).alias("ll"))
 
-    def step(acc: Column, y: Column) -> Column:
-        last = F.element_at(acc, -1)
+    def step(last: Column, y: Column) -> Column:
         xp, pp = F.lit(f) * last["x"], F.lit(f) * F.lit(f) * last["p"] + F.lit(q)
         s = pp + F.lit(r)
         gain = pp / s
@@ -39,9 +54,9 @@ def filter_scalar(ys: Column, f: float, q: float, r: float, x0: float, p0: float
         x = F.when(seen, xp + gain * e).otherwise(xp)
         p = F.when(seen, (1 - gain) * pp).otherwise(pp)
         ll = last["ll"] - F.when(seen, 0.5 * (F.lit(LOG_2PI) + F.ln(s) + e * e / s)).otherwise(0.0)
-        return F.concat(acc, F.array(F.struct(xp.alias("xp"), pp.alias("pp"), x.alias("x"), p.alias("p"), ll.alias("ll"))))
+        return F.struct(xp.alias("xp"), pp.alias("pp"), x.alias("x"), p.alias("p"), ll.alias("ll"))
 
-    return F.slice(F.aggregate(ys, start, step), 2, 1 << 30)
+    return scan(ys, start, step)
 
 
 def filter_scalar_last(ys: Column, f: float, q: float, r: float, x0: float, p0: float) -> Column:
@@ -65,14 +80,14 @@ def smooth_scalar(filtered: Column, f: float) -> Column:
     """Array of (x, p) smoothed, in time order, from filter_scalar's output."""
     back = F.reverse(filtered)
     first = F.element_at(filtered, -1)
-    start = F.array(F.struct(first["x"].alias("x"), first["p"].alias("p"), first["xp"].alias("xp"), first["pp"].alias("pp")))
+    start = F.struct(first["x"].alias("x"), first["p"].alias("p"), first["xp"].alias("xp"), first["pp"].alias("pp"))
 
-    def step(acc: Column, s: Column) -> Column:
-        n = F.element_at(acc, -1)
+    def step(n: Column, s: Column) -> Column:
         j = s["p"] * F.lit(f) / n["pp"]
-        return F.concat(acc, F.array(F.struct((s["x"] + j * (n["x"] - n["xp"])).alias("x"), (s["p"] + j * j * (n["p"] - n["pp"])).alias("p"), s["xp"].alias("xp"), s["pp"].alias("pp"))))
+        return F.struct((s["x"] + j * (n["x"] - n["xp"])).alias("x"), (s["p"] + j * j * (n["p"] - n["pp"])).alias("p"), s["xp"].alias("xp"), s["pp"].alias("pp"))
 
-    return F.transform(F.reverse(F.aggregate(F.slice(back, 2, 1 << 30), start, step)), lambda v: F.struct(v["x"].alias("x"), v["p"].alias("p")))
+    every = F.concat(F.array(start), scan(F.slice(back, 2, 1 << 30), start, step))
+    return F.transform(F.reverse(every), lambda v: F.struct(v["x"].alias("x"), v["p"].alias("p")))
 
 
 # --- information form over per-step statistics --------------------------------------------------------------------------

@@ -55,6 +55,10 @@ class LowRankModel:
     def factor(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.covs)), [c.n_latent for c in self.covs])
 
+    def with_default_domains(self) -> LowRankModel:
+        """Responses without a domain get the convex hull of their sites."""
+        return replace(self, domains=tuple(site_hull(p.rows) if d is None else d for p, d in zip(self.panels, self.domains, strict=True)))
+
     def _offsets(self) -> list[int]:
         return np.cumsum([0, *[c.n_latent for c in self.covs]]).tolist()
 
@@ -106,6 +110,57 @@ class LowRankModel:
         return ss.simulate(n, seed)
 
 
+def site_hull(rows: DataFrame, x: str = "x", y: str = "y") -> list:
+    """Convex hull of the sites, as a polygon: hulls of partitions first, whose corners alone go to the driver."""
+    import pandas as pd
+
+    def corners(frames):
+        kept: list[tuple[float, float]] = []
+        for f in frames:
+            pts = {*kept, *zip(f["x"], f["y"], strict=True)}
+            kept = geo.hull(pts)[:-1] if len(pts) > 2 else sorted(pts)
+        yield pd.DataFrame(kept, columns=["x", "y"])
+
+    pts = rows.select(F.col(x).alias("x"), F.col(y).alias("y")).distinct().mapInPandas(corners, "x double, y double").collect()
+    if len(pts) < 3:
+        raise ValueError("a hull takes three sites")
+    return [geo.hull((r.x, r.y) for r in pts)[:-1]]
+
+
+def _pair(g):
+    """One back-transformation: a name of areal.BACK, or its value and two derivatives as functions of Columns."""
+    if isinstance(g, str) and g not in BACK:
+        raise ValueError(f"unknown back-transformation {g!r}")
+    if not isinstance(g, str) and (len(g) != 3 or not all(callable(f) for f in g)):
+        raise ValueError("a back-transformation is a name, or (g, g', g'')")
+    return g
+
+
+def _back_all(g, n: int) -> list:
+    g = [g] * n if isinstance(g, str) or (isinstance(g, tuple) and len(g) == 3 and all(callable(f) for f in g)) else list(g)
+    if len(g) != n:
+        raise ValueError("one back-transformation, or one a response")
+    return [_pair(v) for v in g]
+
+
+def _by_var(choices: list, var: str = "var"):
+    """The column of choices that belongs to the row's response."""
+    out = F.lit(None).cast("double")
+    for i, c in enumerate(choices):
+        out = F.when(F.col(var) == i, c).otherwise(out)
+    return out
+
+
+def y_intervals(rows: DataFrame, noise: Sequence[float] | None, alpha: float = 0.05) -> DataFrame:
+    """rows with y_lower and y_upper: mean -+ z sqrt(variance), plus the response's noise variance if given."""
+    if not 0 < alpha < 1:
+        raise ValueError("alpha is between 0 and 1")
+    z = special.z_quantile(1 - alpha / 2)
+    r = _by_var([F.lit(float(v)) for v in noise]) if noise is not None else F.lit(0.0)
+    half = z * std_of_variance(F.col("variance") + r)
+    return rows.withColumns({"y_lower": F.col("mean") - half, "y_upper": F.col("mean") + half})
+
+
 def _loglik_at(stats, covs, p, theta) -> float:
     try:
         return em.loglik(stats, p.unpack(np.asarray(theta)), covs)
@@ -133,6 +188,39 @@ class Results:
     def nobs(self) -> int:
         return int(self.stats.m.sum())
 
+    @property
+    def ntime(self) -> int:
+        return self.stats.n_steps
+
+    @property
+    def nspace(self) -> tuple[int, ...]:
+        """Sites of each response."""
+        return tuple(p.n_sites for p in self.model.panels)
+
+    @property
+    def missing(self) -> int:
+        """Entries of the panels that the fit has not seen."""
+        return sum(n * self.ntime for n in self.nspace) - self.nobs
+
+    def update(self, **changes) -> Results:
+        """A copy with other attributes; parameters given as params are filtered and smoothed anew."""
+        known = {"model", "stats", "fit", "options", "cov_params", "params"}
+        if set(changes) - known:
+            raise AttributeError(f"no attribute {', '.join(sorted(set(changes) - known))}")
+        params = changes.pop("params", None)
+        out = replace(self, **changes)
+        if params is not None:
+            covs = list(out.model.covs)
+            em.check_params(params, out.stats, len(covs))
+            sm = em.e_step(out.stats, params, em.system(params, covs, out.stats.factor))
+            out = replace(out, fit=replace(out.fit, params=params, smoothed=sm, loglik=sm.loglik), cov_params=changes.get("cov_params"))
+        return out
+
+    def as_dict(self, spark: SparkSession) -> dict:
+        """A flat snapshot: numbers, parameters by name, and states, fitted values and trace as tables."""
+        numbers = {k: getattr(self, k) for k in ("loglik", "nobs", "missing", "ntime", "n_params", "df_resid", "aic", "bic")}
+        return numbers | self.params.as_dict() | {"x0_mean": float(self.params.x0.mean()), "Sigma0_mean": float(np.diag(self.params.Sigma0).mean()), "states": self.states(spark), "fitted": self.fitted(), "trace": self.trace(spark)}
+
     @property
     def n_params(self) -> int:
         return len(self.params.pack())
@@ -222,8 +310,48 @@ class Results:
             out = f if out is None else out.unionByName(f)
         return out.withColumn("residual", F.col("obs") - F.col("mean"))
 
+    def view(self, var: int) -> DataFrame:
+        """Fitted values, variances, observations and residuals of one response."""
+        if not 0 <= var < len(self.model.panels):
+            raise ValueError(f"there are {len(self.model.panels)} responses")
+        f = self._predicted(self.model.panels[var], var, self.options.std is not False)
+        return f.withColumn("residual", F.col("obs") - F.col("mean"))
+
+    def intervals(self, alpha: float = 0.05, prediction: bool = True) -> DataFrame:
+        """Fitted values with intervals: of new observations, or of the signal alone."""
+        if self.options.std is False:
+            raise ValueError("the fit has no variances")
+        return y_intervals(self.fitted(), self.params.s2e if prediction else None, alpha)
+
+    def back_transform(self, g) -> DataFrame:
+        """Fitted values with columns on the original scale: mean_back and variance_back by the delta method, obs_back by
+        the function itself, and residual_back, their difference. g as in Prediction.back_transform."""
+        g = _back_all(g, len(self.model.panels))
+        if self.options.std is False:
+            warnings.warn("without variances, back-transformed means have no correction", stacklevel=2)
+        f = self.fitted()
+        var = F.coalesce(F.col("variance"), F.lit(0.0))
+        both = [delta_method(v, F.col("mean"), var) for v in g]
+        h = [(BACK[v] if isinstance(v, str) else v)[0] for v in g]
+        f = f.withColumns({"mean_back": _by_var([m for m, _ in both]), "variance_back": F.when(F.col("variance").isNotNull(), _by_var([v for _, v in both])), "obs_back": _by_var([k(F.col("obs")) for k in h])})
+        return f.withColumn("residual_back", F.col("obs_back") - F.col("mean_back"))
+
+    def covariance(self, sites: DataFrame, var: int = 0) -> DataFrame:
+        """(t_idx, site_a, site_b, cov): full covariances of the signal over a table of sites (site_id, x, y) whose pairs
+        are wanted, site_a <= site_b. Sites outside the support have none."""
+        spark = sites.sparkSession
+        panel = replace(self.model.panels[var], rows=sites)
+        table = spark.createDataFrame([(n, float(self.params.A[var][j])) for n, j in enumerate(self.model.factor)], "node int, a double")
+        b = self.model.basis(panel, var).join(F.broadcast(table), "node").select("site_id", "node", (F.col("h") * F.col("a")).alias("w"))
+        p = _full_states(spark, self.fit.smoothed.p)
+        half = b.select(F.col("site_id").alias("site_a"), F.col("node").alias("a"), F.col("w").alias("wa")).join(F.broadcast(p), "a")
+        half = half.groupBy("t_idx", "site_a", "b").agg(F.sum(F.col("wa") * F.col("p")).alias("u"))
+        other = b.select(F.col("site_id").alias("site_b"), F.col("node").alias("b"), F.col("w").alias("wb"))
+        return half.join(other, "b").where("site_a <= site_b").groupBy("t_idx", "site_a", "site_b").agg(F.sum(F.col("u") * F.col("wb")).alias("cov"))
+
     def predict(self, df: DataFrame | Sequence[DataFrame], spec: PanelSpec | None = None, domains=None, variance: bool = True) -> Prediction:
-        """New sites at training times; one table for all responses, or one each."""
+        """New sites at training times, which all responses share; one table for all responses, or one each. Sites outside
+        the support, which get the regression alone and no variance, and missing covariates are counted in warnings."""
         frames = list(df) if isinstance(df, (list, tuple)) else [df] * len(self.model.panels)
         if len(frames) != len(self.model.panels):
             raise ValueError("one table for all responses, or one each")
@@ -232,6 +360,15 @@ class Results:
         for i, (p, d, dom) in enumerate(zip(self.model.panels, frames, doms, strict=True)):
             f = self._predicted(build_predict(p, d, spec, dom), i, variance)
             out = f if out is None else out.unionByName(f)
+        n = out.agg(F.countDistinct(F.when(~F.col("in_support"), F.struct("var", "site_id"))).alias("off"), F.count(F.when(F.col("mean").isNull(), 1)).alias("lost")).first()
+        if n.off:
+            warnings.warn(f"{n.off} sites lie outside the latent support: their means are the regression alone", stacklevel=2)
+        if n.lost:
+            warnings.warn(f"{n.lost} predictions lack a covariate", stacklevel=2)
+        if len(frames) > 1 and isinstance(df, (list, tuple)):
+            per = out.groupBy("var").agg(F.sort_array(F.collect_set("ts")).alias("ts"))  # a row a step
+            if per.select("ts").distinct().count() > 1:
+                raise ValueError("all responses are predicted at the same times")
         return Prediction(self, out)
 
     def design_matrix(self, df: DataFrame, spec: PanelSpec | None = None) -> DataFrame:
@@ -317,11 +454,35 @@ class Results:
         return "\n".join([*lines, r"\bottomrule", r"\end{tabular}"])
 
     def save(self, path: str) -> None:
-        """Parameters, states and formulas; no data and no session."""
+        """Parameters, states and formulas; no data and no session. load() puts them on a model again."""
         p = self.params
         keep = {"params": p.as_dict(), "fixed": sorted(p.fixed), "loglik": self.loglik, "formulas": [q.formula.text for q in self.model.panels], "codings": [q.coding for q in self.model.panels], "x": self.fit.smoothed.x, "P": self.fit.smoothed.p}
         with open(path, "wb") as f:
-            pickle.dump(keep, f)
+            pickle.dump(keep | {"stats": self.stats, "options": self.options, "trace": self.fit.trace, "converged": self.fit.converged, "termination": self.fit.termination, "cov_params": self.cov_params, "smoothed": self.fit.smoothed}, f)
+
+    @staticmethod
+    def load(path: str, model: LowRankModel) -> Results:
+        """Saved results on a model of the same formulas and latent fields, set up again; no fit is run. The file must be
+        one's own: it is a pickle."""
+        with open(path, "rb") as f:
+            kept = pickle.load(f)
+        texts = [p.formula.text for p in model.panels]
+        if texts != kept["formulas"]:
+            raise ValueError(f"the results are of {kept['formulas']}, the model of {texts}")
+        if len(model.factor) != len(kept["stats"].factor):
+            raise ValueError(f"the results have {len(kept['stats'].factor)} latent nodes, the model {len(model.factor)}")
+        p = em.Params(**kept["params"], fixed=frozenset(kept["fixed"]))
+        fit = em.Fit(p, kept["smoothed"], kept["loglik"], kept["converged"], kept["termination"], kept["trace"])
+        return Results(model, kept["stats"], fit, kept["options"], kept["cov_params"])
+
+
+def _full_states(spark: SparkSession, p: np.ndarray) -> DataFrame:
+    """(t_idx, a, b, p) of all pairs of nodes after the initial state: steps times nodes squared, whatever the sites."""
+    import pandas as pd
+
+    n, q = len(p) - 1, p.shape[1]
+    a, b = np.divmod(np.arange(q * q), q)
+    return spark.createDataFrame(pd.DataFrame({"t_idx": np.repeat(np.arange(n), q * q), "a": np.tile(a, n), "b": np.tile(b, n), "p": p[1:].ravel()}))
 
 
 def _inference(name: str, v: float, s: float, q: float, df: int) -> tuple[float, float, float, float, float]:
@@ -358,51 +519,73 @@ def export(rows: DataFrame, tag: str) -> DataFrame:
 class Prediction:
     results: Results
     rows: DataFrame
+    back: tuple | None = None
 
     def export(self) -> DataFrame:
         return export(self.rows, "pred")
 
-    def back_transform(self, g: str | Sequence[str]) -> Prediction:
-        """Delta-method means and variances on the original scale; g names one function of areal.BACK a response."""
-        n = len(self.results.model.panels)
-        g = [g] * n if isinstance(g, str) else list(g)
-        if len(g) != n:
-            raise ValueError("one back-transformation, or one a response")
+    def back_transform(self, g) -> Prediction:
+        """Delta-method means and variances on the original scale; g is a name of areal.BACK or (g, g', g''), functions of
+        Columns, for all responses, or one each. mean_link and variance_link keep the scale of the model."""
+        g = _back_all(g, len(self.results.model.panels))
         mean, var = F.col("mean"), F.col("variance")
-        new_m, new_v = F.lit(None).cast("double"), F.lit(None).cast("double")
-        for i, name in enumerate(g):
-            if name not in BACK:
-                raise ValueError(f"unknown back-transformation {name!r}")
-            m, v = delta_method(name, mean, var)
-            new_m, new_v = F.when(F.col("var") == i, m).otherwise(new_m), F.when(F.col("var") == i, v).otherwise(new_v)
-        return replace(self, rows=self.rows.withColumns({"mean_link": mean, "variance_link": var, "mean": new_m, "variance": new_v}))
-
-    def to_poly(self, polygons: list, names: list[str] | None = None) -> DataFrame:
-        """(var, poly_id, ts, n_points, mean): means over the points in support of each polygon."""
-        return areal_mean(self.rows.where("in_support and mean is not null"), polygons, names, by=["var", "ts"])
+        both = [delta_method(v, mean, var) for v in g]
+        return replace(self, rows=self.rows.withColumns({"mean_link": mean, "variance_link": var, "mean": _by_var([m for m, _ in both]), "variance": _by_var([v for _, v in both])}), back=tuple(g))
+
+    def intervals(self, alpha: float = 0.05, prediction: bool = True) -> DataFrame:
+        """Rows with y_lower and y_upper on the scale of the model, of new observations or of the signal alone."""
+        if self.back is not None:
+            raise ValueError("intervals are those of the scale of the model")
+        return y_intervals(self.rows, self.results.params.s2e if prediction else None, alpha)
+
+    def to_poly(self, polygons: list, names: list[str] | None = None, std: bool = False) -> DataFrame:
+        """(var, ts, poly_id, name, n_points, mean[, std]): means over the points in support of each polygon, on the
+        scale of the rows. Polygons without points have n_points 0 and null values, with a warning."""
+        if not polygons:
+            raise ValueError("no polygons")
+        ok = self.rows.where("in_support and mean is not null")
+        got = areal_mean(ok, polygons, names, by=["var", "ts"])
+        grid = self.rows.select("var", "ts").distinct()  # a row a response and step
+        every = self.rows.sparkSession.createDataFrame([(k, names[k] if names else str(k)) for k in range(len(polygons))], "poly_id int, name string")
+        empty = every.join(got.select("poly_id").distinct(), "poly_id", "left_anti").count()
+        if empty:
+            warnings.warn(f"{empty} polygons hold no point in support", stacklevel=2)
+        out = grid.crossJoin(F.broadcast(every)).join(got.drop("name"), ["var", "ts", "poly_id"], "left")
+        out = out.select("var", "ts", "poly_id", "name", F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), "mean")
+        if not std:
+            return out
+        both = None
+        for i in range(len(self.results.model.panels)):
+            s = self.to_poly_std(polygons, i).withColumn("var", F.lit(i))
+            both = s if both is None else both.unionByName(s)
+        times = self.rows.select("ts", "t_idx").distinct()
+        both = both.join(F.broadcast(times), "t_idx").select("var", "ts", "poly_id", "std")
+        return out.join(both, ["var", "ts", "poly_id"], "left")
 
     def to_poly_std(self, polygons: list, var: int = 0) -> DataFrame:
         """(poly_id, t_idx, std) of areal means: the basis is averaged over each polygon's points first, so that the
-        variance is that of one weighted row a polygon."""
+        variance is that of one weighted row a polygon. After back_transform a point weighs by the slope of the
+        back-transformation at its mean, which goes with the step."""
         from geopanel.operators.areal import points_in_polygons
 
         spark = self.rows.sparkSession
-        pts = self.rows.where(F.col("var") == var).where("in_support").select("site_id", "x", "y").distinct()
-        hit = points_in_polygons(pts, polygons)
-        n = hit.groupBy("poly_id").agg(F.count("*").alias("n"))
+        mine = self.rows.where(F.col("var") == var).where("in_support and mean is not null")
+        pts = mine.select("site_id", "x", "y").distinct()
+        hit = points_in_polygons(pts, polygons).select("poly_id", "site_id")
         load = self.results.params.A[var]
         table = spark.createDataFrame([(k, float(load[j])) for k, j in enumerate(self.results.model.factor)], "node int, a double")
         panel = replace(self.results.model.panels[var], rows=pts)
-        b = self.results.model.basis(panel, var).join(F.broadcast(table), "node")
-        w = hit.join(b, "site_id").join(n, "poly_id").groupBy("poly_id", "node").agg(F.sum(F.col("h") * F.col("a") / F.col("n")).alias("w"))
-        sm = self.results.fit.smoothed
-        import pandas as pd
-
-        q = sm.x.shape[1]
-        a, c = np.divmod(np.arange(q * q), q)
-        full = pd.DataFrame({"t_idx": np.repeat(np.arange(len(sm.p) - 1), q * q), "a": np.tile(a, len(sm.p) - 1), "b": np.tile(c, len(sm.p) - 1), "p": sm.p[1:].ravel()})
-        pair = w.select("poly_id", F.col("node").alias("a"), F.col("w").alias("wa")).join(w.select("poly_id", F.col("node").alias("b"), F.col("w").alias("wb")), "poly_id")
-        v = pair.join(spark.createDataFrame(full), ["a", "b"]).groupBy("poly_id", "t_idx").agg(F.sum(F.col("wa") * F.col("p") * F.col("wb")).alias("v"))
+        b = self.results.model.basis(panel, var).join(F.broadcast(table), "node").select("site_id", "node", (F.col("h") * F.col("a")).alias("w"))
+        g = self.back[var] if self.back is not None else "identity"
+        slope = (BACK[g] if isinstance(g, str) else g)[1](F.col("mean_link" if self.back is not None else "mean"))
+        at = mine.select("site_id", "t_idx", slope.alias("slope"))
+        per = hit.join(at, "site_id")
+        n = per.groupBy("poly_id", "t_idx").agg(F.count("*").alias("n"))
+        w = per.join(b, "site_id").groupBy("poly_id", "t_idx", "node").agg(F.sum(F.col("slope") * F.col("w")).alias("w"))
+        w = w.join(n, ["poly_id", "t_idx"]).select("poly_id", "t_idx", "node", (F.col("w") / F.col("n")).alias("w"))
+        full = _full_states(spark, self.results.fit.smoothed.p)
+        pair = w.select("poly_id", "t_idx", F.col("node").alias("a"), F.col("w").alias("wa")).join(w.select("poly_id", "t_idx", F.col("node").alias("b"), F.col("w").alias("wb")), ["poly_id", "t_idx"])
+        v = pair.join(full, ["t_idx", "a", "b"]).groupBy("poly_id", "t_idx").agg(F.sum(F.col("wa") * F.col("p") * F.col("wb")).alias("v"))
         return v.select("poly_id", "t_idx", std_of_variance(F.col("v")).alias("std"))
 
     def summary(self) -> DataFrame:

@@ -101,8 +101,17 @@ def variogram(distance: Column, kappa: float, var: float = 1.0) -> Column:
     return var * (1 - correlation(distance, kappa))
 
 
+#: Points that may stand on the right of a table of all distances.
+MOST = 10_000
+
+
 def distances(a: DataFrame, b: DataFrame, latlon: bool = False) -> DataFrame:
-    """(a, b, d) for all pairs of two small point tables (id, x, y): b is a stated query set of bounded size."""
-    p, q = a.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya")), b.select(F.col("id").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
+    """(a, b, d) of all points a (id, x, y) to a fixed set of points b, such as the nodes of a mesh, of MOST at most."""
+    n = b.limit(MOST + 1).count()
+    if n > MOST:
+        raise ValueError(f"distances to more than {MOST} points; take neighbours by cells instead")
+    p = a.select(F.col("id").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
+    q = b.select(F.struct(F.col("id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("q")).agg(F.collect_list("q").alias("q"))
     f = geo.great_circle if latlon else geo.euclid
-    return p.crossJoin(q).select("a", "b", f(F.col("xa"), F.col("ya"), F.col("xb"), F.col("yb")).alias("d"))
+    out = p.crossJoin(F.broadcast(q)).select("a", "xa", "ya", F.explode("q").alias("q"))  # one row with all of b
+    return out.select("a", F.col("q.id").alias("b"), f(F.col("xa"), F.col("ya"), F.col("q.x"), F.col("q.y")).alias("d"))

@@ -118,6 +118,13 @@ class Formula:
         return {f.text: f.functions for f in every if f.functions}
 
 
+def register(name: str, f) -> None:
+    """Make a function of Columns known to formulas under a name; its results that are not finite count as missing."""
+    if not name.isidentifier() or name in STATEFUL or name in ("I", "C"):
+        raise FormulaError(f"{name!r} cannot name a function")
+    FUNCTIONS[name] = f
+
+
 def parse(text: str) -> Formula:
     if text.count("~") > 1:
         raise FormulaError(f"more than one ~ in {text!r}")

@@ -96,6 +96,16 @@ def first_rows(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
+def duplicates(df: DataFrame, keys: list[str]) -> int:
+    """Rows that repeat a key."""
+    return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0))).first()[0]
+
+
+def naive_utc(ts: Column) -> Column:
+    """A timestamp with time zone as the UTC clock time without one."""
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), ts.cast("timestamp_ntz"))
+
+
 def time_window(df: DataFrame, ts: str, start=None, end=None) -> DataFrame:
     """Rows from start to end, both included; the filter reaches the scan."""
     if start is not None:
@@ -132,14 +142,36 @@ def balance(df: DataFrame, site: str, ts: str, value: str) -> DataFrame:
     return per.groupBy("n_times").agg(F.count("*").alias("n_sites"), F.sum("n").alias("n_rows"), F.sum("seen").alias("n_observed"), F.sum(F.when(F.col("n") != F.col("n_times"), 1).otherwise(0)).alias("incomplete")).select("n_sites", "n_times", "n_rows", "n_observed", (1 - F.col("n_observed") / F.col("n_rows")).alias("nan_ratio"), "incomplete")
 
 
+def exact_quantiles(df: DataFrame, col: str, at: list[float], slack: float = 1e-3) -> list[float | None]:
+    """Exact, interpolated quantiles of the non-null values. An approximate pass brackets each one; values outside its
+    bracket are counted and only those inside, about 2 slack of all, are sorted, so that no task holds all values."""
+    v = df.select(F.col(col).cast("double").alias("v")).where("v is not null")
+    edges = [min(1.0, max(0.0, q + d)) for q in at for d in (-slack, slack)]
+    got = v.agg(F.count("*").alias("n"), F.percentile_approx("v", F.array(*[F.lit(e) for e in edges]), 10_000).alias("e")).first()
+    if not got.n:
+        return [None] * len(at)
+    cuts = [(got.e[2 * k], got.e[2 * k + 1]) for k in range(len(at))]
+    # Ranks from 0; the ends of the range are taken as they are.
+    cuts = [(None if edges[2 * k] == 0 else lo, None if edges[2 * k + 1] == 1 else hi) for k, (lo, hi) in enumerate(cuts)]
+    below = v.agg(*[(F.count(F.when(F.col("v") < lo, 1)) if lo is not None else F.lit(0)).alias(f"b{k}") for k, (lo, _) in enumerate(cuts)]).first()
+    out: list[float | None] = []
+    for k, (q, (lo, hi)) in enumerate(zip(at, cuts, strict=True)):
+        inside = v.where((F.lit(True) if lo is None else F.col("v") >= lo) & (F.lit(True) if hi is None else F.col("v") <= hi))
+        m = inside.count()
+        first, want = below[f"b{k}"], q * (got.n - 1)
+        if not first <= want <= first + m - 1:  # the approximation was off: take a wider bracket
+            return exact_quantiles(df, col, at, min(1.0, 10 * slack))
+        share = (want - first) / (m - 1) if m > 1 else 0.0
+        out.append(inside.agg(F.percentile("v", share)).first()[0])
+    return out
+
+
 def quantile_mask(df: DataFrame, cols: list[str], lo: float = 0.001, hi: float = 0.999) -> DataFrame:
     """Values outside their exact lo and hi quantiles become NULL."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(lo), F.lit(hi))).alias(f"__q_{c}") for c in cols])
-    df = df.crossJoin(F.broadcast(q))  # one row
     for c in cols:
-        b = F.col(f"__q_{c}")
-        df = df.withColumn(c, F.when(F.col(c).between(b[0], b[1]), F.col(c)))
-    return df.drop(*[f"__q_{c}" for c in cols])
+        a, b = exact_quantiles(df, c, [lo, hi])
+        df = df.withColumn(c, F.when(F.col(c).between(F.lit(a), F.lit(b)), F.col(c)))
+    return df
 
 
 def season(ts: Column) -> Column:
@@ -178,6 +210,12 @@ class Panel:
     span: tuple[dt.datetime, dt.datetime]
     crs: str | None
 
+    def astype(self, kind: str) -> Panel:
+        """The panel with response and covariates as float or double."""
+        if kind not in ("float", "double"):
+            raise PanelError("a panel is of float or double")
+        return replace(self, rows=self.rows.withColumns({"obs": F.col("obs").cast(kind), "cov": F.col("cov").cast(f"array<{kind}>")}))
+
     @property
     def shape(self) -> tuple[int, int, int]:
         return self.n_sites, len(self.names), self.n_times
@@ -193,14 +231,30 @@ class Panel:
 
 @dataclass(frozen=True)
 class PanelSpec:
-    """Column roles of a raw table. order says which row comes first (for duplicates and site numbers)."""
+    """Column roles of a raw table. order says which row comes first (for duplicates and site numbers). ts None is found
+    by time_column. polygon is a column of polygons (array<array<struct<x, y>>>) whose centroids are the sites' places,
+    in place of x and y. With utc times are read as UTC clock times."""
 
     site: str = "site"
-    ts: str = "ts"
+    ts: str | None = "ts"
     x: str = "x"
     y: str = "y"
     order: str | None = None
     crs: str | None = None
+    polygon: str | None = None
+    utc: bool = False
+
+
+def _roles(df: DataFrame, spec: PanelSpec) -> tuple[DataFrame, PanelSpec]:
+    """df and spec with the time column found and polygons replaced by their centroids."""
+    if spec.ts is None:
+        spec = replace(spec, ts=time_column(df))
+    if spec.polygon:
+        warnings.warn("sites that are polygons are placed at their planar centroids", stacklevel=3)
+        x, y = geo.centroid(F.col(spec.polygon))
+        df = df.withColumns({"__px": x, "__py": y})
+        spec = replace(spec, x="__px", y="__py", polygon=None)
+    return df, spec
 
 
 def _prepare(df: DataFrame, spec: PanelSpec, what: list[str]) -> DataFrame:
@@ -210,6 +264,7 @@ def _prepare(df: DataFrame, spec: PanelSpec, what: list[str]) -> DataFrame:
     ts = F.col(spec.ts)
     kind = dict(df.dtypes)[spec.ts]
     ts = F.try_to_timestamp(ts) if kind == "string" else ts.cast("timestamp")
+    ts = naive_utc(ts).cast("timestamp") if spec.utc else ts
     keep = [F.col(f"`{c}`") for c in dict.fromkeys(what) if c not in ("__site", "__ts", "__x", "__y", "__ord")]
     order = F.col(spec.order) if spec.order else F.lit(0)
     out = df.select(F.col(spec.site).alias("__site"), ts.alias("__ts"), F.col(spec.x).cast("double").alias("__x"), F.col(spec.y).cast("double").alias("__y"), order.alias("__ord"), *keep)
@@ -230,7 +285,7 @@ def build(df: DataFrame, text: str, spec: PanelSpec | None = None, start=None, e
     Steps must be regular over all rows, before windows and domains apply. Duplicates of a (site, time) go, keeping the
     first in order; sites that are never observed go; every remaining site must have one row a step.
     """
-    spec = spec or PanelSpec()
+    df, spec = _roles(df, spec or PanelSpec())
     f = fm.parse(text)
     if f.response is None:
         raise PanelError("a training formula has a response")
@@ -241,8 +296,17 @@ def build(df: DataFrame, text: str, spec: PanelSpec | None = None, start=None, e
         raise PanelError("times are not regular steps")
     box = rows.agg(F.min("__x"), F.min("__y"), F.max("__x"), F.max("__y")).first()
     rows = domain_filter(time_window(rows, "__ts", start, end), domain, "__x", "__y")
-    rows = first_rows(rows, ["__site", "__ts"], "__ord")
+    again = duplicates(rows, ["__site", "__ts"])
+    if again:
+        if not spec.order:
+            raise PanelError(f"{again} rows repeat a site and time; spec.order has to say which one comes first")
+        warnings.warn(f"{again} rows repeat a site and time; the first of each is kept", stacklevel=2)
+        rows = first_rows(rows, ["__site", "__ts"], "__ord")
     raw = f.response_columns[0]
+    if dict(rows.dtypes).get(raw) in ("double", "float"):
+        infinite = rows.where(F.abs(F.col(f"`{raw}`")) == float("inf")).count()
+        if infinite:
+            warnings.warn(f"{infinite} infinite responses count as missing", stacklevel=2)
     rows = observed_sites(rows, "__site", raw)
     b = balance(rows, "__site", "__ts", raw).first()
     if b is None:
@@ -262,18 +326,29 @@ def build(df: DataFrame, text: str, spec: PanelSpec | None = None, start=None, e
 
 
 def build_predict(train: Panel, df: DataFrame, spec: PanelSpec | None = None, domain=None, include_response: bool = False) -> Panel:
-    """The same design at new sites, with the training statistics and levels. Times are clipped to the training period
-    and must have its step; sites outside the domain are flagged, not dropped."""
-    spec = spec or PanelSpec()
+    """The same design at new sites, with the training statistics and levels. Coordinates of another system are
+    reprojected and times clipped to the training period, both with a warning; the times left must be training times at
+    its step; sites outside the domain are flagged, not dropped."""
+    df, spec = _roles(df, spec or PanelSpec())
     f = train.formula
     fm.check_columns(f, df, response=include_response)
     if spec.crs and train.crs and spec.crs != train.crs:
-        warnings.warn(f"coordinates are in {spec.crs}, the training panel in {train.crs}; reproject them first", stacklevel=2)
+        warnings.warn(f"coordinates are reprojected from {spec.crs} to {train.crs}, that of the training panel", stacklevel=2)
+        x, y = geo.reproject(F.col(spec.x).cast("double"), F.col(spec.y).cast("double"), spec.crs, train.crs)
+        df = df.withColumns({"__rx": x, "__ry": y})
+        spec = replace(spec, x="__rx", y="__ry", crs=train.crs)
     rows = _prepare(df, spec, [*f.columns, *(f.response_columns if include_response else [])])
     steps = check_regular(rows, "__ts")
     if (steps.delta, steps.unit) != (train.steps.delta, train.steps.unit):
         raise PanelError(f"steps of {steps.delta:g} {steps.unit} do not match the training steps of {train.steps.delta:g} {train.steps.unit}")
-    rows = time_window(rows, "__ts", *train.span)
+    outside = rows.where((F.col("__ts") < F.lit(train.span[0])) | (F.col("__ts") > F.lit(train.span[1]))).count()
+    if outside:
+        warnings.warn(f"{outside} rows outside the training period {train.span[0]} to {train.span[1]} are left out", stacklevel=2)
+        rows = time_window(rows, "__ts", *train.span)
+    known = train.rows.select(F.col("ts").alias("__ts")).distinct()
+    strange = rows.select("__ts").distinct().join(F.broadcast(known), "__ts", "left_anti").count()  # a row a step
+    if strange:
+        raise PanelError(f"{strange} times are no training times")
     named, y = fm.design(replace(f, response=f.response if include_response else None), rows, train.coding)
     times = train.rows.select("ts", "t_idx").distinct()
     out = rows.join(F.broadcast(times), F.col("__ts") == F.col("ts"))

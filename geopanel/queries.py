@@ -354,12 +354,6 @@ def great_circle_distance(spark: SparkSession, d: str) -> DataFrame:
     return T.sites_events(spark, d).select("site", F.round(geo.great_circle(F.col("x"), F.col("y"), F.lit(5.0), F.lit(5.0)), 5).alias("km"))
 
 
-@query(f"WITH {T.SITES_SQL} SELECT a.site AS a, b.site AS b, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS d FROM sites a CROSS JOIN sites b WHERE b.site % 50 = 0")
-def euclid_distance(spark: SparkSession, d: str) -> DataFrame:
-    s = T.sites_events(spark, d).withColumnRenamed("site", "id")
-    return spde.distances(s, s.where("id % 50 = 0")).select("a", "b", r6(F.col("d"), "d"))
-
-
 @query(f"WITH {T.SITES_SQL} SELECT site, round(radians(x) * 6378137.0, 3) + 0.0 AS mx, round(6378137.0 * ln(tan(pi() / 4 + radians(y) / 2)), 3) + 0.0 AS my FROM sites")
 def web_mercator(spark: SparkSession, d: str) -> DataFrame:
     mx, my = geo.web_mercator(F.col("x"), F.col("y"))
@@ -404,9 +398,21 @@ def mesh_edges(spark: SparkSession, d: str) -> DataFrame:
     return mesh.edge_table(_lattice(spark)[1])
 
 
-@query()
+@query(
+    f"WITH {_LATTICE_SQL}, s AS (SELECT e, area, (x2-x3)**2 + (y2-y3)**2 AS s1, (x1-x3)**2 + (y1-y3)**2 AS s2, (x1-x2)**2 + (y1-y2)**2 AS s3 FROM cn), a AS (SELECT least(degrees(acos((s2 + s3 - s1) / (2 * sqrt(s2 * s3)))), degrees(acos((s1 + s3 - s2) / (2 * sqrt(s1 * s3)))), degrees(acos((s1 + s2 - s3) / (2 * sqrt(s1 * s2))))) AS m FROM s), "
+    "side AS (SELECT e, area, least(p, q) AS u, greatest(p, q) AS w FROM (SELECT e, area, v1 AS p, v2 AS q FROM cn UNION ALL SELECT e, area, v2, v3 FROM cn UNION ALL SELECT e, area, v3, v1 FROM cn)), ed AS (SELECT u, w, max(area) / min(area) AS ratio FROM side GROUP BY u, w), len AS (SELECT sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2) AS d FROM ed JOIN v p ON p.v = u JOIN v q ON q.v = w) "
+    f"SELECT (SELECT count(*) FROM v) AS n_vertices, (SELECT count(*) FROM v WHERE {T.inside_sql(T.SQUARE, 'x', 'y')}) AS n_inner, (SELECT count(*) FROM tri) AS n_triangles, (SELECT round(min(m), 6) FROM a) AS min_angle, (SELECT round(quantile_cont(m, 0.05), 6) FROM a) AS angle_q05, (SELECT round(quantile_cont(m, 0.5), 6) FROM a) AS angle_q50, (SELECT count(*) FROM len) AS n_edges, (SELECT round(min(d), 6) FROM len) AS edge_min, (SELECT round(avg(d), 6) FROM len) AS edge_mean, (SELECT round(max(d), 6) FROM len) AS edge_max, (SELECT round(max(ratio), 6) FROM ed)::DOUBLE AS neighbour_ratio, (SELECT round(max(c) / min(c), 6) FROM mass)::DOUBLE AS mass_ratio"
+)
 def mesh_quality(spark: SparkSession, d: str) -> DataFrame:
-    return mesh.quality(*_lattice(spark))
+    q = mesh.quality(*_lattice(spark))
+    return q.select(*[r6(F.col(n), n) if t == "double" else F.col(n) for n, t in q.dtypes])
+
+
+@query(f"WITH {T.SITES_SQL}, {_LATTICE_SQL} SELECT s.site AS a, v.v::INT AS b, round(sqrt((s.x - v.x) * (s.x - v.x) + (s.y - v.y) * (s.y - v.y)), 6) AS d FROM sites s CROSS JOIN v")
+def site_node_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Every site to every vertex of the lattice, whose number is that of the mesh."""
+    nodes = _lattice(spark)[0].withColumnRenamed("v", "id")
+    return spde.distances(T.sites_events(spark, d).withColumnRenamed("site", "id"), nodes).select("a", "b", r6(F.col("d"), "d"))
 
 
 @query(f"WITH {_LATTICE_SQL} SELECT v::INT AS v, round(c, 6)::DOUBLE AS c FROM mass")
@@ -464,10 +470,21 @@ def spde_marginal_precision(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(int(a), int(b), float(v)) for a, b, v in zip(i, j, low.ravel(), strict=True)], "i int, j int, q double")
 
 
-@query()
+def _poly_sql(c: tuple[float, ...], x: str) -> str:
+    out = repr(c[-1])
+    for a in reversed(c[:-1]):
+        out = f"({out} * {x} + {a!r})"
+    return out
+
+
+_I1_SQL = f"u * {_poly_sql(special._I1, '(u / 3.75 * u / 3.75)')}"
+_U_K1_SQL = f"CASE WHEN u = 0 THEN 1.0 WHEN u <= 2 THEN u * ln(u / 2) * {_I1_SQL} + {_poly_sql(special._K1_SMALL, '(u * u / 4)')} ELSE sqrt(u) * exp(-u) * {_poly_sql(special._K1_LARGE, '(2 / u)')} END"
+
+
+@query(f"WITH {T.SITES_SQL}, d AS (SELECT site, sqrt((x - 5.0) * (x - 5.0) + (y - 5.0) * (y - 5.0)) AS d FROM sites), u AS (SELECT *, {_KAPPA} * d AS u FROM d), r AS (SELECT site, d, {_U_K1_SQL} AS rho FROM u) SELECT site, round(d, 6) AS d, round(rho, 6) + 0.0 AS rho, round(1 - rho, 6) + 0.0 AS gamma FROM r")
 def matern_correlation(spark: SparkSession, d: str) -> DataFrame:
     s = T.sites_events(spark, d).withColumn("d", geo.euclid(F.col("x"), F.col("y"), F.lit(5.0), F.lit(5.0)))
-    return s.select("site", "d", spde.correlation(F.col("d"), _KAPPA).alias("rho"), spde.variogram(F.col("d"), _KAPPA).alias("gamma"))
+    return s.select("site", r6(F.col("d"), "d"), r6(spde.correlation(F.col("d"), _KAPPA), "rho"), r6(spde.variogram(F.col("d"), _KAPPA), "gamma"))
 
 
 # --- statistics, filters, fits -------------------------------------------------------------------------------------------
@@ -486,33 +503,6 @@ def kalman_suffstats(spark: SparkSession, d: str) -> DataFrame:
     return out.select("t", "a", "b", F.round("d", 5).alias("d"), F.round("c", 5).alias("c"))
 
 
-def _states_sql() -> str:
-    return "x AS (SELECT t, v, ((t * 7 + v * 3) % 11) / 10.0 AS x FROM generate_series(0, 9) AS g(t), v), pp AS (SELECT t, a.v AS a, b.v AS b, CASE WHEN a.v = b.v THEN 1.0 ELSE 0.25 END + t / 100.0 AS p FROM generate_series(0, 9) AS g(t), v a, v b)"
-
-
-@query(
-    f"WITH {_BASIS_SQL}, {_states_sql()}, m AS (SELECT site, t, sum(h * x) AS m FROM h JOIN x USING (v) GROUP BY 1, 2), w AS (SELECT p.site, t, sum(p.h * pp.p * q.h) AS w FROM h p JOIN h q ON p.site = q.site JOIN pp ON pp.a = p.v AND pp.b = q.v GROUP BY 1, 2) SELECT site, t::INT AS t, round(m, 6)::DOUBLE AS mean, round(w, 6)::DOUBLE AS variance FROM m JOIN w USING (site, t)"
-)
-def predict_mean_var(spark: SparkSession, d: str) -> DataFrame:
-    v, t = _lattice(spark)
-    b = fem.basis(T.sites_events(spark, d), v, t, "site")
-    times = spark.range(10).select(F.col("id").cast("int").alias("t"))
-    x = v.select("v").crossJoin(F.broadcast(times)).withColumn("x", ((F.col("t") * 7 + F.col("v") * 3) % 11) / 10.0)
-    mean = b.join(x, "v").groupBy("site", "t").agg(F.sum(F.col("h") * F.col("x")).alias("m"))
-    pair = b.select("site", F.col("v").alias("a"), F.col("h").alias("ha")).join(b.select("site", F.col("v").alias("b"), F.col("h").alias("hb")), "site")
-    p = pair.crossJoin(F.broadcast(times)).withColumn("p", F.when(F.col("a") == F.col("b"), 1.0).otherwise(0.25) + F.col("t") / 100.0)
-    var = p.groupBy("site", "t").agg(F.sum(F.col("ha") * F.col("p") * F.col("hb")).alias("w"))
-    return mean.join(var, ["site", "t"]).select("site", "t", r6(F.col("m"), "mean"), r6(F.col("w"), "variance"))
-
-
-@query("SELECT i::INT AS i, j::INT AS j, round((CASE WHEN i = j THEN 1.0 ELSE 0.3 END) / (1 - (0.5 + i / 10.0) * (0.5 + j / 10.0)), 8)::DOUBLE AS p FROM generate_series(0, 3) AS a(i), generate_series(0, 3) AS b(j)")
-def stationary_variance(spark: SparkSession, d: str) -> DataFrame:
-    f = 0.5 + np.arange(4) / 10
-    q = np.full((4, 4), 0.3) + 0.7 * np.eye(4)
-    p = kalman.StateSpace(np.eye(4), np.ones(4), f, q).stationary()
-    return spark.createDataFrame([(i, j, round(float(p[i, j]), 8)) for i in range(4) for j in range(4)], "i int, j int, p double")
-
-
 def _small() -> kalman.StateSpace:
     k = np.arange(18).reshape(6, 3)
     h = ((k * 7) % 5 + 1) / 5.0
@@ -597,9 +587,3 @@ def mesh_search(spark: SparkSession, d: str) -> DataFrame:
 
 def geo_place(k: int) -> tuple[float, float]:
     return T.place(k)
-
-
-@query("WITH s AS (SELECT j, 10.0 + 3 * j AS s00, 7.0 + 2 * j AS s10 FROM generate_series(0, 3) AS g(j)) SELECT j::INT AS factor, round(s10 / s00, 8)::DOUBLE AS f FROM s")
-def em_f_ratio(spark: SparkSession, d: str) -> DataFrame:
-    s = spark.range(4).select(F.col("id").cast("int").alias("factor"), (10.0 + 3 * F.col("id")).alias("s00"), (7.0 + 2 * F.col("id")).alias("s10"))
-    return s.select("factor", F.round(F.col("s10") / F.col("s00"), 8).alias("f"))
