@@ -48,6 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def own_prefix(columns: list[str]) -> str:
+    """A prefix for columns of an operator's own that no column of a table has, in capitals or not."""
+    p = "__"
+    while any(c.lower().startswith(p) for c in columns):
+        p += "_"
+    return p
+
+
 #: Rows of a table of groups that are broadcast together, at a few hundred bytes each.
 TABLE = 20_000
 

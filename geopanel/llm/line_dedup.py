@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import SPACE, cut, group_key, n_words, trimmed
+from geopanel.llm.common import SPACE, cut, group_key, n_words, own_prefix, trimmed
 
 MIN_SITES = 10
 MIN_WORDS = 4
@@ -51,13 +51,15 @@ def drop_common_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     common = cut(common_lines(base.select("h1", "h2", "site"), min_sites))
     gone = base.select("k", "i", "w", "h1", "h2").join(common, ["h1", "h2"], "left_semi")
     gone = gone.select("k", "i", "w").distinct().groupBy("k").agg(F.collect_list("i").alias("at"), F.sum("w").alias("words"))
-    gone = gone.select(F.col("k").alias("__k"), F.col("at").alias("__at"), F.col("words").alias("__words"))
-    out = docs.withColumn("__key", key).join(gone, F.col("__key") == F.col("__k"), "left")
-    take = F.col("__words").isNotNull() & (max_share[1] * F.coalesce("__words", F.lit(0)) <= max_share[0] * n_words(F.col(text_col)))
+    p = own_prefix(names)
+    mine, theirs, at, words, take = (p + c for c in ("key", "k", "at", "words", "take"))
+    gone = gone.select(F.col("k").alias(theirs), F.col("at").alias(at), F.col("words").alias(words))
+    out = docs.withColumn(mine, key).join(gone, F.col(mine) == F.col(theirs), "left")
+    some = F.col(words).isNotNull() & (max_share[1] * F.coalesce(words, F.lit(0)) <= max_share[0] * n_words(F.col(text_col)))
     lines = _lines(F.col(text_col))
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__at"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(at))
     kept = F.array_join(F.transform(left, lambda j: F.get(lines, j)), "\n")
-    out = out.withColumn("__take", take)
-    new = F.when(F.col("__take"), kept).otherwise(F.col(text_col))
-    cols = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names if c not in ("lines_removed", "words_removed")]
-    return out.select(*cols, F.when(F.col("__take"), F.size("__at")).otherwise(0).cast("long").alias("lines_removed"), F.when(F.col("__take"), F.col("__words")).otherwise(0).cast("long").alias("words_removed"))
+    out = out.withColumn(take, some)
+    new = F.when(F.col(take), kept).otherwise(F.col(text_col))
+    cols = [new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names if c.lower() not in ("lines_removed", "words_removed")]
+    return out.select(*cols, F.when(F.col(take), F.size(at)).otherwise(0).cast("long").alias("lines_removed"), F.when(F.col(take), F.col(words)).otherwise(0).cast("long").alias("words_removed"))

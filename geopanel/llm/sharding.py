@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import cut
+from geopanel.llm.common import cut, own_prefix
 
 #: Rows of one shard that are numbered together.
 NUMBERED = 100_000
@@ -36,15 +36,17 @@ def numbered(df: DataFrame, by: str, out: str) -> DataFrame:
     Rows get a physical number, are written once, and are dealt by its hash into parts of about NUMBERED rows; the parts'
     counts give each part its first number. However many rows share a key, no task numbers more than a part.
     """
-    rows = cut(df.withColumn("__rid", F.monotonically_increasing_id()))
-    size = rows.groupBy(by).agg(F.ceil(F.count("*") / NUMBERED).alias("__parts"))
-    d = rows.join(size, by).withColumn("__part", F.pmod(F.xxhash64("__rid"), F.col("__parts"))).drop("__parts")
-    first = d.groupBy(by, "__part").agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(by).orderBy("__part")
-    first = first.select(by, "__part", (F.sum("__n").over(w) - F.col("__n")).alias("__first"))
-    d = d.join(first, [by, "__part"])
-    w = Window.partitionBy(by, "__part").orderBy("__rid")
-    return d.withColumn(out, (F.row_number().over(w) - 1 + F.col("__first")).cast("long")).drop("__first", "__part", "__rid")
+    p = own_prefix(df.columns)
+    rid, parts, part, n, start = (p + c for c in ("rid", "parts", "part", "n", "first"))
+    rows = cut(df.withColumn(rid, F.monotonically_increasing_id()))
+    size = rows.groupBy(by).agg(F.ceil(F.count("*") / NUMBERED).alias(parts))
+    d = rows.join(size, by).withColumn(part, F.pmod(F.xxhash64(rid), F.col(parts))).drop(parts)
+    first = d.groupBy(by, part).agg(F.count("*").alias(n))
+    w = Window.partitionBy(by).orderBy(part)
+    first = first.select(by, part, (F.sum(n).over(w) - F.col(n)).alias(start))
+    d = d.join(first, [by, part])
+    w = Window.partitionBy(by, part).orderBy(rid)
+    return d.withColumn(out, (F.row_number().over(w) - 1 + F.col(start)).cast("long")).drop(start, part, rid)
 
 
 def shard(docs: DataFrame, key_cols: list[str], weights: list[float], grown_weight: float | None = 1.0, keep: list[str] | None = None) -> DataFrame:
@@ -56,7 +58,7 @@ def shard(docs: DataFrame, key_cols: list[str], weights: list[float], grown_weig
     """
     if not weights or any(w <= 0 for w in weights) or (grown_weight is not None and grown_weight <= 0):
         raise ValueError("weights must be positive")
-    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("shard", "slot", "grown_shard")]
+    keep = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("shard", "slot", "grown_shard")]
     key = [F.col(f"`{c}`") for c in key_cols]
     grown = rendezvous(key, [*weights, grown_weight]) if grown_weight is not None else F.lit(None).cast("int")
     placed = docs.select(*[F.col(f"`{c}`") for c in keep], rendezvous(key, weights).alias("shard"), grown.alias("grown_shard"))
