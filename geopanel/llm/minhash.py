@@ -17,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import blocks, cut, hash_words, mix64, text_bytes
+from geopanel.llm.common import blocks, cut, hash_words, lean, mix64, text_bytes
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, off: np.ndarray, k: int) -> list[np.ndarray]:
@@ -112,15 +112,17 @@ def signatures(docs: DataFrame, k: int, bands: int, rows: int, keep_sets: bool =
                     names=["id", "n_shingles", "d1", "d2", "shingles" if keep_sets else "keys"],
                 )
 
-    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col("id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), schema)
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable over edges (a, b), by alternating large-star and small-star steps.
 
-    Edges only; nodes without an edge are their own component and are joined by the caller.
+    Edges only; nodes without an edge are their own component and are joined by the caller. edges is counted and read, so
+    it had better be checkpointed.
     """
-    e = cut(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = cut(e, edges.count())
     while True:
         # Large star: each node's larger neighbours link to its least neighbour (itself included).
         both = e.select("u", "v").unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -129,7 +131,7 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         # Small star: each node's smaller neighbours link to the least of them.
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u <> v").distinct()
-        new = cut(small)
+        new = cut(small, 2 * e.count())  # no more large-star edges than edges, and two for each
         gone = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
         e = new
         if gone:
@@ -211,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     entries = classes.select("node", F.explode("keys").alias("key"))
     pivots = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
-    stars = cut(entries.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct())
+    stars = cut(entries.join(pivots, "key").where("node <> pivot").select("pivot", "node").distinct(), bands * sig.count())
     used = stars.select(F.col("node")).unionAll(stars.select("pivot")).distinct()
     reps = sig.join(used, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id"))
     rep_text = src.withColumn("id", F.coalesce("id", F.lit(-(2**63)))).join(reps.select("id").distinct(), "id", "left_semi")
@@ -232,7 +234,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stars.join(comp_of, "node").join(size, "node")
     mixed = members.groupBy("pivot").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("pivot")
     open_stars = members.join(mixed, "pivot", "left_semi")
-    open_stars = cut(open_stars)
+    open_stars = cut(open_stars, stars.count())
     more = cut(_blocks(open_stars).join(sets.select("node", "shingles"), "node").groupBy("pivot", "block").applyInPandas(_block_links(percent), "a long, b long").distinct())
     if not more.isEmpty():
         comps = components(used, comps.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(more))

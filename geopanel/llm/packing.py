@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import blocks, cut, hash_spans, hash_words, text_bytes
+from geopanel.llm.common import blocks, cut, hash_spans, hash_words, lean, text_bytes
 
 #: Words whose ids a task remembers, and parts of words whose ids a worker does; a memory is emptied when full.
 MEMO, PARTS = 1_000_000, 400_000
 #: Bytes of text whose words are encoded together, and unknown parts of words that one call of the tokenizer takes.
-TOGETHER, CALL = 2 << 20, 4096
+TOGETHER, CALL = 1 << 20, 4096
 #: Pieces of one length that are ranked together.
 RANKED = 100_000
 _shared: dict[str, Encoder] = {}
@@ -220,7 +220,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_len:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names=names[:n])
         encoder.words = _Memory()  # the worker lives on through other stages
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
 
 
 def best_fit(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:

@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from geopanel.llm.common import blocks, hash_words, text_bytes
+from geopanel.llm.common import blocks, hash_words, lean, text_bytes
 
 WORDS = 1 << 14
 BINS = 24
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 #: Labelled rows the model is fitted on, at most: those with the least hash of their id and text.
 MAX_LABELLED = 8000
 #: Byte classes counted as shares of a text: symbols, capitals, digits, sentence marks, bars, white space, non-ASCII.
@@ -163,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 y = batch.column(0).slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([y, pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(slot)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(value))], names=["y", "slot", "value"])
 
-    got = rows.mapInArrow(run, "y double, slot array<int>, value array<float>").toArrow()
+    got = rows.mapInArrow(lean(run), "y double, slot array<int>, value array<float>").toArrow()
     if not got.num_rows:
         return train(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0), np.zeros(0))
     slot, value = got.column("slot").combine_chunks(), got.column("value").combine_chunks()
@@ -197,4 +197,4 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: t
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     fields = {f.name: f for f in docs.schema.fields}
-    return src.mapInArrow(run, StructType([*[fields[c] for c in keep], StructField(out, DoubleType())]))
+    return src.mapInArrow(lean(run), StructType([*[fields[c] for c in keep], StructField(out, DoubleType())]))
