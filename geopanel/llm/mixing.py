@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import cut, group_key, meet, n_words
+from geopanel.llm.common import cut, group_key, local_table, meet, n_words
 
 #: Bits of a document's place that one search step reads, and those a place has.
 STEP, PLACE = 10, 60
@@ -144,14 +144,14 @@ def plan(sized: DataFrame, weights, total_share: float, most: float, shards: int
         odd, shift = (int(v) for v in rng.integers(0, 1 << bits, 2))
         rows.append((s, docs[s], size[s], float(goal[s]), bits, odd | 1, shift, passes, goal[s] - passes * size[s]))
     schema = "src string, docs long, source_size long, target double, bits int, mult long, shift long, passes int, left double"
-    sources = cut(spark.createDataFrame(rows, schema))
+    sources = cut(local_table(spark, rows, schema))
     edges = _edges(sized, sources.where("left > 0"), len(rows))
     end = {r.src: int(r.lo) + (1 << r.width) - 1 for r in edges.select("src", "lo", "width").collect()}
     # A source's partial pass draws the blocks up to the end of the part that is opened.
     quotas = np.array([r[7] * (1 << r[4]) + ((end[r[0]] >> (PLACE - r[4])) + 1 if r[0] in end else 0) for r in rows], np.int64)
     deal = split_quotas(quotas, shards, rng) if rows else np.zeros((shards, 0), np.int64)
     upto = np.cumsum(deal, axis=0)
-    dealt = spark.createDataFrame([(s, upto[:, i].tolist()) for i, s in enumerate(order)], "src string, upto array<long>")
+    dealt = local_table(spark, [(s, upto[:, i].tolist()) for i, s in enumerate(order)], "src string, upto array<long>")
     return cut(sources.drop("left").join(dealt, "src").join(edges.drop("width"), "src", "left")), len(rows)
 
 

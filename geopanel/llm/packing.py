@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from geopanel.llm.common import blocks, cut, hash_spans, hash_words, lean, text_bytes
+from geopanel.llm.common import blocks, cut, hash_spans, hash_words, lean, local_table, text_bytes
 
 #: Words whose ids a task remembers, and parts of words whose ids a worker does; a memory is emptied when full.
 MEMO, PARTS = 1_000_000, 400_000
@@ -203,10 +203,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_len:
         if encoder is None:
             encoder = _shared[tokenizer] = Encoder(tokenizer)
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
             ids = batch.column(0).to_pylist()
             data, off = text_bytes(batch.column(1))
             for i, j in blocks(off, TOGETHER):
+                cols: list[list] = [[], [], [], [], [], []]
                 flat, bounds = encoder.encode(data[off[i] : off[j]], off[i : j + 1] - off[i])
                 raw = memoryview(flat.tobytes())
                 for doc, lo, hi in zip(ids[i:j], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
@@ -214,10 +214,10 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, max_len:
                         to = min(at + max_len, hi)
                         for c, v in zip(cols, (doc, k, at - lo, to - at, zlib.crc32(raw[4 * at : 4 * to]), flat[at:to].view(np.int32) if with_ids else None), strict=True):
                             c.append(v)
-            types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-            names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names=names[:n])
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
+                names = ["id", "piece", "start", "length", "ids_crc32", "ids"]
+                n = 6 if with_ids else 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols[:n], types[:n], strict=True)], names=names[:n])
         encoder.words = _Memory()  # the worker lives on through other stages
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(lean(run), schema)
@@ -376,7 +376,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             used[v] += k
             at += v
         seq += k
-    table = spark.createDataFrame(rows, "length long, lo long, hi long, seq0 long, offset long")
+    table = local_table(spark, rows, "length long, lo long, hi long, seq0 long, offset long")
     # The table's size follows max_len and the number of patterns, not the input.
     got = ranked(cutp, "length").join(F.broadcast(table), "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
     cols = ["id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"]

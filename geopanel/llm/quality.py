@@ -189,10 +189,9 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", metadata: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.zeros(batch.num_rows)
             for i, j, (bounds, slot, value) in _blocks(batch, lead):
-                s[i:j] = shared.value.score(bounds, slot, value)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(lead)], pa.array(s)], names=[*keep, out])
+                s = shared.value.score(bounds, slot, value)
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(i, j - i) for k in range(lead)], pa.array(s)], names=[*keep, out])
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 

@@ -76,3 +76,12 @@ def test_small_work_tables_are_few_files(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_tables_of_the_driver_keep_their_types(spark):
+    rows = [("a", 1, 2.5, [3, 4]), ("ü", 2**60, 0.1, []), (None, 0, -1.0, None)]
+    schema = "s string, n long, x double, v array<long>"
+    out = common.local_table(spark, rows, schema)
+    assert out.schema == spark.createDataFrame(rows, schema).schema
+    assert [tuple(r) for r in out.collect()] == rows
+    assert common.local_table(spark, [], schema).collect() == []
