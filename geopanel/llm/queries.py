@@ -18,6 +18,7 @@ from geopanel.llm.outliers import flag
 from geopanel.llm.packing import pack
 from geopanel.llm.quality import fit, score
 from geopanel.llm.sharding import shard
+from geopanel.llm.whitening import whiten
 
 HELD_OUT = "pmod(crc32(cast(cast(doc_id as string) as binary)), 5) = 0"
 
@@ -78,6 +79,10 @@ def op10_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pseudo_likelihood": op1_pseudo_likelihood,
     "op2_source_mix": op2_source_mix,
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_spread": op8_line_spread,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_posting_search": op10_posting_search,
+    "op13_whitening": op13_whitening,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
