@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopanel.llm import lm_score
@@ -17,6 +17,7 @@ from geopanel.llm.mixing import mix
 from geopanel.llm.outliers import flag
 from geopanel.llm.packing import pack
 from geopanel.llm.quality import fit, score
+from geopanel.llm.secrets import BASE, find_secrets, labelled_samples, span_text, train
 from geopanel.llm.sharding import shard
 from geopanel.llm.whitening import whiten
 
@@ -79,6 +80,18 @@ def op10_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op12_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = find_secrets(docs, train(labelled_samples(docs)))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind, *_ in BASE]
+    slim = [F.transform(c, lambda s: F.struct(s["start"], s["rank"], s["kind"], s["end"])) for c in ("base", "added")]
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(span_text(F.col("base")), 256).alias("base_sha256"), span_text(F.array_sort(F.concat(*slim))).alias("spans"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
@@ -94,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_spread": op8_line_spread,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_posting_search": op10_posting_search,
+    "op12_markov_secrets": op12_markov_secrets,
     "op13_whitening": op13_whitening,
 }
 
