@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from geopanel.llm import lm_score
 from geopanel.llm.ann import nearest
 from geopanel.llm.html_extract import extract
+from geopanel.llm.lexical import TERM, search
 from geopanel.llm.line_dedup import MIN_SITES, MIN_WORDS, drop_common_lines
 from geopanel.llm.minhash import near_duplicates
 from geopanel.llm.mixing import mix
@@ -80,6 +81,10 @@ def op10_posting_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(_table(spark, sf_dir, "embeddings"), k=10)
 
 
+def op11_block_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op12_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = find_secrets(docs, train(labelled_samples(docs)))
@@ -107,12 +112,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_spread": op8_line_spread,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_posting_search": op10_posting_search,
+    "op11_block_search": op11_block_search,
     "op12_markov_secrets": op12_markov_secrets,
     "op13_whitening": op13_whitening,
 }
 
 _SPACE = r"[\x20\x09-\x0D]+"
 _WORD = r"[^\x20\x09-\x0D]+"
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 ORACLE: dict[str, str] = {
     "op8_line_spread": f"""
@@ -135,5 +142,19 @@ SELECT doc_id,
        CAST(CASE WHEN n > 0 AND 4 * gone <= 3 * words THEN n ELSE 0 END AS BIGINT) AS lines_removed,
        CAST(CASE WHEN n > 0 AND 4 * gone <= 3 * words THEN gone ELSE 0 END AS BIGINT) AS words_removed
 FROM docs LEFT JOIN per USING (r)
+""",
+    "op11_block_search": rf"""
+WITH words AS (
+  SELECT r, doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')) AS term
+  FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), tf AS (SELECT r, doc_id, term, count(*) AS tf FROM words GROUP BY ALL), sizes AS (SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM sizes), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '{TERM}')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, r, doc_id, sum(CAST(floor(1000 * ln((2 * docs + 2) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // total))))::BIGINT AS score
+  FROM items JOIN tf USING (term) JOIN df USING (term) JOIN sizes USING (r) CROSS JOIN whole GROUP BY item_id, r, doc_id
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 10
 """,
 }
