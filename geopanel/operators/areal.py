@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from geopanel.functions import geo
+from geopanel.operators.regions import Regions
 
 #: Back-transformations with their first and second derivatives.
 BACK: dict[str, tuple[Callable, Callable, Callable]] = {
@@ -34,39 +35,24 @@ def direct_transform(g: str, c: Column) -> Column:
 
 
 def polygon_table(df: DataFrame, polygons: list, names: list[str] | None = None) -> DataFrame:
-    """poly_id, name, box and edges of a list of polygons."""
-    rows = []
-    for k, p in enumerate(polygons):
-        for poly in geo.as_polygons(p):
-            es = [tuple(map(float, e)) for e in geo.edges(poly)]
-            xs, ys = [e[0] for e in es], [e[1] for e in es]
-            rows.append((k, names[k] if names else str(k), min(xs), max(xs), min(ys), max(ys), es))
-    return df.sparkSession.createDataFrame(rows, "poly_id int, name string, xlo double, xhi double, ylo double, yhi double, edges array<struct<x1:double,y1:double,x2:double,y2:double>>")
+    """(poly_id, name, geom) of a list of polygons, numbered in its order."""
+    rows = [(k, names[k] if names else str(k), geo.as_polygons(p)) for k, p in enumerate(polygons)]
+    return df.sparkSession.createDataFrame(rows, "poly_id int, name string, geom array<array<array<struct<x:double,y:double>>>>")
 
 
-def points_in_polygons(points: DataFrame, polygons: list, names: list[str] | None = None, boundary: bool = True, cells: int = 32) -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame | list, names: list[str] | None = None, boundary: bool = True) -> DataFrame:
     """Every (point, polygon) with the point inside; a point on a shared border is in both when the boundary counts.
 
-    Polygons and points meet in the cells of a grid over the polygons, so the join is an equi-join and only points of a
-    polygon's cells are tested against its edges.
+    polygons is a table (poly_id, name, geom), such as one read by sources.geotext, or a short list of polygons.
     """
-    table = polygon_table(points, polygons, names)
-    flat = [p for q in polygons for poly in geo.as_polygons(q) for ring in poly for p in ring]
-    x0, x1, y0, y1 = min(p[0] for p in flat), max(p[0] for p in flat), min(p[1] for p in flat), max(p[1] for p in flat)
-    sx, sy = (x1 - x0) / cells or 1.0, (y1 - y0) / cells or 1.0
+    table = polygons if isinstance(polygons, DataFrame) else polygon_table(points, polygons, names)
+    regions = Regions.of(table)
+    if regions is None:
+        return points.withColumns({f.name: F.lit(None).cast(f.dataType) for f in table.schema if f.name != "geom"}).where("false")
+    return regions.join(points, boundary)
 
-    def cell(c: Column, lo: float, step: float) -> Column:
-        return F.least(F.lit(cells - 1), F.floor((c - lo) / step).cast("int"))
 
-    t = table.withColumn("cx", F.explode(F.sequence(cell(F.col("xlo"), x0, sx), cell(F.col("xhi"), x0, sx)))).withColumn("cy", F.explode(F.sequence(cell(F.col("ylo"), y0, sy), cell(F.col("yhi"), y0, sy))))
-    p = points.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1)).withColumns({"cx": cell(F.col("x"), x0, sx), "cy": cell(F.col("y"), y0, sy)})
-    j = p.join(t, ["cx", "cy"]).where(F.col("x").between(F.col("xlo"), F.col("xhi")) & F.col("y").between(F.col("ylo"), F.col("yhi")))
-    odd = F.aggregate("edges", F.lit(0), lambda a, e: a + geo.crosses(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"])) % 2 == 1
-    edge = F.exists("edges", lambda e: geo.on_edge(F.col("x"), F.col("y"), e["x1"], e["y1"], e["x2"], e["y2"]))
-    return j.where((odd | edge) if boundary else (odd & ~edge)).drop("cx", "cy", "edges", "xlo", "xhi", "ylo", "yhi")
-
-
-def areal_mean(points: DataFrame, polygons: list, names: list[str] | None = None, by: list[str] | None = None, value: str = "mean") -> DataFrame:
+def areal_mean(points: DataFrame, polygons: DataFrame | list, names: list[str] | None = None, by: list[str] | None = None, value: str = "mean") -> DataFrame:
     """(by.., poly_id, name, n_points, value): means over the points of each polygon; polygons without points are absent."""
     hit = points_in_polygons(points, polygons, names)
     return hit.groupBy(*(by or []), "poly_id", "name").agg(F.count("*").alias("n_points"), F.avg(value).alias(value))
