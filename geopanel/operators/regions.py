@@ -32,25 +32,24 @@ def _parts(polygons: Column) -> Column:
     return F.transform(polygons, lambda poly: F.struct(F.lit(0).alias("base"), F.flatten(F.transform(poly, edges)).alias("edges")))
 
 
-def _kind(e: Column, slack: float) -> Column:
-    """What an edge is to the cell with sides xl, xh, yl, yh: 0 nothing, 1 counted, 2 kept for its end, 3 met."""
-    xl, xh, yl, yh = (F.col(c) for c in ("xl", "xh", "yl", "yh"))
-    up = e["y2"] > e["y1"]
-    x1, y1, x2, y2 = (F.when(up, e[a]).otherwise(e[b]) for a, b in (("x1", "x2"), ("y1", "y2"), ("x2", "x1"), ("y2", "y1")))
-    tiny = slack * (F.abs(x2 - x1) + (y2 - y1))
-
-    def left(px: Column, py: Column) -> Column:
-        """Positive where the point is left of the upward edge."""
-        return (x2 - x1) * (py - y1) - (y2 - y1) * (px - x1)
-
-    corners = [left(px, py) for px in (xl, xh) for py in (yl, yh)]
-    away = (y2 < yl) | (y1 > yh) | (F.greatest(x1, x2) < xl)
-    beside = F.least(x1, x2) > xh
-    flat = y1 == y2
-    all_left = beside | (F.least(*corners) > tiny)
-    all_right = F.greatest(*corners) < -tiny
-    passes = (y1 < yl) & (y2 > yh)
-    return F.when(away | (flat & beside), 0).when(flat, 3).when(all_right, 0).when(all_left & passes, 1).when(all_left, 2).otherwise(3)
+def _sides(e: Column) -> Column:
+    """The edge with the least and greatest of its cross products with the corners of the cell xl, xh, yl, yh: where their
+    signs agree, the line of the edge passes the cell."""
+    corners = [(e["x2"] - e["x1"]) * (F.col(py) - e["y1"]) - (e["y2"] - e["y1"]) * (F.col(px) - e["x1"]) for px in ("xl", "xh") for py in ("yl", "yh")]
+    return F.struct(e.alias("e"), F.least(*corners).alias("lo"), F.greatest(*corners).alias("hi"))
+
+
+def _kind(s: Column, slack: float) -> Column:
+    """The edge of _sides and what it is to the cell: 0 nothing, 1 counted, 2 kept for its end, 3 met."""
+    e, xl, xh, yl, yh = s["e"], *(F.col(c) for c in ("xl", "xh", "yl", "yh"))
+    tiny = slack * (F.abs(e["x2"] - e["x1"]) + F.abs(e["y2"] - e["y1"]))
+    bottom, top, right = F.least(e["y1"], e["y2"]), F.greatest(e["y1"], e["y2"]), F.greatest(e["x1"], e["x2"])
+    up, flat, beside = e["y2"] > e["y1"], bottom == top, F.least(e["x1"], e["x2"]) > xh
+    below, above = s["hi"] < -tiny, s["lo"] > tiny
+    # The cell is left of an upward edge, or of a downward one, whose products have the other sign.
+    cell_left = beside | F.when(up, above).otherwise(below)
+    kind = F.when((top < yl) | (bottom > yh) | (right < xl), 0).when(flat, F.when(beside, 0).otherwise(3)).when(cell_left, F.when((bottom < yl) & (top > yh), 1).otherwise(2))
+    return F.struct(e.alias("e"), kind.when(F.when(up, below).otherwise(above), 0).otherwise(3).alias("k"))
 
 
 def _crossings(edges: Column, px: Column, py: Column) -> Column:
@@ -84,16 +83,18 @@ class Regions:
         for c, o in (("x", x0), ("y", y0)):
             lo, hi = (F.least(scale - 1, F.floor((F.col(f"b{c}{k}") + s * slack - o) / size * scale)).cast("int") for k, s in ((0, -1), (1, 1)))
             table = table.withColumn(f"c{c}", F.explode(F.sequence(F.greatest(F.lit(0), lo), F.greatest(F.lit(0), hi))))
-        todo, done = table.select(*keep, *_KEY, "parts"), []
+        todo, done, rows = table.select(*keep, *_KEY, "parts"), [], {}
         for step in range(STEPS + 1):
             side = F.lit(size) / F.pow(F.lit(2.0), F.col("level"))
             sides = {f"{c}{n}": o + (F.col(f"c{c}") + k) * side + s * slack for c, o in (("x", x0), ("y", y0)) for n, k, s in (("l", 0, -1), ("h", 1, 1))}
-            kinds = F.transform("parts", lambda p: F.struct(p["base"].alias("base"), F.transform(p["edges"], lambda e: F.struct(*[e[n].alias(n) for n in ("x1", "y1", "x2", "y2")], _kind(e, slack).alias("k"))).alias("edges")))
+            sided = F.transform("parts", lambda p: F.struct(p["base"].alias("base"), F.transform(p["edges"], _sides).alias("edges")))
+            kinds = F.transform(sided, lambda p: F.struct(p["base"].alias("base"), F.transform(p["edges"], lambda e: _kind(e, slack)).alias("edges")))
             here = todo.withColumns(sides).withColumn("kinds", kinds)
 
             def kept(p: Column) -> Column:
                 near = F.filter(p["edges"], lambda e: e["k"] >= 2)
-                return F.struct((p["base"] + F.size(F.filter(p["edges"], lambda e: e["k"] == 1))).alias("base"), F.transform(near, lambda e: F.struct(*[e[n].alias(n) for n in ("x1", "y1", "x2", "y2")])).alias("edges"), F.exists(near, lambda e: e["k"] == 3).alias("met"))
+                passed = F.size(F.filter(p["edges"], lambda e: e["k"] == 1))
+                return F.struct((p["base"] + passed).alias("base"), F.transform(near, lambda e: e["e"]).alias("edges"), F.exists(p["edges"], lambda e: e["k"] == 3).alias("met"))
 
             here = here.withColumn("kept", F.transform("kinds", kept))
             mx, my = (F.col("xl") + F.col("xh")) / 2, (F.col("yl") + F.col("yh")) / 2
@@ -103,9 +104,12 @@ class Regions:
             n = F.aggregate("parts", F.lit(0), lambda a, p: a + F.size(p["edges"]))
             more = ~F.col("full") & (n > edges) & F.lit(step < STEPS)
             here = cut(here.withColumn("more", more))
+            counts = {(r.level, r.more): r["count"] for r in here.groupBy("level", "more").count().collect()}
+            for (at, more), n in counts.items():
+                rows[at] = rows.get(at, 0) + (0 if more else n)
             done.append(here.where("NOT more").drop("more"))
             todo = here.where("more").drop("more", "full")
-            if todo.isEmpty():
+            if not any(more for _, more in counts):
                 break
             grid = F.sequence(F.lit(0), F.lit((1 << STEP) - 1))
             for c in ("cx", "cy"):
@@ -115,8 +119,7 @@ class Regions:
         for d in done[1:]:
             cells = cells.unionByName(d)
         cells = cells.withColumn("parts", F.when(~F.col("full"), F.col("parts")))
-        counts = {r.level: r["count"] for r in cells.groupBy("level").count().collect()}
-        return Regions(cells, sorted(counts), sum(counts.values()), (x0, y0, size))
+        return Regions(cells, sorted(rows), sum(rows.values()), (x0, y0, size))
 
     def join(self, points: DataFrame, boundary: bool = True) -> DataFrame:
         """points (x, y, ..) with the other columns of the polygons that hold them, one row a point and polygon.

@@ -50,7 +50,7 @@ def compare(spark, polys, points, boundary, edges):
 def test_both_boundary_rules_on_lattice_points(spark, boundary):
     polys = [[SQUARE], [SQUARE, [[(4.0, 4.0), (6.0, 4.0), (6.0, 6.0)]], [[(4.0, 0.0), (8.0, 0.0), (8.0, 4.0), (4.0, 4.0)]]], [[[(-2.0, 1.0), (9.0, 1.0), (3.0, 2.0)]]]]
     points = [(x / 2, y / 2) for x in range(-5, 20) for y in range(-2, 14)]
-    for edges in (0, 4, 16):
+    for edges in (3, 16):
         compare(spark, polys, points, boundary, edges)
 
 
@@ -110,7 +110,7 @@ def test_geojson(spark):
 
 def test_round_trips(spark):
     rnd = random.Random(5)
-    polys = [[star(rnd, 20_000, 0.0, 0.0, 1e7)], [SQUARE, star(rnd, 7, 1e-3, 1e9, 1e-4)], []]
+    polys = [[star(rnd, 5_000, 0.0, 0.0, 1e7)], [SQUARE, star(rnd, 7, 1e-3, 1e9, 1e-4)], []]
     base = table(spark, polys[:2]).select("poly_id", "geom")
     for to, back in ((geotext.to_wkt, geotext.from_wkt), (geotext.to_geojson, geotext.from_geojson)):
         rows = base.withColumn("again", back(to(F.col("geom")))).collect()
