@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopanel.operators import areal, near
+from geopanel.operators import areal, field, near
 from geopanel.queries import _LATTICE_SQL, _lattice, r6
 from geopanel.sources import geotext
 from geopanel.sources import tables as T
@@ -118,3 +118,62 @@ def wkt_parse_report(spark: SparkSession, d: str) -> DataFrame:
     text = F.concat(F.lit("POLYGON(("), F.concat_ws(",", F.concat_ws(" ", x, y), F.concat_ws(" ", x + 1, y), F.concat_ws(" ", x, y + 1)), F.lit("))"))
     text = F.when(F.col("id") % 7 == 0, None).when(F.col("s_acctbal") < 0, F.concat(F.lit("POLYGON(("), x, F.lit("))"))).when(F.col("id") % 5 == 0, "POLYGON EMPTY").otherwise(text)
     return geotext.parse_report(_shops(spark, d).select(text.alias("text")), "text")
+
+
+# --- fields on a grid --------------------------------------------------------------------------------------------------
+
+_GRID = field.Grid(-0.3, -0.4, 0.35, 32, 32)
+_EPS, _SLOPE = 0.3, 0.4
+_NODE_SQL = f"node AS (SELECT CAST(a AS INT) AS i, CAST(b AS INT) AS j FROM generate_series(0, {_GRID.nx - 1}) AS g(a) CROSS JOIN generate_series(0, {_GRID.ny - 1}) AS h(b))"
+_FIELD_SQL = f"""{T.SITES_SQL}, {_NODE_SQL},
+band AS (SELECT pow(count(*), -1.0 / 6) * sqrt((var_pop(x) + var_pop(y)) / 2) / {_GRID.delta} AS sigma FROM sites),
+kernel AS (SELECT k, w / sum(w) OVER () AS w FROM (SELECT CAST(k AS INT) AS k, exp(-0.5 * (k / sigma) * (k / sigma)) AS w FROM band CROSS JOIN generate_series(-200, 200) AS g(k) WHERE abs(k) <= floor(4 * sigma + 0.5))),
+mask AS (SELECT i, j FROM node WHERE {T.inside_sql(T.ELL, f"({_GRID.x0} + i * {_GRID.delta})", f"({_GRID.y0} + j * {_GRID.delta})")}),
+seen AS (SELECT CAST(round_even((x - {_GRID.x0}) / {_GRID.delta}, 0) AS INT) AS i, CAST(round_even((y - {_GRID.y0}) / {_GRID.delta}, 0) AS INT) AS j, count(*) AS n FROM sites GROUP BY 1, 2),
+n1 AS (SELECT i + k AS i, j, sum(n * w) AS n FROM seen CROSS JOIN kernel WHERE i BETWEEN 0 AND {_GRID.nx - 1} AND j BETWEEN 0 AND {_GRID.ny - 1} GROUP BY 1, 2), n2 AS (SELECT i, j + k AS j, sum(n * w) AS n FROM n1 CROSS JOIN kernel GROUP BY 1, 2),
+m1 AS (SELECT i + k AS i, j, sum(w) AS m FROM mask CROSS JOIN kernel GROUP BY 1, 2), m2 AS (SELECT i, j + k AS j, sum(m * w) AS m FROM m1 CROSS JOIN kernel GROUP BY 1, 2),
+raw AS (SELECT i, j, coalesce(n, 0) / greatest(m, 0.05) AS f FROM mask JOIN m2 USING (i, j) LEFT JOIN n2 USING (i, j)),
+dens AS (SELECT i, j, f / (sum(f) OVER () * {_GRID.delta} * {_GRID.delta}) AS f FROM raw)"""
+_SIZE_SQL = f"size AS (SELECT i, j, pow((1 - {_EPS}) * f + {_EPS} / (count(*) OVER () * {_GRID.delta} * {_GRID.delta}), -0.5) AS h FROM dens)"
+
+
+def _density(spark: SparkSession, d: str) -> DataFrame:
+    return field.intensity(T.sites_events(spark, d), _GRID, domain=T.ELL)
+
+
+@query(f"WITH {_FIELD_SQL} SELECT i, j, round(f, 6) AS f FROM dens")
+def site_intensity(spark: SparkSession, d: str) -> DataFrame:
+    return _density(spark, d).select("i", "j", r6(F.col("f"), "f"))
+
+
+@query(f"WITH {_FIELD_SQL}, {_SIZE_SQL} SELECT a.i, a.j, round(min(b.h + {_SLOPE} * {_GRID.delta} * (greatest(abs(a.i - b.i), abs(a.j - b.j)) + (sqrt(2) - 1) * least(abs(a.i - b.i), abs(a.j - b.j)))), 6) AS h FROM node a CROSS JOIN size b GROUP BY 1, 2")
+def size_field_limited(spark: SparkSession, d: str) -> DataFrame:
+    """Element sizes from the intensity, limited in slope, on all nodes; those outside the domain have none of their own."""
+    f = _density(spark, d)
+    area = f.count() * _GRID.delta**2
+    size = f.select("i", "j", F.pow((1 - _EPS) * F.col("f") + _EPS / area, F.lit(-0.5)).alias("h"))
+    return field.limit_slope(size, _GRID, _SLOPE).select("i", "j", r6(F.col("h"), "h"))
+
+
+_TILE_SQL = "tile AS (SELECT DISTINCT CAST(floor(x / 1.3) AS INT) AS i, CAST(floor(y / 1.3) AS INT) AS j FROM sites), tri AS (SELECT 2 * (i + 8 * j) AS e, i + 9 * j AS v1, i + 1 + 9 * j AS v2, i + 1 + 9 * (j + 1) AS v3 FROM tile UNION ALL SELECT 2 * (i + 8 * j) + 1, i + 9 * j, i + 1 + 9 * (j + 1), i + 9 * (j + 1) FROM tile)"
+
+
+@query(
+    f"""WITH RECURSIVE {T.SITES_SQL}, {_TILE_SQL}, left_over(round, e, v1, v2, v3) AS (
+  SELECT 0, e, v1, v2, v3 FROM tri
+  UNION ALL
+  SELECT round + 1, e, v1, v2, v3 FROM left_over WHERE round < 80 AND NOT EXISTS (
+    SELECT 1 FROM (SELECT v, count(DISTINCT other) AS degree FROM (
+        SELECT v1 AS v, v2 AS other FROM left_over UNION ALL SELECT v2, v1 FROM left_over UNION ALL SELECT v2, v3 FROM left_over
+        UNION ALL SELECT v3, v2 FROM left_over UNION ALL SELECT v3, v1 FROM left_over UNION ALL SELECT v1, v3 FROM left_over) GROUP BY v) d
+    WHERE degree < 4 AND (v = v1 OR v = v2 OR v = v3))
+)
+SELECT e, v1, v2, v3 FROM left_over WHERE round = 80"""
+)
+def mesh_peeled(spark: SparkSession, d: str) -> DataFrame:
+    """Two triangles for every tile with a site, less those at vertices of fewer than four edges."""
+    tile = T.sites_events(spark, d).select(*[F.floor(F.col(c) / 1.3).cast("int").alias(k) for c, k in (("x", "i"), ("y", "j"))]).distinct()
+    a = F.col("i") + 9 * F.col("j")
+    corners = [(a, a + 1, a + 10), (a, a + 10, a + 9)]
+    both = F.array(*[F.struct((2 * (F.col("i") + 8 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
+    return field.peel(tile.select(F.explode(both).alias("t")).select("t.*"), 4)
