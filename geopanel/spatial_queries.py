@@ -155,7 +155,7 @@ def size_field_limited(spark: SparkSession, d: str) -> DataFrame:
     return field.limit_slope(size, _GRID, _SLOPE).select("i", "j", r6(F.col("h"), "h"))
 
 
-_TILE_SQL = "tile AS (SELECT DISTINCT CAST(floor(x / 1.3) AS INT) AS i, CAST(floor(y / 1.3) AS INT) AS j FROM sites), tri AS (SELECT 2 * (i + 8 * j) AS e, i + 9 * j AS v1, i + 1 + 9 * j AS v2, i + 1 + 9 * (j + 1) AS v3 FROM tile UNION ALL SELECT 2 * (i + 8 * j) + 1, i + 9 * j, i + 1 + 9 * (j + 1), i + 9 * (j + 1) FROM tile)"
+_TILE_SQL = "tile AS (SELECT DISTINCT CAST(floor(x / 0.85) AS INT) AS i, CAST(floor(y / 0.85) AS INT) AS j FROM sites), tri AS (SELECT 2 * (i + 12 * j) AS e, i + 13 * j AS v1, i + 1 + 13 * j AS v2, i + 1 + 13 * (j + 1) AS v3 FROM tile UNION ALL SELECT 2 * (i + 12 * j) + 1, i + 13 * j, i + 1 + 13 * (j + 1), i + 13 * (j + 1) FROM tile)"
 
 
 @query(
@@ -166,14 +166,14 @@ _TILE_SQL = "tile AS (SELECT DISTINCT CAST(floor(x / 1.3) AS INT) AS i, CAST(flo
     SELECT 1 FROM (SELECT v, count(DISTINCT other) AS degree FROM (
         SELECT v1 AS v, v2 AS other FROM left_over UNION ALL SELECT v2, v1 FROM left_over UNION ALL SELECT v2, v3 FROM left_over
         UNION ALL SELECT v3, v2 FROM left_over UNION ALL SELECT v3, v1 FROM left_over UNION ALL SELECT v1, v3 FROM left_over) GROUP BY v) d
-    WHERE degree < 4 AND (v = v1 OR v = v2 OR v = v3))
+    WHERE degree < 3 AND (v = v1 OR v = v2 OR v = v3))
 )
 SELECT e, v1, v2, v3 FROM left_over WHERE round = 80"""
 )
 def mesh_peeled(spark: SparkSession, d: str) -> DataFrame:
-    """Two triangles for every tile with a site, less those at vertices of fewer than four edges."""
-    tile = T.sites_events(spark, d).select(*[F.floor(F.col(c) / 1.3).cast("int").alias(k) for c, k in (("x", "i"), ("y", "j"))]).distinct()
-    a = F.col("i") + 9 * F.col("j")
-    corners = [(a, a + 1, a + 10), (a, a + 10, a + 9)]
-    both = F.array(*[F.struct((2 * (F.col("i") + 8 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
-    return field.peel(tile.select(F.explode(both).alias("t")).select("t.*"), 4)
+    """Two triangles for every tile with a site, less those at vertices of fewer than three edges."""
+    tile = T.sites_events(spark, d).select(*[F.floor(F.col(c) / 0.85).cast("int").alias(k) for c, k in (("x", "i"), ("y", "j"))]).distinct()
+    a = F.col("i") + 13 * F.col("j")
+    corners = [(a, a + 1, a + 14), (a, a + 14, a + 13)]
+    both = F.array(*[F.struct((2 * (F.col("i") + 12 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
+    return field.peel(tile.select(F.explode(both).alias("t")).select("t.*"), 3)
