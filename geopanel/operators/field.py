@@ -130,6 +130,7 @@ def peel(triangle: DataFrame, least: int) -> DataFrame:
 
     held = cut(edges(tri))
     degree = cut(degrees(held))
+    # A round for every layer that goes; each writes what is left.
     low = degree.where(F.col("d") < least).select("v")
     while n := low.count():
         mark = small(low.withColumn("low", F.lit(True)), n)
