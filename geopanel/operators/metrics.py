@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from geopanel.functions import special
 from geopanel.functions.semantics import std_of_variance
+from geopanel.plans.ordering import with_previous
 
 
 def grouped_mse(df: DataFrame, residual: str, site: str = "site", t: str = "t") -> DataFrame:
@@ -39,8 +40,7 @@ def diagnostics(df: DataFrame, residual: str, site: str = "site", t: str = "t")
     w = Window.partitionBy(site).orderBy(t)
     d = r.withColumn("d", F.col("r") - F.lag("r").over(w))
     per = d.groupBy(site).agg(F.sum(F.col("d") * F.col("d")).alias("dd"), F.min_by("r", t).alias("first"), F.max_by("r", t).alias("last"))
-    ws = Window.orderBy(site)  # one row a site
-    ends = per.withColumn("jump", F.col("first") - F.lag("last").over(ws)).agg((F.coalesce(F.sum("dd"), F.lit(0.0)) + F.coalesce(F.sum(F.col("jump") * F.col("jump")), F.lit(0.0))).alias("dd"))
+    ends = with_previous(per, [site], "last", "__end").withColumn("jump", F.col("first") - F.col("__end")).agg((F.coalesce(F.sum("dd"), F.lit(0.0)) + F.coalesce(F.sum(F.col("jump") * F.col("jump")), F.lit(0.0))).alias("dd"))
     m = r.agg(F.count("r").alias("n"), F.skewness("r").alias("skew"), F.kurtosis("r").alias("kurt"), F.sum(F.col("r") * F.col("r")).alias("ss"))
     jb = F.col("n") / 6 * (F.col("skew") * F.col("skew") + F.col("kurt") * F.col("kurt") / 4)
     return m.crossJoin(F.broadcast(ends)).select("n", "skew", "kurt", jb.alias("jarque_bera"), F.exp(-jb / 2).alias("jb_p"), (F.col("dd") / F.col("ss")).alias("durbin_watson"))

@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 from geopanel.functions import geo
 from geopanel.functions.semantics import finite
 from geopanel.plans import formula as fm
+from geopanel.plans.ordering import numbered, with_previous
 
 
 class PanelError(ValueError):
@@ -189,8 +190,7 @@ def moving_average(df: DataFrame, order: str, value: str, width: int, out: str,
 
 def raster_axis(df: DataFrame, coord: str, out: str) -> DataFrame:
     """Integer cell of a coordinate on a raster: steps of the median spacing of its distinct values."""
-    w = Window.orderBy("v")
-    gap = df.select(F.col(coord).alias("v")).distinct().select("v", (F.col("v") - F.lag("v").over(w)).alias("g"))
+    gap = with_previous(df.select(F.col(coord).alias("v")).distinct(), ["v"], "v", "before").select("v", (F.col("v") - F.col("before")).alias("g"))
     step = gap.agg(F.min("v").alias("__lo"), F.median("g").alias("__step"))
     return df.crossJoin(F.broadcast(step)).withColumn(out, F.round((F.col(coord) - F.col("__lo")) / F.col("__step")).cast("long")).drop("__lo", "__step")
 
@@ -317,7 +317,7 @@ def build(df: DataFrame, text: str, spec: PanelSpec | None = None, start=None, e
     named, y = fm.design(f, rows, coding)
     order = "__ord" if spec.order else "__site"
     sites = rows.groupBy("__site").agg(F.min(order).alias("o"))
-    sites = sites.select("__site", (F.row_number().over(Window.orderBy("o", "__site")) - 1).alias("site_id"))
+    sites = numbered(sites, ["o", "__site"], "site_id").select("__site", "site_id")
     times = rows.select("__ts").distinct().select("__ts", (F.row_number().over(Window.orderBy("__ts")) - 1).alias("t_idx"))
     out = rows.join(sites, "__site").join(F.broadcast(times), "__ts")
     out = out.select("site_id", F.col("__site").alias("site"), "t_idx", F.col("__ts").alias("ts"), F.col("__x").alias("x"), F.col("__y").alias("y"), y.alias("obs"), (F.array(*[c for _, c in named]) if named else F.array().cast("array<double>")).alias("cov"))
@@ -353,8 +353,7 @@ def build_predict(train: Panel, df: DataFrame, spec: PanelSpec | None = None, do
     times = train.rows.select("ts", "t_idx").distinct()
     out = rows.join(F.broadcast(times), F.col("__ts") == F.col("ts"))
     out = domain_flag(out, domain, "__x", "__y")
-    site = F.dense_rank().over(Window.orderBy("__site")) - 1
-    sites = out.select("__site").distinct().withColumn("site_id", site)
+    sites = numbered(out.select("__site").distinct(), ["__site"], "site_id")
     out = out.join(sites, "__site").select("site_id", F.col("__site").alias("site"), "t_idx", "ts", F.col("__x").alias("x"), F.col("__y").alias("y"), (y if y is not None else F.lit(None).cast("double")).alias("obs"), (F.array(*[c for _, c in named]) if named else F.array().cast("array<double>")).alias("cov"), "in_domain")
     n = out.agg(F.countDistinct("site_id"), F.countDistinct("t_idx")).first()
     return replace(train, rows=out, n_sites=n[0], n_times=n[1])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopanel.operators import areal, field, near
+from geopanel.plans.ordering import numbered, with_previous
 from geopanel.queries import _LATTICE_SQL, _lattice, r6
 from geopanel.sources import geotext
 from geopanel.sources import tables as T
@@ -120,6 +121,16 @@ def wkt_parse_report(spark: SparkSession, d: str) -> DataFrame:
     return geotext.parse_report(_shops(spark, d).select(text.alias("text")), "text")
 
 
+# --- numbers in order --------------------------------------------------------------------------------------------------
+
+
+@query("WITH first AS (SELECT user_id AS site, min(event_id) AS o FROM events GROUP BY 1) SELECT site, CAST(row_number() OVER (ORDER BY o, site) - 1 AS INT) AS site_id, lag(site) OVER (ORDER BY o, site) AS before FROM first")
+def panel_site_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Sites numbered by first appearance, each with the site that appeared before it."""
+    first = T.table(spark, d, "events").groupBy(F.col("user_id").alias("site")).agg(F.min("event_id").alias("o"))
+    return with_previous(numbered(first, ["o", "site"], "site_id"), ["o", "site"], "site", "before").select("site", "site_id", "before")
+
+
 # --- fields on a grid --------------------------------------------------------------------------------------------------
 
 _GRID = field.Grid(-0.3, -0.4, 0.35, 32, 32)
