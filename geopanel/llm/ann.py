@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from geopanel.llm.common import cut
 
-#: Vectors that centroids are fitted on, at most: those with the least hashes; and those of them that top up short results.
-SAMPLE, TOP_UP = 65_536, 20_000
+#: Vectors that centroids are fitted on, at most: those with the least hashes.
+SAMPLE = 65_536
 #: Vectors a list is to have while that gives at most MAX_LISTS lists, an eighth of the sample. Lists of larger tables are
 #: longer; they are dealt to blocks, and nothing in them is left out.
 LIST = 300
@@ -235,10 +235,8 @@ def _compare(k: int):
         if len(q) and len(p):
             a, b = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(p["v"].to_numpy()).astype(np.float64)
             key, least, ids = p["c"].to_numpy(), np.array([v[0] for v in p["ids"]]), p["ids"].to_numpy()
-            bound = q["bound"].to_numpy()
             for i, (at, d) in enumerate(_least(a, b, k + 1)):
                 best = np.lexsort((least[at], d))[: k + 1]
-                best = best[d[best] <= bound[i]]
                 cols["q"] += [q["q"].iloc[i]] * len(best)
                 cols["c"] += key[at[best]].tolist()
                 cols["score"] += d[best].tolist()
@@ -248,24 +246,6 @@ def _compare(k: int):
     return run
 
 
-def _seeds(sample: np.ndarray, keys: np.ndarray, ids: list, k: int):
-    """mapInPandas function: adds the k + 1 nearest of the sample, which top up short results, and the distance of the
-    last one, which no result can exceed."""
-
-    def run(frames):
-        for f in frames:
-            if not len(f):
-                continue
-            out = {"sc": [], "sd": [], "si": []}
-            for at, d in _least(np.stack(f["v"].to_numpy()).astype(np.float64), sample, k + 1):
-                best = np.argsort(d, kind="stable")[: k + 1]
-                out["sc"].append(keys[at[best]]), out["sd"].append(d[best]), out["si"].append([ids[j] for j in at[best]])
-            bound = [v[-1] * (1 + 1e-9) if len(v) > k else np.inf for v in out["sd"]]
-            yield f.assign(bound=bound, **{n: pd.Series(v, index=f.index, dtype=object) for n, v in out.items()})
-
-    return run
-
-
 def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", query: str = "pmod({id}, 100) = 0") -> DataFrame:
     """query_id, rank, vec_id, score: each query row's k nearest other rows found by Euclidean distance in double
     precision, ties to the smaller id.
@@ -293,19 +273,16 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     graph = Graph(balanced_centroids(x, int(np.log2(want))))
 
     asked = rows.where(F.expr(query.format(id="id")))
-    asks = asked.groupBy("c").agg(F.first("v").alias("v")).select(F.col("c").alias("q"), "v")
-    top = slice(0, TOP_UP)
-    asks = cut(asks.mapInPandas(_seeds(x[top], sample.column("c").to_numpy()[top], sample.column("ids")[top].to_pylist(), k), "q long, v array<double>, bound double, sc array<long>, sd array<double>, si array<array<long>>"))
+    asks = cut(asked.groupBy("c").agg(F.first("v").alias("v")).select(F.col("c").alias("q"), "v"))
     if asks.isEmpty():
         return empty
-    seeds = asks.select("q", F.explode(F.arrays_zip("sc", "sd", "si")).alias("s")).select("q", F.col("s.sc").alias("c"), F.col("s.sd").alias("score"), F.col("s.si").alias("ids"))
     replicate, prune, _ = calibrate(entries, asks, graph, x, k)
     posts = cut(entries.mapInPandas(_lists(graph, replicate, POST_BEAM, ["c", "ids"]), "c long, ids array<long>, v array<double>, list int, first boolean"))
     # Lists that hold k + 1 vectors between them are visited whatever the ratio.
     sizes = np.zeros(len(graph.c), np.int64)
     for r in posts.where("first").groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
-    asks = cut(asks.select("q", "v", "bound").mapInPandas(_lists(graph, prune, QUERY_BEAM, ["q", "bound"], sizes, k + 1), "q long, bound double, v array<double>, list int, first boolean"))
+    asks = cut(asks.mapInPandas(_lists(graph, prune, QUERY_BEAM, ["q"], sizes, k + 1), "q long, v array<double>, list int, first boolean"))
 
     def parts(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
@@ -315,8 +292,8 @@ def nearest(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col:
     p = posts.join(split, "list").withColumn("a", F.pmod(F.xxhash64("c"), F.col("pn")).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("qn") - 1)))
     q = asks.join(split, "list").withColumn("b", F.pmod(F.xxhash64("q"), F.col("qn")).cast("int")).withColumn("a", F.explode(F.sequence(F.lit(0), F.col("pn") - 1)))
     key = ["list", "a", "b"]
-    hits = q.select(*key, "q", "bound", "v").groupBy(*key).cogroup(p.select(*key, "c", "ids", "v").groupBy(*key)).applyInPandas(_compare(k), "q long, c long, score double, ids array<long>")
-    found = hits.unionByName(seeds).dropDuplicates(["q", "c"]).select("q", "score", F.explode("ids").alias("vec_id"))
+    hits = q.select(*key, "q", "v").groupBy(*key).cogroup(p.select(*key, "c", "ids", "v").groupBy(*key)).applyInPandas(_compare(k), "q long, c long, score double, ids array<long>")
+    found = hits.dropDuplicates(["q", "c"]).select("q", "score", F.explode("ids").alias("vec_id"))
     w = Window.partitionBy("q").orderBy("score", "vec_id")
     found = cut(found.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1))
     # Every query row reads its vector's list without its own id.

@@ -51,3 +51,15 @@ def test_recall_on_a_large_table(spark):
     assert len(got) == 500 and all(len(v) == 10 for v in got.values())
     some = {q: got[q] for q in sorted(got)[::2]}
     assert recall(some, x) >= 0.95
+
+
+def test_rows_come_from_the_lists_alone(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 20)
+    x = np.random.default_rng(3).normal(0, 1, (600, 16)).astype(np.float32)
+    assert recall(found(spark, x), x) >= 0.95
+
+    def nothing(k):
+        return lambda q, p: pd.DataFrame({"q": [], "c": [], "score": [], "ids": pd.Series([], dtype=object)})
+
+    monkeypatch.setattr(ann, "_compare", nothing)
+    assert found(spark, x) == {}
