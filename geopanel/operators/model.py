@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from geopanel.functions import geo, special
 from geopanel.functions.semantics import missing, std_of_variance
 from geopanel.operators import em, suffstat
-from geopanel.operators.areal import BACK, areal_mean, delta_method
+from geopanel.operators.areal import BACK, areal_mean, delta_method, polygon_table
 from geopanel.operators.kalman import StateSpace
 from geopanel.operators.spde import Spde
 from geopanel.plans.panel import Panel, PanelSpec, build, build_predict
+from geopanel.sources.geotext import reproject_polygons
 
 
 @dataclass(frozen=True)
@@ -538,19 +539,21 @@ class Prediction:
             raise ValueError("intervals are those of the scale of the model")
         return y_intervals(self.rows, self.results.params.s2e if prediction else None, alpha)
 
-    def to_poly(self, polygons: list, names: list[str] | None = None, std: bool = False) -> DataFrame:
+    def to_poly(self, polygons: DataFrame | list, names: list[str] | None = None, std: bool = False, crs: str | None = None) -> DataFrame:
         """(var, ts, poly_id, name, n_points, mean[, std]): means over the points in support of each polygon, on the
-        scale of the rows. Polygons without points have n_points 0 and null values, with a warning."""
-        if not polygons:
-            raise ValueError("no polygons")
+        scale of the rows. Polygons without points have n_points 0 and null values, with a warning.
+
+        polygons is a list, or a table (poly_id, name, geom) such as sources.geotext reads; those of another coordinate
+        system, named by crs, are reprojected with a warning."""
+        polygons = self._polygons(polygons, names, crs)
         ok = self.rows.where("in_support and mean is not null")
-        got = areal_mean(ok, polygons, names, by=["var", "ts"])
+        got = areal_mean(ok, polygons, by=["var", "ts"])
         grid = self.rows.select("var", "ts").distinct()  # a row a response and step
-        every = self.rows.sparkSession.createDataFrame([(k, names[k] if names else str(k)) for k in range(len(polygons))], "poly_id int, name string")
+        every = polygons.select("poly_id", "name")
         empty = every.join(got.select("poly_id").distinct(), "poly_id", "left_anti").count()
         if empty:
             warnings.warn(f"{empty} polygons hold no point in support", stacklevel=2)
-        out = grid.crossJoin(F.broadcast(every)).join(got.drop("name"), ["var", "ts", "poly_id"], "left")
+        out = every.crossJoin(F.broadcast(grid)).join(got.drop("name"), ["var", "ts", "poly_id"], "left")
         out = out.select("var", "ts", "poly_id", "name", F.coalesce("n_points", F.lit(0)).cast("long").alias("n_points"), "mean")
         if not std:
             return out
@@ -562,7 +565,18 @@ class Prediction:
         both = both.join(F.broadcast(times), "t_idx").select("var", "ts", "poly_id", "std")
         return out.join(both, ["var", "ts", "poly_id"], "left")
 
-    def to_poly_std(self, polygons: list, var: int = 0) -> DataFrame:
+    def _polygons(self, polygons: DataFrame | list, names: list[str] | None = None, crs: str | None = None) -> DataFrame:
+        if not isinstance(polygons, DataFrame):
+            polygons = polygon_table(self.rows, polygons, names)
+        if polygons.isEmpty():
+            raise ValueError("no polygons")
+        mine = self.results.model.panels[0].crs
+        if crs and mine and crs != mine:
+            warnings.warn(f"polygons are reprojected from {crs} to {mine}, that of the training panel", stacklevel=3)
+            polygons = polygons.withColumn("geom", reproject_polygons(F.col("geom"), crs, mine))
+        return polygons
+
+    def to_poly_std(self, polygons: DataFrame | list, var: int = 0) -> DataFrame:
         """(poly_id, t_idx, std) of areal means: the basis is averaged over each polygon's points first, so that the
         variance is that of one weighted row a polygon. After back_transform a point weighs by the slope of the
         back-transformation at its mean, which goes with the step."""

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from geopanel.functions import geo
+
 _NUMBER = r"[-+]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 _NESTED = "array<array<array<array<double>>>>"
 TYPE = "array<array<array<struct<x:double,y:double>>>>"
@@ -86,6 +88,16 @@ def to_geojson(polygons: Column) -> Column:
     return F.concat(F.lit('{"type":"MultiPolygon","coordinates":['), F.array_join(parts, ","), F.lit("]}"))
 
 
+def reproject_polygons(polygons: Column, source: str, target: str) -> Column:
+    """A polygon column with the vertices of one coordinate system as those of another."""
+
+    def moved(p: Column) -> Column:
+        x, y = geo.reproject(p["x"], p["y"], source, target)
+        return F.struct(x.alias("x"), y.alias("y"))
+
+    return F.transform(polygons, lambda poly: F.transform(poly, lambda ring: F.transform(ring, moved)))
+
+
 def parse_polygons(df: DataFrame, column: str, fmt: str = "wkt", into: str = "geom") -> DataFrame:
     """df with the polygons of a text column."""
     parse = {"wkt": from_wkt, "geojson": from_geojson}[fmt]

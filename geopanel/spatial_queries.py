@@ -10,18 +10,17 @@ from pyspark.sql import functions as F
 from geopanel.operators import areal, field, near
 from geopanel.plans.ordering import numbered, with_previous
 from geopanel.queries import _LATTICE_SQL, _lattice, r6
-from geopanel.sources import geotext
+from geopanel.sources import geotext, sql
 from geopanel.sources import tables as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(text: str):
     def add(f):
         QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
+        ORACLE[f.__name__] = text
         return f
 
     return add
@@ -188,3 +187,39 @@ def mesh_peeled(spark: SparkSession, d: str) -> DataFrame:
     corners = [(a, a + 1, a + 10), (a, a + 10, a + 9)]
     both = F.array(*[F.struct((2 * (F.col("i") + 8 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
     return field.peel(tile.select(F.explode(both).alias("t")).select("t.*"), 3)
+
+
+# --- SQL text alone ----------------------------------------------------------------------------------------------------
+
+_NODES_TEXT = """
+SELECT n.v, n.x, n.y, count(s.site) AS n_sites, round(min(gp_euclid(s.x, s.y, n.x, n.y)), 6) AS nearest
+FROM range(9) AS r JOIN LATERAL gp_lattice_row(r.id, double(-3), double(-3), double(2), 9) AS n
+LEFT JOIN gp_sites AS s ON round((s.x + 3) / 2) = n.i AND round((s.y + 3) / 2) = n.j
+GROUP BY n.v, n.x, n.y
+"""
+
+
+@query(
+    f"WITH {T.SITES_SQL}, node AS (SELECT CAST(k AS BIGINT) AS v, k % 9 AS i, k // 9 AS j, -3.0::DOUBLE + 2 * (k % 9) AS x, -3.0::DOUBLE + 2 * (k // 9) AS y FROM generate_series(0, 80) AS g(k)) "
+    "SELECT v, n.x, n.y, count(site) AS n_sites, round(min(sqrt((s.x - n.x) * (s.x - n.x) + (s.y - n.y) * (s.y - n.y))), 6) AS nearest FROM node n LEFT JOIN sites s ON round((s.x + 3) / 2) = n.i AND round((s.y + 3) / 2) = n.j GROUP BY 1, 2, 3"
+)
+def sql_lattice_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Sites by the lattice node whose cell they are in, in SQL text with a table function."""
+    sql.register(spark, {"gp_sites": T.sites_events(spark, d)})
+    return spark.sql(_NODES_TEXT)
+
+
+_SUPPLIERS_TEXT = """
+SELECT gp_season(month) AS season, count(*) AS n, round(avg(y1), 6) AS log_revenue, round(max(gp_great_circle(double(site % 180), double(site % 80), 9.0D, 45.0D)), 4) AS farthest
+FROM gp_panel GROUP BY 1
+"""
+
+
+@query(
+    f"WITH {T.LINE_SQL} SELECT CASE WHEN month(month) IN (12, 1, 2) THEN 'Winter' WHEN month(month) IN (3, 4, 5) THEN 'Spring' WHEN month(month) IN (6, 7, 8) THEN 'Summer' ELSE 'Autumn' END AS season, count(*) AS n, round(avg(y1), 6) AS log_revenue, "
+    "round(max(2 * 6371.0 * asin(sqrt(least(1.0, pow(sin(radians(45.0 - site % 80) / 2), 2) + cos(radians(site % 80)) * cos(radians(45.0)) * pow(sin(radians(9.0 - site % 180) / 2), 2))))), 4) AS farthest FROM line GROUP BY 1"
+)
+def sql_panel_seasons(spark: SparkSession, d: str) -> DataFrame:
+    """A panel by season, in SQL text with scalar functions."""
+    sql.register(spark, {"gp_panel": T.panel_lineitem(spark, d)})
+    return spark.sql(_SUPPLIERS_TEXT)

@@ -115,3 +115,12 @@ def test_round_trips(spark):
     for to, back in ((geotext.to_wkt, geotext.from_wkt), (geotext.to_geojson, geotext.from_geojson)):
         rows = base.withColumn("again", back(to(F.col("geom")))).collect()
         assert all(r.again == r.geom for r in rows)
+
+
+def test_polygons_of_another_system(spark):
+    lon_lat = spark.createDataFrame([("POLYGON ((9 45, 9.5 45, 9.5 45.5))",)], "t string").select(geotext.from_wkt(F.col("t")).alias("g"))
+    there = lon_lat.select(geotext.reproject_polygons(F.col("g"), "EPSG:4326", "EPSG:32632").alias("g"))
+    first = there.first().g[0][0][0]
+    assert (first.x, first.y) == (pytest.approx(500_000, abs=1), pytest.approx(4_982_950, abs=2))
+    back = there.select(geotext.reproject_polygons(F.col("g"), "EPSG:32632", "EPSG:4326").alias("g")).first().g
+    assert [(pytest.approx(p.x, abs=1e-7), pytest.approx(p.y, abs=1e-7)) for p in back[0][0]] == [(9, 45), (9.5, 45), (9.5, 45.5)]
