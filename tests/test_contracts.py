@@ -178,9 +178,9 @@ def test_polygons_without_points_stay(spark, results):
     assert all((r["mean"] is None and r.n_points == 0 and r.std is None) if r.name == "far" else r.std > 0 for r in out)
     with pytest.raises(ValueError):
         p.to_poly([])
-    table = spark.createDataFrame([(7, "all", "POLYGON ((0 0, 10 0, 10 10, 0 10))"), (9, "none", "POLYGON EMPTY"), (11, "bad", "POLYGON ((0 0")], "poly_id int, name string, t string")
+    regions = spark.createDataFrame([(7, "all", "POLYGON ((0 0, 10 0, 10 10, 0 10))"), (9, "none", "POLYGON EMPTY"), (11, "bad", "POLYGON ((0 0")], "poly_id int, name string, t string")
     with pytest.warns(UserWarning, match="no point"):
-        read = p.to_poly(geotext.parse_polygons(table, "t").drop("t"), std=True).collect()
+        read = p.to_poly(geotext.parse_polygons(regions, "t").drop("t"), std=True).collect()
     assert {(r.ts, round(r["mean"], 9), round(r["std"], 9)) for r in read if r.poly_id == 7} == {(r.ts, round(r["mean"], 9), round(r["std"], 9)) for r in out if r.poly_id == 0}
     assert all(r.n_points == 0 and r["mean"] is None for r in read if r.poly_id != 7) and {r.poly_id for r in read} == {7, 9, 11}
     with pytest.raises(ValueError, match="scale of the model"):
