@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,12 +34,14 @@ def energy(vertex: DataFrame, triangle: DataFrame, value: str) -> DataFrame:
     return stiffness(vertex, triangle).join(u, "i").join(w, "j").agg(F.sum(F.col("ui") * F.col("g") * F.col("uj")).alias("energy"))
 
 
-def basis(points: DataFrame, vertex: DataFrame, triangle: DataFrame, site: str = "site_id", bins: int = 64, tiny: float = 1e-8) -> DataFrame:
+def basis(points: DataFrame, vertex: DataFrame, triangle: DataFrame, site: str = "site_id", bins: int | None = None, tiny: float = 1e-8) -> DataFrame:
     """(site, v, h): barycentric weights of each point in its triangle.
 
-    Points and triangles meet in the cells of a bins x bins grid over the mesh, so the join is an equi-join; a point on
-    several triangles takes the least one (the weights are the same). Points outside the mesh have no rows.
+    Points and triangles meet in the cells of a bins x bins grid over the mesh, one for every two triangles unless bins says
+    otherwise, so the join is an equi-join; a point on several triangles takes the least one (the weights are the same).
+    Points outside the mesh have no rows.
     """
+    bins = bins or max(1, math.ceil(math.sqrt(triangle.count() / 2)))
     c = corners(vertex, triangle)
     box = vertex.agg(F.min("x").alias("bx"), F.min("y").alias("by"), ((F.max("x") - F.min("x")) / bins).alias("sx"), ((F.max("y") - F.min("y")) / bins).alias("sy"))
 
@@ -61,6 +65,13 @@ def basis(points: DataFrame, vertex: DataFrame, triangle: DataFrame, site: str =
     return one.select(F.col("site").alias(site), rows.alias("r")).select(site, "r.v", "r.h").where(F.col("h") > tiny)
 
 
+def found(points: DataFrame, basis_rows: DataFrame, site: str = "site_id") -> DataFrame:
+    """One row: n points, those in a triangle, and those outside the mesh (not_found)."""
+    hit = basis_rows.select(site).distinct().withColumn("hit", F.lit(1))
+    every = points.select(site).join(hit, site, "left")
+    return every.agg(F.count("*").alias("n"), F.count("hit").alias("found"), (F.count("*") - F.count("hit")).alias("not_found"))
+
+
 def latent_basis(basis_rows: DataFrame, vertex: DataFrame, site: str = "site_id") -> DataFrame:
     """Basis restricted to inner vertices with rows that sum to one; sites with outer vertices alone have no rows."""
     b = basis_rows.join(vertex.where("inner").select("v"), "v", "left_semi")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopanel.operators import areal, field, near
+from geopanel.operators import areal, fem, field, near
 from geopanel.plans.ordering import numbered, with_previous
 from geopanel.queries import _LATTICE_SQL, _lattice, r6
 from geopanel.sources import geotext, sql
@@ -59,6 +59,13 @@ def sites_within_radius(spark: SparkSession, d: str) -> DataFrame:
     return got.select(F.col("left_id").alias("site"), F.col("right_id").alias("shop"), r6(F.col("d"), "d"))
 
 
+@query(f"WITH {_SHOPS_SQL}, p AS (SELECT shop, x * 2 - 6 AS x, y * 2 - 6 AS y FROM shops) SELECT count(*) AS n, count(*) FILTER (x BETWEEN -3 AND 13 AND y BETWEEN -3 AND 13) AS found, count(*) FILTER (NOT (x BETWEEN -3 AND 13 AND y BETWEEN -3 AND 13)) AS not_found FROM p")
+def basis_found(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers, spread beyond the lattice, that lie in one of its triangles."""
+    points = _shops(spark, d).select("id", (F.col("x") * 2 - 6).alias("x"), (F.col("y") * 2 - 6).alias("y"))
+    return fem.found(points, fem.basis(points, *_lattice(spark), site="id"), "id")
+
+
 # --- polygons from text columns ----------------------------------------------------------------------------------------
 
 #: A supplier's region is a square frame around it: half its width, and half that of its hole.
