@@ -1,9 +1,10 @@
 """Best-fit packing of token sequences by patterns fitted with non-negative least squares.
 
 Lengths are counted first; the histogram has max_len bins whatever the input, so the plan is made on the driver. Patterns
-of two or three lengths that fill a sequence are enumerated, their repeat counts fitted to the histogram by non-negative
-least squares and rounded, and the residual histogram is packed best-fit decreasing, whole groups of equal lengths at a
-time. The plan is a table (length, rank range) -> (sequence, offset) by which every piece finds its place.
+of three lengths, or of runs of one or two lengths, that fill a sequence are enumerated, their repeat counts fitted to the
+histogram by non-negative least squares and rounded, and the residual histogram is packed best-fit decreasing, whole groups
+of equal lengths at a time. The plan is a table (length, rank range) -> (sequence, offset) by which every piece finds its
+place.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import string
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -250,20 +252,46 @@ def best_fit(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
     return [g for r in sorted(groups) for g in groups[r]]
 
 
-def patterns(hist: np.ndarray, cap: int) -> np.ndarray:
-    """All rows of two or three lengths (0: none), none above the one before, that occur and have a sum of exactly cap: at
-    most cap^2 / 12 of them, whatever the input."""
+def patterns(hist: np.ndarray, cap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, times), rows of three (0: none), lengths falling: patterns with a sum of exactly cap of one or two lengths,
+    each as often as its times say and no more often than it occurs, and of three lengths, once each. A length in none of
+    them repeats alone where nothing that occurs fits behind it.
+
+    Runs are at most as many as pairs of divisors of m and cap - m, about 60,000 for a cap of 2048, and patterns of three
+    at most cap^2 / 12, whatever the input."""
     is_in = hist[: cap + 1] > 0
-    is_in[0] = True
-    out = [np.zeros((0, 3), np.int64)]
-    for a in np.flatnonzero(is_in[:cap]):
-        b = np.arange(-(-(cap - a) // 2), min(a, cap - a) + 1)
+    is_in[0] = False
+    lengths, times = [np.zeros((0, 3), np.int64)], [np.zeros((0, 3), np.int64)]
+
+    def put(a, ka, b, kb, c, n: int) -> None:
+        zero = np.zeros(n, np.int64)
+        lengths.append(np.stack([zero + a, zero + b, zero + c], 1))
+        times.append(np.stack([zero + ka, zero + kb, (zero + c > 0).astype(np.int64)], 1))
+
+    have = np.flatnonzero(is_in[:cap])
+    for at, a in enumerate(have.tolist()):
+        below = have[:at]
+        for ka in range(1, min(cap // a, int(hist[a])) + 1):
+            rest = cap - ka * a
+            if not rest:
+                put(a, ka, 0, 0, 0, 1)
+                continue
+            b = below[: np.searchsorted(below, rest, "right")]
+            b = b[rest % b == 0]
+            b = b[rest // b <= hist[b]]
+            put(a, ka, b, rest // b, 0, len(b))
+        b = np.arange((cap - a) // 2 + 1, min(a, cap - a))
         b = b[is_in[b] & is_in[cap - a - b]]
-        out.append(np.stack([np.full(len(b), a), b, cap - a - b], 1))
-    return np.concatenate(out)
+        put(a, 1, b, 1, cap - a - b, len(b))
+    out, n = np.concatenate(lengths), np.concatenate(times)
+    alone = np.setdiff1d(have, out)
+    k = np.minimum(cap // np.maximum(alone, 1), hist[alone])
+    alone, k = (v[cap - alone * k < have.min(initial=cap)] for v in (alone, k))
+    zero = np.zeros_like(alone)
+    return np.concatenate([out, np.stack([alone, zero, zero], 1)]), np.concatenate([n, np.stack([k, zero, zero], 1)])
 
 
-def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int) -> np.ndarray:
+def fit_counts(hist: np.ndarray, pats: np.ndarray, times: np.ndarray, rounds: int) -> np.ndarray:
     """Non-negative least squares of pattern counts to the histogram by accelerated projected gradient with restarts. A
     length's error weighs by its count, so that rare lengths weigh as well."""
     if not len(pats):
@@ -271,13 +299,15 @@ def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int) -> np.ndarray:
     n = len(hist)
     w = 1 / np.maximum(hist, 1.0)
     w[0] = 0  # the place of no length
-    cols = [np.ascontiguousarray(pats[:, k]) for k in range(pats.shape[1])]
+    cols = [(np.ascontiguousarray(pats[:, k]), times[:, k].astype(float)) for k in range(pats.shape[1])]
+    # Patterns of many pieces would set the step for all: each counts in units of its own weight.
+    unit = 1 / np.sqrt(sum(k * k * w[c] for c, k in cols))
 
     def lengths(x: np.ndarray) -> np.ndarray:
-        return sum(np.bincount(c, x, n) for c in cols)
+        return sum(np.bincount(c, k * unit * x, n) for c, k in cols)
 
     def back(r: np.ndarray) -> np.ndarray:
-        return sum(r[c] for c in cols)
+        return unit * sum(k * r[c] for c, k in cols)
 
     v = np.ones(len(pats))
     for _ in range(12):
@@ -294,50 +324,52 @@ def fit_counts(hist: np.ndarray, pats: np.ndarray, rounds: int) -> np.ndarray:
             u = (1 + np.sqrt(1 + 4 * t * t)) / 2
             y, t = new + (t - 1) / u * (new - x), u
         x = new
-    return x
+    return unit * x
 
 
-def repeats(hist: np.ndarray, pats: np.ndarray, count: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
+def repeats(hist: np.ndarray, pats: np.ndarray, times: np.ndarray, count: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], np.ndarray]:
     """((pattern, repeats), the histogram they leave): the running sum of the counts is rounded, which keeps the sums of
     neighbouring patterns, and no length is used more often than it occurs."""
     out, left = [], hist.copy()
     whole = np.diff(np.floor(np.cumsum(count) + 0.5), prepend=0).astype(np.int64)
     some = np.flatnonzero(whole)
-    for p, c in zip(pats[some].tolist(), whole[some].tolist(), strict=True):
-        p = tuple(v for v in p if v)
-        k = min([c, *(int(left[v]) // p.count(v) for v in p)])
-        if k > 0:
-            out.append((p, k))
-            for v in p:
-                left[v] -= k
+    for p, n, c in zip(pats[some].tolist(), times[some].tolist(), whole[some].tolist(), strict=True):
+        runs = [(v, k) for v, k in zip(p, n, strict=True) if v]
+        m = min([c, *(int(left[v]) // k for v, k in runs)])
+        if m > 0:
+            out.append((tuple(v for v, k in runs for _ in range(k)), m))
+            for v, k in runs:
+                left[v] -= k * m
     return out, left
 
 
-#: Patterns that a plan may have: the first fit, over all patterns, is thinned to these in proportion to its counts; and
-#: the steps of the first and the second fit.
-SUPPORT, STEPS = 16_384, (40, 100)
+#: Patterns that a plan may have for every length that occurs: the first fit, over all patterns, is thinned to these in
+#: proportion to its counts; and the steps of the first and the second fit.
+SUPPORT, STEPS = 8, (40, 100)
 #: Parts of the fitted counts that a plan may take: a residual in which all lengths are left packs better.
 PARTS_TAKEN = (0.95, 0.9, 0.8)
 
 
 def plan(hist: np.ndarray, cap: int) -> list[tuple[tuple[int, ...], int]]:
     """(pattern, repeats) that hold the histogram exactly: full pieces, fitted patterns, and the residual packed best-fit
-    decreasing, which is exact for whatever the fit leaves. Patterns of two and three lengths with each of the parts of
-    their counts, and patterns of two lengths alone, are tried, and the plan of the fewest sequences is returned."""
+    decreasing, which is exact for whatever the fit leaves. All patterns with each of the parts of their counts, and those
+    of one or two lengths once each alone, are tried, and the plan of the fewest sequences is returned."""
     rest = hist.astype(np.int64).copy()
     rest[cap] = 0
-    goal, pats = rest.astype(float), patterns(rest, cap)
-    two = pats[pats[:, 2] == 0]
-    tries = [(two, fit_counts(goal, two, STEPS[1]))]
-    total = np.cumsum(fit_counts(goal, pats, STEPS[0]))
+    goal, (pats, times) = rest.astype(float), patterns(rest, cap)
+    few = (pats[:, 2] == 0) & (times.sum(1) == 2)
+    tries = [(pats[few], times[few], fit_counts(goal, pats[few], times[few], STEPS[1]))]
+    total = np.cumsum(fit_counts(goal, pats, times, STEPS[0]))
     if len(total) and total[-1] > 0:
-        pats = pats[np.diff(np.floor(total * (SUPPORT / total[-1]) + 0.5), prepend=0) > 0]
-        fitted = fit_counts(goal, pats, STEPS[1])
-        tries = [*((pats, part * fitted) for part in PARTS_TAKEN), *tries]
+        most = SUPPORT * np.count_nonzero(rest)
+        some = np.diff(np.floor(total * (most / total[-1]) + 0.5), prepend=0) > 0
+        pats, times = pats[some], times[some]
+        fitted = fit_counts(goal, pats, times, STEPS[1])
+        tries = [*((pats, times, part * fitted) for part in PARTS_TAKEN), *tries]
     full: list[tuple[tuple[int, ...], int]] = [((cap,), int(hist[cap]))] if hist[cap] else []
     plans = []
-    for p, count in tries:
-        some, left = repeats(rest, p, count)
+    for p, n, count in tries:
+        some, left = repeats(rest, p, n, count)
         plans.append(full + some + best_fit(left, cap))
     return min(plans, key=lambda v: sum(k for _, k in v))
 
@@ -371,13 +403,17 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     rows, used, seq = [], np.zeros(max_len + 1, np.int64), 0
     for pattern, k in plan(hist, max_len):
         at = 0
-        for v in pattern:
-            rows.append((int(v), int(used[v]), int(used[v]) + k, seq, at))
-            used[v] += k
-            at += v
+        for v, run in groupby(pattern):
+            n = sum(1 for _ in run)
+            rows.append((int(v), int(used[v]), int(used[v]) + n * k, seq, at, n))
+            used[v] += n * k
+            at += n * v
         seq += k
-    table = local_table(spark, rows, "length long, lo long, hi long, seq0 long, offset long")
+    table = local_table(spark, rows, "length long, lo long, hi long, seq0 long, first long, run long")
     # The table's size follows max_len and the number of patterns, not the input.
     got = ranked(cutp, "length").join(F.broadcast(table), "length").where((F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
-    cols = ["id", "piece", "start", "length", "ids_crc32", (F.col("seq0") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"]
+    # Pieces of one length that stand side by side in a sequence have following ranks.
+    nth = F.col("rank") - F.col("lo")
+    places = [F.expr("seq0 + (rank - lo) div run").alias("sequence_id"), (F.col("first") + nth % F.col("run") * F.col("length")).alias("offset")]
+    cols = ["id", "piece", "start", "length", "ids_crc32", *places]
     return got.select(*cols, *(["ids"] if with_ids else []))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geopanel.llm import mixing
 from geopanel.llm.mixing import mix, split_quotas, targets
-from geopanel.llm.packing import best_fit, pack, plain_words, plan
+from geopanel.llm.packing import best_fit, pack, patterns, plain_words, plan
 
 DOCS = "doc_id long, text string, source string"
 
@@ -142,6 +142,57 @@ def test_fitted_patterns_place_most_pieces(times):
     assert few > 0.6 * hist.sum()
 
 
+@pytest.mark.parametrize("low, high", [(20, 200), (20, 120), (100, 400), (5, 30)])
+def test_patterns_place_short_texts(low, high):
+    cap, n = 2048, 50_000
+    hist = np.bincount(np.random.default_rng(0).integers(low, high + 1, n), minlength=cap + 1)
+    got = plan(hist, cap)
+    least = -(-int((hist * np.arange(cap + 1)).sum()) // cap)
+    assert sum(k for _, k in got) <= 1.001 * least + 1
+    assert sum(k * len(p) for p, k in got if sum(p) == cap and len(set(p)) <= 3) > 0.75 * n
+
+
+def test_patterns_of_lengths_that_never_fill():
+    cap = 2048
+    hist = np.bincount(np.random.default_rng(0).integers(600, 641, 30_001), minlength=cap + 1)
+    assert sum(k for _, k in plan(hist, cap)) == 10_001
+    lengths, times = patterns(hist, cap)
+    assert len(lengths) == 41 and (times[:, 0] == 3).all()
+
+
+def test_patterns_against_all_sums():
+    """Every pattern of the named kinds, by brute force."""
+    cap, rng = 24, np.random.default_rng(3)
+    hist = np.where(rng.random(cap + 1) < 0.5, rng.integers(0, 6, cap + 1), 0)
+    hist[0] = hist[cap] = 0
+    want = set()
+    for a in range(1, cap):
+        for b in range(a):
+            for c in range(b if b else 1):
+                for ka in range(1, int(hist[a]) + 1):
+                    for kb in range(1, int(hist[b]) + 1) if b else [0]:
+                        if c and (ka, kb) != (1, 1) or c and not hist[c]:
+                            continue
+                        if ka * a + kb * b + c == cap:
+                            want.add(((a, b, c), (ka, kb, int(c > 0))))
+    lengths, times = patterns(hist, cap)
+    got = [(tuple(p), tuple(k)) for p, k in zip(lengths.tolist(), times.tolist(), strict=True)]
+    assert len(got) == len(set(got))
+    assert {(p, k) for p, k in got if sum(v * n for v, n in zip(p, k, strict=True)) == cap} == want
+
+
+def test_runs_of_equal_lengths_in_tables(spark):
+    """Short documents, many of one length: sequences without gaps, at the bound."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    df = spark.range(4000).select(F.col("id").alias("doc_id"), F.expr("repeat('the ', int(20 + id % 7))").alias("text"))
+    got = pack(df, path, max_len=512).toPandas().sort_values(["sequence_id", "offset"])
+    assert len(got) == 4000 and got["id"].nunique() == 4000
+    ends = got["offset"] + got["length"]
+    first = got["sequence_id"] != got["sequence_id"].shift()
+    assert (got["offset"] == ends.shift(fill_value=0).where(~first, 0)).all() and ends.max() <= 512
+    assert got["sequence_id"].nunique() <= -(-int(got["length"].sum()) // 512) + 2
+
+
 def test_letters_and_signs_of_words():
     words = ["Hello!!", "ÉTÉ", "a.b", "×x", "naïve", "!?", "Ÿ", "ab_", "ß,", "ÀÖØÞ", "don't", "x́"]
     raw = [w.encode() for w in words]
