@@ -9,6 +9,7 @@ covariances stated by a formula, as if a fit had ended there.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from geopanel.functions import special
-from geopanel.operators import em, kalman, mesh, spde, suffstat
+from geopanel.operators import em, kalman, mesh, spde, suffstat, work
 from geopanel.operators.model import LowRankModel, Results
 from geopanel.plans import panel as pn
 from geopanel.queries import _BASIS_SQL, _NAMES, _POLYS, _SPEC, _events_long, _hits_sql, r6
@@ -298,10 +299,13 @@ def fitted_table(spark: SparkSession, d: str) -> DataFrame:
     return e.select("point_id", t, r6(F.col("y_hat_0"), "y_hat_0"), r6(F.col("std_y_hat_0"), "std_y_hat_0"), "in_support_0")
 
 
-def _predicted(spark: SparkSession, d: str):
+def _new_sites(spark: SparkSession, d: str) -> DataFrame:
     """New sites a little to the upper right of the old ones, on the first ten days."""
-    new = _events_long(spark, d).where("t < 10").withColumns({"px": F.col("px") * 0.9 + 0.05, "py": F.col("py") * 0.9 + 0.05})
-    return _given(spark, d).predict(new, _SPEC)
+    return _events_long(spark, d).where("t < 10").withColumns({"px": F.col("px") * 0.9 + 0.05, "py": F.col("py") * 0.9 + 0.05})
+
+
+def _predicted(spark: SparkSession, d: str):
+    return _given(spark, d).predict(_new_sites(spark, d), _SPEC)
 
 
 _PRED_SQL = _FIT_SQL.replace("((37 * user_id) % 101) / 10.0 AS x", "((37 * user_id) % 101) / 10.0 * 0.9 + 0.05 AS x").replace("((53 * user_id) % 97) / 10.0 AS y", "((53 * user_id) % 97) / 10.0 * 0.9 + 0.05 AS y")
@@ -314,6 +318,16 @@ def prediction_table(spark: SparkSession, d: str) -> DataFrame:
     return e.select("point_id", t, F.round("y_pred_0", 4).alias("y_pred_0"), F.round("std_y_pred_0", 4).alias("std_y_pred_0"), "in_support_0")
 
 
+@query(f"WITH {_PRED_SQL} SELECT site AS point_id, t, round(mean, 6) AS y_pred_0, round(sqrt(variance), 6)::DOUBLE AS std_y_pred_0, ok AS in_support_0 FROM fit WHERE t < 10")
+def prediction_from_folder(spark: SparkSession, d: str) -> DataFrame:
+    """Predictions of results that were written as tables and read again, without the training table."""
+    folder = f"{work.shared(spark)}/results-{uuid.uuid4()}"
+    _given(spark, d).save(folder)
+    e = Results.load(folder, spark=spark).predict(_new_sites(spark, d), _SPEC).export()
+    t = F.datediff("timestamp", F.lit(T.START).cast("date")).alias("t")
+    return e.select("point_id", t, r6(F.col("y_pred_0"), "y_pred_0"), r6(F.col("std_y_pred_0"), "std_y_pred_0"), "in_support_0")
+
+
 _FAR = [[(20.0, 20.0), (21.0, 20.0), (21.0, 21.0)]]
 _AREAL_SQL = f"""{_PRED_SQL}, hit AS ({_hits_sql(True)}), n AS (SELECT poly_id, t, count(*) AS n, avg(mean) AS mean FROM hit JOIN fit USING (site) WHERE ok AND t < 10 GROUP BY 1, 2)"""
 _EVERY_SQL = "(SELECT poly_id, name, g.t AS t FROM (" + " UNION ALL ".join(f"SELECT {k} AS poly_id, '{n}' AS name" for k, n in enumerate([*_NAMES, "far"])) + ") CROSS JOIN generate_series(0, 9) AS g(t)) e"

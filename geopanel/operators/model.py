@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import pickle
 import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
@@ -14,7 +13,7 @@ from pyspark.sql import functions as F
 
 from geopanel.functions import geo, special
 from geopanel.functions.semantics import missing, std_of_variance
-from geopanel.operators import em, suffstat
+from geopanel.operators import em, store, suffstat
 from geopanel.operators.areal import BACK, areal_mean, delta_method, polygon_table
 from geopanel.operators.kalman import StateSpace
 from geopanel.operators.spde import Spde
@@ -285,6 +284,8 @@ class Results:
     def _predicted(self, panel: Panel, var: int, variance: bool = True) -> DataFrame:
         """Rows of a panel with mean, var and in_support; no measurement error. Outside the support the mean is the
         regression alone and the variance zero; a missing covariate gives NULL."""
+        if "site_id" not in panel.rows.columns:
+            raise ValueError("results read from a folder hold no training rows: load them onto a model of the data")
         spark, p = panel.rows.sparkSession, self.params
         load, beta = p.A[var], p.beta[self.stats.covs[var]]
         fac = self.model.factor
@@ -454,27 +455,26 @@ class Results:
             lines.append(f"{name} & {r.value:.4f} & {'' if r.bse is None else f'({r.bse:.4f})'} " + r"\\")
         return "\n".join([*lines, r"\bottomrule", r"\end{tabular}"])
 
-    def save(self, path: str) -> None:
-        """Parameters, states and formulas; no data and no session. load() puts them on a model again."""
-        p = self.params
-        keep = {"params": p.as_dict(), "fixed": sorted(p.fixed), "loglik": self.loglik, "formulas": [q.formula.text for q in self.model.panels], "codings": [q.coding for q in self.model.panels], "x": self.fit.smoothed.x, "P": self.fit.smoothed.p}
-        with open(path, "wb") as f:
-            pickle.dump(keep | {"stats": self.stats, "options": self.options, "trace": self.fit.trace, "converged": self.fit.converged, "termination": self.fit.termination, "cov_params": self.cov_params, "smoothed": self.fit.smoothed}, f)
+    def save(self, path: str, spark: SparkSession | None = None) -> int:
+        """Write the next version of a folder of tables (see operators.store) and return its number. The folder holds
+        parameters, states, meshes and training times, and nothing else of the data."""
+        return store.save(self, path, spark or self.model.panels[0].rows.sparkSession)
 
     @staticmethod
-    def load(path: str, model: LowRankModel) -> Results:
-        """Saved results on a model of the same formulas and latent fields, set up again; no fit is run. The file must be
-        one's own: it is a pickle."""
-        with open(path, "rb") as f:
-            kept = pickle.load(f)
-        texts = [p.formula.text for p in model.panels]
-        if texts != kept["formulas"]:
-            raise ValueError(f"the results are of {kept['formulas']}, the model of {texts}")
+    def load(path: str, model: LowRankModel | None = None, spark: SparkSession | None = None, version: int | None = None) -> Results:
+        """Saved results; no fit is run. They predict without the training table; what reads training rows, such as fitted
+        values, takes a model of the same formulas and latent fields, set up again."""
+        spark = spark or (model.panels[0].rows.sparkSession if model else SparkSession.active())
+        kept = store.load(path, spark, version)
+        panels, covs, domains = (kept.pop(k) for k in ("panels", "covs", "domains"))
+        if model is None:
+            model = LowRankModel(panels, domains, covs)
+        texts, own = [p.formula.text for p in model.panels], [p.formula.text for p in panels]
+        if texts != own:
+            raise ValueError(f"the results are of {own}, the model of {texts}")
         if len(model.factor) != len(kept["stats"].factor):
             raise ValueError(f"the results have {len(kept['stats'].factor)} latent nodes, the model {len(model.factor)}")
-        p = em.Params(**kept["params"], fixed=frozenset(kept["fixed"]))
-        fit = em.Fit(p, kept["smoothed"], kept["loglik"], kept["converged"], kept["termination"], kept["trace"])
-        return Results(model, kept["stats"], fit, kept["options"], kept["cov_params"])
+        return Results(model, **kept)
 
 
 def _full_states(spark: SparkSession, p: np.ndarray) -> DataFrame:

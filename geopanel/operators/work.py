@@ -5,24 +5,30 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of a narrow table that may be broadcast, after they have been counted.
 SMALL = 50_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir, for tables that driver and executors share.
 
     A local session without one gets a folder of its own; on a cluster, whose executors would not share it, that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        own = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        own = spark.conf.get("spark.checkpoint.dir", None)
         if own is None and not str(sc.master).startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(own or os.path.join(tempfile.gettempdir(), "geopanel-checkpoints"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a reliable checkpoint in the shared folder."""
+    shared(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

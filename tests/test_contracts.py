@@ -193,3 +193,31 @@ def test_distances_take_a_bounded_set(spark, monkeypatch):
     monkeypatch.setattr(spde, "MOST", 1)
     with pytest.raises(ValueError, match="more than 1"):
         spde.distances(a, a)
+
+
+def test_results_from_a_folder_predict_without_the_data(spark, results, tmp_path):
+    path = str(tmp_path / "kept")
+    assert results.save(path) == 1 and results.update(params=results.params.set(s2e=2 * results.params.s2e)).save(path) == 2
+    first, last = (Results.load(path, spark=spark.newSession(), version=v) for v in (1, None))
+    for k, v in results.params.as_dict().items():
+        assert np.array_equal(getattr(first.params, k), v), k
+    assert last.params.s2e[0] == 2 * results.params.s2e[0] and first.loglik == results.loglik and first.aic == results.aic
+    for k in ("x", "p", "lag", "s11"):
+        assert np.array_equal(getattr(first.fit.smoothed, k), getattr(results.fit.smoothed, k)), k
+    assert repr(first.fit.trace) == repr(results.fit.trace) and first.options == results.options and first.model.panels[0].span == results.model.panels[0].span
+    new = table(spark).withColumn("x", F.col("x") * 0.9 + 0.5)
+    a, b = ({(r.site, r.ts): (r.mean, r.variance) for r in q.predict(new).rows.collect()} for q in (results, first))
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k]) for k in a)
+    # Steps with missing rows are kept: another E step gives the same likelihood.
+    assert first.update(params=first.params).loglik == pytest.approx(results.update(params=results.params).loglik)
+    with pytest.raises(ValueError, match="no training rows"):
+        first.fitted()
+    with pytest.raises(ValueError, match="no finished version 3"):
+        Results.load(path, spark=spark, version=3)
+    with pytest.raises(ValueError, match="no finished version"):
+        Results.load(str(tmp_path / "nothing"), spark=spark)
+    # A version without a manifest is not one.
+    import shutil
+
+    shutil.rmtree(f"{path}/manifest/version=2")
+    assert Results.load(path, spark=spark).params.s2e[0] == results.params.s2e[0] and results.save(path) == 2
