@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again, for loops whose rounds join a table with itself: a checkpoint keeps
+    the size that its plan estimates, which multiplies from round to round until planning stands still."""
+    path = f"{shared(df.sparkSession)}/table-{uuid.uuid4()}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, which has so many rows, marked for a broadcast if they are few."""
     return F.broadcast(df) if rows <= SMALL else df

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from geopanel.operators import areal, fem, field, near
+from geopanel.operators import areal, eliminate, fem, field, near, spde
 from geopanel.plans.ordering import numbered, with_previous
 from geopanel.queries import _LATTICE_SQL, _lattice, r6
 from geopanel.sources import geotext, sql
@@ -175,6 +175,15 @@ def size_field_limited(spark: SparkSession, d: str) -> DataFrame:
 _TILE_SQL = "tile AS (SELECT DISTINCT CAST(floor(x / 1.3) AS INT) AS i, CAST(floor(y / 1.3) AS INT) AS j FROM sites), tri AS (SELECT 2 * (i + 8 * j) AS e, i + 9 * j AS v1, i + 1 + 9 * j AS v2, i + 1 + 9 * (j + 1) AS v3 FROM tile UNION ALL SELECT 2 * (i + 8 * j) + 1, i + 9 * j, i + 1 + 9 * (j + 1), i + 9 * (j + 1) FROM tile)"
 
 
+def _tiles(spark: SparkSession, d: str) -> DataFrame:
+    """(e, v1, v2, v3): two triangles for every tile with a site."""
+    tile = T.sites_events(spark, d).select(*[F.floor(F.col(c) / 1.3).cast("int").alias(k) for c, k in (("x", "i"), ("y", "j"))]).distinct()
+    a = F.col("i") + 9 * F.col("j")
+    corners = [(a, a + 1, a + 10), (a, a + 10, a + 9)]
+    both = F.array(*[F.struct((2 * (F.col("i") + 8 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
+    return tile.select(F.explode(both).alias("t")).select("t.*")
+
+
 @query(
     f"""WITH RECURSIVE {T.SITES_SQL}, {_TILE_SQL}, left_over(round, e, v1, v2, v3) AS (
   SELECT 0, e, v1, v2, v3 FROM tri
@@ -189,11 +198,40 @@ SELECT e, v1, v2, v3 FROM left_over WHERE round = 80"""
 )
 def mesh_peeled(spark: SparkSession, d: str) -> DataFrame:
     """Two triangles for every tile with a site, less those at vertices of fewer than three edges."""
-    tile = T.sites_events(spark, d).select(*[F.floor(F.col(c) / 1.3).cast("int").alias(k) for c, k in (("x", "i"), ("y", "j"))]).distinct()
-    a = F.col("i") + 9 * F.col("j")
-    corners = [(a, a + 1, a + 10), (a, a + 10, a + 9)]
-    both = F.array(*[F.struct((2 * (F.col("i") + 8 * F.col("j")) + k).alias("e"), *[v.alias(f"v{n}") for n, v in enumerate(c, 1)]) for k, c in enumerate(corners)])
-    return field.peel(tile.select(F.explode(both).alias("t")).select("t.*"), 3)
+    return field.peel(_tiles(spark, d), 3)
+
+
+_KAPPA = 0.8
+#: The precision on all tiles; the cells of inner vertices hold an odd number of sites. Vertices go one a round.
+_PRECISION_SQL = f"""{T.SITES_SQL}, {_TILE_SQL}, corner AS (SELECT e, k, v, (v % 9) * 1.3::DOUBLE AS x, (v // 9) * 1.3::DOUBLE AS y FROM (SELECT e, unnest([0, 1, 2]) AS k, unnest([v1, v2, v3]) AS v FROM tri)),
+slope AS (SELECT a.e, a.v, b.y - c.y AS gy, c.x - b.x AS gx, abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2 AS area FROM corner a JOIN corner b ON b.e = a.e AND b.k = (a.k + 1) % 3 JOIN corner c ON c.e = a.e AND c.k = (a.k + 2) % 3),
+mass AS (SELECT v, sum(area) / 3 AS c FROM slope GROUP BY 1),
+stiff AS (SELECT a.v AS i, b.v AS j, sum((a.gx * b.gx + a.gy * b.gy) / (4 * a.area)) AS g FROM slope a JOIN slope b USING (e) GROUP BY 1, 2),
+q AS (SELECT i, j, {1 / (4 * 3.141592653589793 * _KAPPA**2)!r} * sum(q) AS q FROM (SELECT v AS i, v AS j, {_KAPPA**4!r} * c AS q FROM mass UNION ALL SELECT i, j, {2 * _KAPPA**2!r} * g FROM stiff UNION ALL SELECT a.i, b.j, a.g * b.g / c FROM stiff a JOIN mass ON mass.v = a.j JOIN stiff b ON b.i = a.j) GROUP BY 1, 2),
+inn AS (SELECT CAST(round(x / 1.3) AS INT) + 9 * CAST(round(y / 1.3) AS INT) AS v FROM sites GROUP BY 1 HAVING count(*) % 2 = 1),
+o AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM mass WHERE v NOT IN (SELECT v FROM inn)),
+full_q AS (SELECT a.v AS i, b.v AS j, coalesce(q.q, 0.0) AS q FROM mass a CROSS JOIN mass b LEFT JOIN q ON q.i = a.v AND q.j = b.v)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_PRECISION_SQL}, step(k, i, j, q) AS (
+  SELECT 0, i, j, q FROM full_q
+  UNION ALL
+  SELECT s.k + 1, s.i, s.j, s.q - r.q * c.q / p.q FROM step s JOIN o ON o.n = s.k JOIN step r ON r.i = s.i AND r.j = o.v JOIN step c ON c.i = o.v AND c.j = s.j JOIN step p ON p.i = o.v AND p.j = o.v
+  WHERE s.i <> o.v AND s.j <> o.v
+)
+SELECT i::INT AS i, j::INT AS j, round(q, 6) AS q FROM step WHERE k = (SELECT count(*) FROM o) AND abs(q) >= 0.00001"""
+)
+def mesh_marginal_precision(spark: SparkSession, d: str) -> DataFrame:
+    """The precision of a field on the tiles with sites, for the vertices around which an odd number of sites lies."""
+    sites = T.sites_events(spark, d)
+    tri = _tiles(spark, d)
+    vertex = tri.select(F.explode(F.array("v1", "v2", "v3")).alias("v")).distinct().select("v", (F.col("v") % 9 * 1.3).alias("x"), (F.floor(F.col("v") / 9) * 1.3).alias("y"))
+    near_v = (F.round(F.col("x") / 1.3) + 9 * F.round(F.col("y") / 1.3)).cast("int").alias("v")
+    inner = sites.groupBy(near_v).count().where("count % 2 = 1").select("v")
+    q = spde.precision(fem.mass(vertex, tri), fem.stiffness(vertex, tri), _KAPPA)
+    got = eliminate.marginal(q, inner).where(F.abs("q") >= 0.00001)
+    return got.select("i", "j", r6(F.col("q"), "q"))
 
 
 # --- SQL text alone ----------------------------------------------------------------------------------------------------
