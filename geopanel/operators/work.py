@@ -34,8 +34,8 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, for loops whose rounds join a table with itself: a checkpoint keeps
-    the size that its plan estimates, which multiplies from round to round until planning stands still."""
+    """df written to the shared folder and read again, for loops whose rounds join a table with itself: with
+    checkpoints such rounds got slower and slower, probably because a checkpoint keeps what its plan estimates."""
     path = f"{shared(df.sparkSession)}/table-{uuid.uuid4()}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
