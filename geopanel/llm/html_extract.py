@@ -2,9 +2,9 @@
 
 Pages are cut into lines, one a block of text, without the markup that HTML or its class names declare to be scripts,
 menus, headers, footers, sidebars, notices, adverts, forms or reader comments. The pages are dealt to cells of neighbours
-in the order of host and URL path, so that a page's neighbour is the page of its host with the nearest path; a page at the
-edge of a cell also goes to the next one. The lines of both are aligned by longest common subsequence, and those that the two
-pages share are template and go. Prose inside an <article> or <main>, which
+in the order of host and URL path, in which the page whose path shares the longest head with a page's own stands before or
+after it; a page at the edge of a cell also goes to the next one. The lines of both are aligned by longest common subsequence,
+and those that the two pages share are template and go. Prose inside an <article> or <main>, which
 the page itself declares to be the text, is exempt: a sentence two articles share is still part of both. Where a page has
 such an element, lines outside it go as well.
 """
@@ -17,6 +17,7 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -179,13 +180,15 @@ def common(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(page: list[Line], other: list[Line] | None) -> str:
-    """The page's text given the lines of its paired page. Pages that share over nine tenths of all lines are copies,
-    which say nothing of each other's template."""
+def main_text(page: list[Line], *others: list[Line] | None) -> str:
+    """The page's text given the lines of other pages, the nearest first: it is paired with the first that is no copy. Pages
+    that share over nine tenths of all lines are copies, which say nothing of each other's template."""
     shared: set[int] = set()
-    if other is not None:
-        shared = common([v.text for v in page], [v.text for v in other])
-        if 10 * len(shared) > 9 * max(len(page), len(other)):
+    for other in others:
+        if other is not None:
+            shared = common([v.text for v in page], [v.text for v in other])
+            if 10 * len(shared) <= 9 * max(len(page), len(other)):
+                break
             shared = set()
     declared = any(v.main for v in page)
     return " ".join(v.text for i, v in enumerate(page) if (v.prose if declared else False) or (v.main or not declared) and i not in shared)
@@ -202,6 +205,9 @@ def _unpacked(packed: str) -> list[Line]:
 
 #: Cells of neighbouring pages for each shuffle partition, and keys in the sample for each cell.
 CELLS, SAMPLED = 4, 20
+#: Pages from which there are further cells, and the cells up to which there are: they bound the driver's keys. Cells beyond
+#: that get longer, which takes time but no memory, as pages are read in order.
+CELL_PAGES, MOST_CELLS = 5_000, 20_000
 
 
 def _order(host: str, path: str, key, mark: int) -> tuple:
@@ -209,12 +215,18 @@ def _order(host: str, path: str, key, mark: int) -> tuple:
     return host, path, key is not None, key if key is not None else 0, mark
 
 
-def _cells(keys: DataFrame, cells: int) -> tuple[list[tuple], set[tuple]]:
+def _nearness(a: str, b: str) -> int:
+    """Characters at the head that two paths share."""
+    return len(commonprefix([a, b]))
+
+
+def _cells(keys: DataFrame, least: int) -> tuple[list[tuple], set[tuple]]:
     """(first keys of all cells but the lowest, last keys of the cells before those): as many keys as cells on the driver.
 
-    keys has host, path, id, mark. Keys with the least hashes are the sample; cells follow the table and their number alone.
+    keys has host, path, id, mark. Keys with the least hashes are the sample; cells follow the table and least alone.
     """
     total = keys.count()
+    cells = max(least, min(total // CELL_PAGES, MOST_CELLS))
     # At most as many sampled keys as the cells ask for, give or take their root.
     some = keys.where(F.pmod(F.xxhash64(*keys.columns, F.lit(3)), F.lit(max(1, total // (cells * SAMPLED)))) == 0).distinct()
     rows = sorted(_order(*r) for r in some.collect())
@@ -244,9 +256,10 @@ def _cells(keys: DataFrame, cells: int) -> tuple[list[tuple], set[tuple]]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id, url, text, n_chars of every page.
 
-    A page is paired with the page before it in the order of host, path, id and content hash, the first of a host with the
-    one after it, and not at all where it is the host's only one, however the pages are partitioned: they are dealt to cells
-    of neighbours, and a cell also gets the page before and the page after its own. Null html is empty; a null or odd URL is
+    A page is paired with the page of its host whose path shares the longest head with its own: in the order of host, path,
+    id and content hash that is the page before it or the one after it, the one before if they share as much. Where that one
+    is a copy, the other is taken; a host's only page has no pair. This holds however the pages are partitioned: they are dealt
+    to cells of neighbours, and a cell also gets the page before and the page after its own. Null html is empty; a null or odd URL is
     a host of its own name; repeated rows are copies; an empty table gives an empty result; further columns are ignored. A
     page's time is linear in its length, but for the alignment, which takes lines times lines / 64.
     """
@@ -276,17 +289,22 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int32()), pa.array(ghost, pa.bool_()), *own, pa.array(text, pa.string())], names=["cell", "ghost", "host", "path", "id", "mark", "url", "lines"])
 
     rows = rows.mapInArrow(cut_lines, f"cell int, ghost boolean, host string, path string, id {id_type}, mark long, url string, lines string")
-    rows = rows.repartition(n, "cell").sortWithinPartitions("cell", "host", "path", "id", "mark").select("cell", "ghost", "host", "id", "url", "lines")
+    rows = rows.repartition(max(n, -(-len(bounds) // CELLS)), "cell").sortWithinPartitions("cell", "host", "path", "id", "mark")
+    rows = rows.select("cell", "ghost", "host", "path", "id", "url", "lines")
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple | None = None  # the last page, while it has no page before it of its host
-        prev: tuple | None = None  # cell, host and lines of the last page
+        before: tuple | None = None  # place (cell, host), ghost, path, id, url and lines of a page
+        page: tuple | None = None  # the page after that, which waits for the one after itself
         out: list[tuple] = []
         kind = pa.int64()
 
-        def put(key, url: str | None, own: list[Line], other: list[Line] | None) -> None:
-            text = main_text(own, other)
-            out.append((key, url, text, len(text)))
+        def put(after: tuple | None) -> None:
+            if page is None or page[1]:
+                return
+            beside = [p for p in (before, after) if p is not None and p[0] == page[0]]
+            beside.sort(key=lambda p: -_nearness(p[2], page[2]))
+            text = main_text(page[5], *(p[5] for p in beside))
+            out.append((page[3], page[4], text, len(text)))
 
         def batch() -> pa.RecordBatch:
             got = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (kind, pa.string(), pa.string(), pa.int64()), strict=True)]
@@ -294,22 +312,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             return pa.RecordBatch.from_arrays(got, names=["id", "url", "text", "n_chars"])
 
         for b in batches:
-            kind = b.column(3).type
-            for cell, ghost, host, key, link, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                own = _unpacked(packed)
-                if held is not None:
-                    put(held[0], held[1], held[2], own if prev[:2] == (cell, host) else None)
-                    held = None
-                if not ghost:
-                    if prev is not None and prev[:2] == (cell, host):
-                        put(key, link, own, prev[2])
-                    else:
-                        held = (key, link, own)
-                prev = (cell, host, own)
+            kind = b.column(4).type
+            for cell, ghost, host, path, key, link, packed in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                after = ((cell, host), ghost, path, key, link, _unpacked(packed))
+                put(after)
+                before, page = page, after
                 if len(out) >= 500:
                     yield batch()
-        if held is not None:
-            put(held[0], held[1], held[2], None)
+        put(None)
         if out:
             yield batch()
 

@@ -1,5 +1,6 @@
 import random
 import time
+from os.path import commonprefix
 
 from geopanel.llm import html_extract
 from geopanel.llm.html_extract import common, extract, lines, main_text
@@ -44,10 +45,11 @@ def test_pairs_against_brute_force(spark):
     keyed = sorted((("" if u is None else u.split("/")[2], "" if u is None else "/" + u.split("/", 3)[3], i is not None, i or 0, marks[i, u, h]), i, h) for i, u, h in rows)
     want = []
     for k, (key, i, h) in enumerate(keyed):
-        before = keyed[k - 1] if k and keyed[k - 1][0][0] == key[0] else None
-        after = keyed[k + 1] if k + 1 < len(keyed) and keyed[k + 1][0][0] == key[0] else None
-        other = before or after
-        want.append((str(i), main_text(lines(h), lines(other[2]) if other else None)))
+        # All pages of the host, the longest common head of the paths first, then the nearest in order.
+        by = sorted((-len(commonprefix([key[1], other[0][1]])), abs(j - k), j, other[2]) for j, other in enumerate(keyed) if j != k and other[0][0] == key[0])
+        near = [lines(h2) for _, away, _, h2 in by if away == 1]
+        assert not by or by[0][1] == 1
+        want.append((str(i), main_text(lines(h), *near)))
     assert texts(df) == sorted(want)
 
 
@@ -72,3 +74,24 @@ def test_cells_of_few_pages(spark, monkeypatch):
     monkeypatch.setattr(html_extract, "SAMPLED", 1)
     rows = site(50, 3)
     assert texts(spark.createDataFrame([r[:3] for r in rows], SCHEMA)) == sorted((str(i), own) for i, _, _, own in rows)
+
+
+def framed(section: str, own: str) -> str:
+    return f"<body><div>Menu of {section}</div><div>{own}</div><div>Legal of {section}</div><div>Tail of {section}</div></body>"
+
+
+def test_first_page_of_a_section_is_paired_within_it(spark):
+    """A template a section: the page before /b/1 is of another section, the one after is nearer."""
+    rows = [(i, f"http://x.example/{s}/{k}", framed(s, f"own text {i}")) for i, (s, k) in enumerate([("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3)])]
+    assert texts(spark.createDataFrame(rows, SCHEMA)) == [(str(i), f"own text {i}") for i in range(5)]
+
+
+def test_beside_a_copy_the_other_neighbour_counts(spark):
+    rows = [(0, "http://x.example/s/1", framed("s", "first")), (1, "http://x.example/s/20", framed("s", "same")), (2, "http://x.example/s/20", framed("s", "same")), (3, "http://x.example/s/3", framed("s", "last"))]
+    assert texts(spark.createDataFrame(rows, SCHEMA)) == [("0", "first"), ("1", "same"), ("2", "same"), ("3", "last")]
+
+
+def test_cells_follow_the_number_of_pages(spark, monkeypatch):
+    monkeypatch.setattr(html_extract, "CELL_PAGES", 4)
+    rows = site(120, 3)
+    assert texts(spark.createDataFrame([r[:3] for r in rows], SCHEMA)) == sorted((str(i), own) for i, _, _, own in rows)
