@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import calendar
+import datetime
 import math
 from collections.abc import Callable
 
@@ -16,6 +18,7 @@ from geopanel.operators.model import LowRankModel
 from geopanel.plans import formula as fm
 from geopanel.plans import panel as pn
 from geopanel.sources import tables as T
+from geopanel.streaming import online
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -89,6 +92,21 @@ def rts_scalar(spark: SparkSession, d: str) -> DataFrame:
     return out.select("k", F.col("t").cast("long").alias("t"), r6(F.col("s.x"), "x"), r6(F.col("s.p"), "p"))
 
 
+@query(
+    _SERIES_SQL.format(y="daily.y")
+    + """, seen AS (SELECT k, min(t) AS lo FROM daily GROUP BY k)
+SELECT f.k, f.t, round(f.x, 6) AS x, round(f.p, 6) AS p, round(f.ll, 6) AS ll FROM f JOIN seen ON seen.k = f.k AND f.t >= seen.lo WHERE f.t < (SELECT max(t) FROM daily)"""
+)
+def stream_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The filtered level of every day that a stream over the events closes; its last day stays open."""
+    # As a pattern: a stream takes a plain path for a folder, and the table may be a file.
+    src = spark.readStream.schema(T.table(spark, d, "events").schema).parquet(f"{d}/event[s].parquet")
+    origin = 1000 * calendar.timegm(datetime.date.fromisoformat(T.START).timetuple())
+    out = online.replayed(online.stream_levels(src, "event_type", "ts", "value", *_SCALAR, late="0 seconds", origin_ms=origin))
+    day = F.floor((F.unix_millis("start") - origin) / 86_400_000).cast("long")
+    return out.select(F.col("site").alias("k"), day.alias("t"), r6(F.col("x"), "x"), r6(F.col("p"), "p"), r6(F.col("loglik"), "ll"))
+
+
 # --- panels ------------------------------------------------------------------------------------------------------------
 
 
