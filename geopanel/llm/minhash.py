@@ -195,10 +195,23 @@ def _block_links(percent: int):
     return run
 
 
+def _number(seed: int):
+    """A hash of a set's digests and size."""
+    return F.xxhash64(F.lit(seed), "d1", "d2", "n_shingles")
+
+
+def _with_node(sig: DataFrame, shared: DataFrame | None) -> DataFrame:
+    """sig, which has node and other, with other as the node of sets whose node stands in shared."""
+    if shared is None:
+        return sig.drop("other")
+    out = sig.join(shared, "node", "left").withColumn("node", F.when(F.col("hit"), F.col("other")).otherwise(F.col("node")))
+    return out.drop("other", "hit")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, bands: int = 32, rows: int = 5) -> DataFrame:
     """Return (id, n_shingles, component_id, kept) for every row of docs.
 
-    Equal sets collapse to one class first. In each band bucket every class is compared with the bucket's least class
+    Equal sets, told apart by 128 bits of digests and their size, collapse to one class first. In each band bucket every class is compared with the bucket's least class
     (its pivot); links make components; members of one star that are still in different components are then compared
     exhaustively in bounded blocks. So no candidate pair that could join two components is left out, none inside a
     component is compared twice, and no group's pairs are ever emitted as rows. A pair at exactly 80% misses all 32
@@ -209,7 +222,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     where id = component_id. Empty tables give empty results; further columns of docs are ignored.
     """
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    sig = cut(signatures(src, k, bands, rows).withColumn("node", F.xxhash64("d1", "d2", "n_shingles")).drop("d1", "d2"))
+    numbers = {"node": _number(0), "other": _number(1)}
+    sig = cut(signatures(src, k, bands, rows).withColumns(numbers).drop("d1", "d2"))
+    # Sets are told apart by both numbers: where different sets share the first, each goes by its second.
+    shared = sig.groupBy("node").agg(F.min("other").alias("lo"), F.max("other").alias("hi")).where("lo <> hi").select("node", F.lit(True).alias("hit"))
+    shared = cut(shared) if shared.count() else None  # one number for two sets is rare
+    sig = _with_node(sig, shared)
     classes = sig.where("n_shingles > 0").groupBy("node").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"))
     entries = classes.select("node", F.explode("keys").alias("key"))
     pivots = entries.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("m")).where("m > 1").drop("m")
@@ -217,7 +235,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     used = stars.select(F.col("node")).unionAll(stars.select("pivot")).distinct()
     reps = sig.join(used, "node", "left_semi").groupBy("node").agg(F.min(F.coalesce("id", F.lit(-(2**63)))).alias("id"))
     rep_text = src.withColumn("id", F.coalesce("id", F.lit(-(2**63)))).join(reps.select("id").distinct(), "id", "left_semi")
-    sets = signatures(rep_text, k, bands, rows, keep_sets=True).withColumn("node", F.xxhash64("d1", "d2", "n_shingles"))
+    sets = _with_node(signatures(rep_text, k, bands, rows, keep_sets=True).withColumns(numbers).drop("d1", "d2"), shared)
     sets = cut(sets.join(used, "node", "left_semi").groupBy("node").agg(F.first("n_shingles").alias("n_shingles"), F.first("shingles").alias("shingles")))
 
     def side(s: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from geopanel.llm import minhash
 from geopanel.llm.line_dedup import drop_common_lines
 from geopanel.llm.minhash import band_keys, fast_sketch, near_duplicates, shingle_sets
 
@@ -61,6 +62,14 @@ def test_near_duplicates_equal_brute_force(spark, seed, k):
     assert got == brute(rows, k)
 
 
+def test_sets_that_share_their_first_number_stay_apart(spark, monkeypatch):
+    whole = minhash._number
+    monkeypatch.setattr(minhash, "_number", lambda seed: whole(seed) if seed else F.pmod(whole(seed), F.lit(5)))
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(tuple(r) for r in near_duplicates(df, k=2).collect()) == brute(rows, 2)
+
+
 def test_near_duplicates_of_odd_tables(spark):
     assert near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     rows = [(1, "a b c d e f", "x"), (1, "a b c d e f", "y"), (None, "a b c d e f", "z"), (3, None, None)]
