@@ -94,7 +94,9 @@ def _frames(spark: SparkSession, d: str, fmt: str) -> DataFrame:
 
 def _nations(spark: SparkSession, d: str, fmt: str) -> DataFrame:
     names = T.table(spark, d, "nation").select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("name"))
-    polygons = geotext.parse_polygons(_frames(spark, d, fmt), "text", fmt).join(names, "nation")
+    # A few long texts, which Spark would put into one task.
+    texts = _frames(spark, d, fmt).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    polygons = geotext.parse_polygons(texts, "text", fmt).join(F.broadcast(names), "nation")
     return polygons.select(F.col("nation").alias("poly_id"), "name", "geom")
 
 

@@ -65,6 +65,25 @@ def test_many_edges_are_split(spark):
     assert cells.where("NOT full").select(F.max(F.expr("aggregate(parts, 0, (a, p) -> a + size(p.edges))"))).first()[0] <= 40
 
 
+def test_a_row_of_many_polygons_and_points_that_share_places(spark):
+    rnd = random.Random(6)
+
+    def frame(x, y, h):
+        return [[(x - k, y - k), (x + k, y - k), (x + k, y + k), (x - k, y + k)] for k in (h, h / 2)]
+
+    row = [frame(rnd.randint(0, 80) / 8, rnd.randint(0, 80) / 8, rnd.choice([0.75, 1.0, 1.5])) for _ in range(120)]
+    points = [(rnd.randint(-20, 100) / 8, rnd.randint(-20, 100) / 8) for _ in range(150)]
+    df = spark.createDataFrame([(i, k, *p) for i, p in enumerate(points) for k in range(3)], "id int, k int, x double, y double")
+    regions = Regions.of(table(spark, [row]), first=10, within=(-2.5, 12.5, -2.5, 12.5))
+    for boundary in (True, False):
+        want = sorted((i, k) for i, p in enumerate(points) if any(inside(q, *p, boundary) for q in row) for k in range(3))
+        assert sorted((r.id, r.k) for r in regions.join(df, boundary).collect()) == want
+    # Cells wholly inside stand for all the row's polygons there, not for one of them.
+    assert regions.cells.where("full").groupBy("level", "cx", "cy").count().where("count > 2").isEmpty()
+    tested = regions.cells.where("NOT full").agg(F.sum(F.expr("aggregate(parts, 0, (a, p) -> a + size(p.edges))"))).first()[0]
+    assert tested < 16 * regions.rows
+
+
 def test_thousands_of_polygons(spark):
     rnd = random.Random(4)
     polys = [[star(rnd, rnd.randint(3, 12), rnd.uniform(0, 100), rnd.uniform(0, 100), rnd.choice([0.2, 1, 8]))] for _ in range(3000)]
