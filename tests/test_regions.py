@@ -143,3 +143,10 @@ def test_polygons_of_another_system(spark):
     assert (first.x, first.y) == (pytest.approx(500_000, abs=1), pytest.approx(4_982_950, abs=2))
     back = there.select(geotext.reproject_polygons(F.col("g"), "EPSG:32632", "EPSG:4326").alias("g")).first().g
     assert [(pytest.approx(p.x, abs=1e-7), pytest.approx(p.y, abs=1e-7)) for p in back[0][0]] == [(9, 45), (9.5, 45), (9.5, 45.5)]
+
+
+def test_means_of_points_that_share_places(spark):
+    values = [(1.0, 1.0, 0, 2.0), (1.0, 1.0, 0, None), (1.0, 1.0, 0, 4.0), (2.0, 1.0, 0, 9.0), (1.0, 1.0, 1, None), (9.0, 9.0, 1, 1.0)]
+    df = spark.createDataFrame(values, "x double, y double, t int, v double")
+    got = areal.areal_mean(df, [[(0.0, 0.0), (4.0, 0.0), (4.0, 4.0)]], ["a"], ["t"], "v")
+    assert sorted(tuple(r) for r in got.collect()) == [(0, 0, "a", 4, 5.0), (1, 0, "a", 1, None)]
