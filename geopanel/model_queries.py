@@ -53,9 +53,9 @@ class _Nodes:
         return 0.5
 
 
-def _small(spark: SparkSession, d: str) -> tuple[suffstat.Stats, em.Params, em.System]:
+def _small(spark: SparkSession, d: str, panel: pn.Panel | None = None) -> tuple[suffstat.Stats, em.Params, em.System]:
     """Statistics of the events panel on the two nodes, parameters and transition of the small model."""
-    rows = pn.build(_events_long(spark, d), "obs ~ x1", _SPEC).rows
+    rows = (panel or pn.build(_events_long(spark, d), "obs ~ x1", _SPEC)).rows
     panel = rows.select(F.lit(0).alias("var"), "site_id", "t_idx", "obs", "cov")
     right = F.col("x") / _WIDE
     h = F.explode(F.array(F.struct(F.lit(0).alias("node"), (1 - right).alias("h")), F.struct(F.lit(1).alias("node"), right.alias("h")))).alias("p")
@@ -136,8 +136,8 @@ def _ended(stats: suffstat.Stats, p: em.Params, s: em.System, model: LowRankMode
 
 @query(f"WITH RECURSIVE {_FILTER_SQL} {_AIC_SQL}")
 def information_criteria(spark: SparkSession, d: str) -> DataFrame:
-    stats, p, s = _small(spark, d)
     panel = pn.build(_events_long(spark, d), "obs ~ x1", _SPEC)
+    stats, p, s = _small(spark, d, panel)
     r = _ended(stats, p.unfreeze("ks"), s, LowRankModel((panel,), (None,)))
     row = (round(r.loglik, 4), r.nobs, r.n_params, r.df_resid, round(r.aic, 4), round(r.bic, 4), r.missing)
     return spark.createDataFrame([row], "loglik double, nobs long, n_params long, df_resid long, aic double, bic double, missing long")

@@ -144,3 +144,12 @@ def test_masks_windows_and_summary(spark):
     assert s.observed_pct == 100 and s.n_sites == 6 and s.unit == "day"
     cells = pn.raster_axis(df, "x", "cell").select("site", "cell").distinct().collect()
     assert all(r.site == r.cell for r in cells)
+
+
+def test_a_panel_is_evaluated_once(spark):
+    """Panels are read from a written table, not derived again from the raw one by each reader."""
+    p = pn.build(frame(spark), "v ~ w")
+    new = pn.build_predict(p, frame(spark))
+    for rows in (p.rows, new.rows):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan
