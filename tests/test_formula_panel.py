@@ -153,3 +153,11 @@ def test_a_panel_is_evaluated_once(spark):
     for rows in (p.rows, new.rows):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_checks_share_their_passes(spark):
+    """Counts of each site serve the checks for repeats, infinite and missing responses, unseen sites and balance."""
+    counts = pn._site_counts(frame(spark).selectExpr("site AS __site", "ts AS __ts", "v"), "v", "__site")
+    assert {(r.rows, r.steps, r.seen, r.infinite) for r in counts.collect()} == {(8, 8, 8, 0)}
+    plan = pn.regular_steps(frame(spark), "ts")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
