@@ -228,3 +228,10 @@ def test_site_sums_add_up(spark, model):
     halves = [suffstat.collect(panel.where(f"site_id % 2 = {k}"), basis.where(f"site_id % 2 = {k}"), 1, 30, [2], model.factor) for k in (0, 1)]
     assert np.allclose(a.c, halves[0].c + halves[1].c) and np.allclose(a.full[0], halves[0].full[0] + halves[1].full[0])
     assert np.allclose(a.d(0, 7), halves[0].d(0, 7) + halves[1].d(0, 7))
+
+
+def test_statistics_read_a_written_basis(model):
+    """The basis is evaluated once, not by each of the sums, nor held in memory."""
+    _, basis = model._stacked()
+    plan = basis._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "InMemoryRelation" not in plan
