@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import re
 import warnings
 
 import numpy as np
@@ -230,6 +231,12 @@ def test_site_sums_add_up(spark, model):
     assert np.allclose(a.d(0, 7), halves[0].d(0, 7) + halves[1].d(0, 7))
 
 
+def test_sites_are_not_dealt_by_node(results):
+    """Few states go to the sites; rows of the sites are not shuffled by the few nodes they share."""
+    plan = results.fitted()._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\((node|a|b)#", plan)
+
+
 def test_statistics_read_a_written_basis(model):
     """The basis is evaluated once, not by each of the sums, nor held in memory."""
     _, basis = model._stacked()
